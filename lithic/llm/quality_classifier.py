@@ -1,7 +1,7 @@
 """Operator 6, quality classifier: random-indexing word vectors, pooled, then a two-layer network in numpy.
 
-Every word has a sparse index vector: a few +1 and -1 at places that hashes of the word and of its character trigrams
-choose, so that an unknown word is not a blank. A word's vector is its index vector plus what it gathered from its
+Every word has an index vector: the sparse ones, of a few +1 and -1, that belong to hashes of the word and of its byte
+trigrams, so that an unknown word is not a blank. A word's vector is its index vector plus what it gathered from its
 neighbours in the texts used for fitting, by hashed word. A document is the mean of its words' vectors, their spread,
 and the length of the mean. The network is trained on at most ``max_fit`` labelled rows, the first by hash of the id
 (a documented bound); a fifth of these sets the temperature by which the probabilities are calibrated. All documents
@@ -19,18 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIM, VOCABULARY, NONZERO, REACH = 64, 1 << 13, 4, 2
+DIM, VOCABULARY, TRIGRAMS, NONZERO, REACH = 64, 1 << 13, 1 << 12, 4, 2
+KNOWN = 300_000  # words that a task remembers
 
 
-def index_vector(word: bytes) -> np.ndarray:
-    """NONZERO signed places from the whole word, as many from its character trigrams together."""
-    out = np.zeros(DIM, np.int32)
-    grams = [b"<" + word + b">"] + [g for k in range(len(word) + 2 - 2) if (g := (b"<" + word + b">")[k : k + 3])][:64]
-    for k, g in enumerate(grams):
-        h = xxhash.xxh64_intdigest(g, 11)
-        for _ in range(NONZERO if k == 0 else 1):
-            out[h % DIM] += 1 if h >> 40 & 1 else -1
-            h = h >> 6 ^ (h << 17 & (1 << 64) - 1)
+def index_table(rows: int, seed: int) -> np.ndarray:
+    """``rows`` sparse index vectors: NONZERO places with +1 or -1 each, the same in every task."""
+    rng = np.random.default_rng(seed)
+    out = np.zeros((rows, DIM), np.float32)
+    for _ in range(NONZERO):
+        out[np.arange(rows), rng.integers(0, DIM, rows)] += rng.choice(np.array([-1, 1], np.float32), rows)
     return out
 
 
@@ -38,61 +36,79 @@ def bucket(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 13) % VOCABULARY
 
 
-class Vectors(dict):
-    """word -> row of ``table``: index vector plus the scaled context of its bucket."""
+class Vectors:
+    """Row numbers and rows for words: normed index vector, plus the context of the word's bucket if there is one."""
 
     def __init__(self, context: np.ndarray | None = None) -> None:
-        self.context, self.table, self.used = context, np.zeros((1024, DIM), np.float32), 0
-
-    def __missing__(self, word: bytes) -> int:
-        v = index_vector(word).astype(np.float32)
-        v /= np.linalg.norm(v) or 1
+        self.context, self.by_word, self.by_trigram = context, index_table(VOCABULARY, 1), index_table(TRIGRAMS, 2)
+        self.forget()
+
+    def forget(self) -> None:
+        self.row: dict[bytes, int] = {}
+        self.bucket, self.table = np.zeros(0, np.int64), np.zeros((0, DIM), np.float32)
+
+    def learn(self, new: list[bytes]) -> None:
+        """Rows for words not met before, all at once."""
+        spread = np.frombuffer(b"".join([b"<" + w + b">" for w in new]), np.uint8).astype(np.int64)
+        lengths = np.array([len(w) for w in new], np.int64)  # as many trigrams as bytes
+        starts = np.cumsum(lengths) - lengths
+        at = np.arange(int(lengths.sum())) + np.repeat(2 * np.arange(len(new)), lengths)
+        code = (spread[at] * 65599 + spread[at + 1] * 257 + spread[at + 2] * 8191) % TRIGRAMS
+        own = np.array([bucket(w) for w in new], np.int64)
+        v = self.by_word[own] + np.add.reduceat(self.by_trigram[code], starts)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
         if self.context is not None:
-            v = v + self.context[bucket(word)]
-        if self.used == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.used] = v
-        self[word] = self.used
-        self.used += 1
-        return self.used - 1
-
-    def pooled(self, text: str | None) -> np.ndarray:
-        """2 * DIM + 2 features of a whole text."""
-        words = (text or "").encode("utf-8", "replace").split()
-        if not words:
-            return np.zeros(2 * DIM + 2)
-        if self.used > 200_000:
-            self.clear()
-            self.used = 0
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        total, square = np.zeros(DIM), np.zeros(DIM)
-        for k in range(0, len(ids), 1 << 14):
-            part = self.table[ids[k : k + (1 << 14)]]
-            total += part.sum(0, dtype=np.float64)
-            square += np.einsum("ij,ij->j", part, part, dtype=np.float64)
-        mean = total / len(ids)
-        spread = np.sqrt(np.maximum(square / len(ids) - mean**2, 0))
-        return np.r_[mean, spread, np.linalg.norm(mean), np.log1p(len(ids)) / 10]
+            v += self.context[own]
+        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
+        self.bucket, self.table = np.append(self.bucket, own), np.concatenate([self.table, v])
+
+    def rows_of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """For each text its words' row numbers; texts are looked at some at a time."""
+        held, size = [], 0
+        for k, t in enumerate(texts):
+            held.append((t or "").encode("utf-8", "replace").split())
+            size += len(held[-1])
+            if size >= 300_000 or k + 1 == len(texts):
+                if len(self.row) > KNOWN:
+                    self.forget()
+                if new := list(set().union(*held) - self.row.keys()):
+                    self.learn(new)
+                for words in held:
+                    yield np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+                held, size = [], 0
+
+    def pooled(self, texts: list[str | None]) -> np.ndarray:
+        """2 * DIM + 2 features of each whole text."""
+        out = np.zeros((len(texts), 2 * DIM + 2))
+        for k, ids in enumerate(self.rows_of(texts)):
+            if not len(ids):
+                continue
+            total, square = np.zeros(DIM), np.zeros(DIM)
+            for i in range(0, len(ids), 1 << 14):
+                part = self.table[ids[i : i + (1 << 14)]]
+                total += part.sum(0, dtype=np.float64)
+                square += np.einsum("ij,ij->j", part, part)
+            mean = total / len(ids)
+            out[k, :DIM], out[k, DIM : 2 * DIM] = mean, np.sqrt(np.maximum(square / len(ids) - mean**2, 0))
+            out[k, 2 * DIM :] = np.linalg.norm(mean), np.log1p(len(ids)) / 10
+        return out
 
 
 def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> for each bucket of this task, the sum of its neighbours' index vectors and how many there were."""
-    sums, n, known = np.zeros((VOCABULARY, DIM), np.int64), np.zeros(VOCABULARY, np.int64), {}
+    """Texts -> for each bucket of this task, the sum of its neighbours' vectors in thousandths and how many there were."""
+    sums, n, vectors = np.zeros((VOCABULARY, DIM), np.int64), np.zeros(VOCABULARY, np.int64), Vectors()
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            words = (text or "").encode("utf-8", "replace").split()
-            for w in words:
-                if w not in known:
-                    known[w] = (bucket(w), index_vector(w))
-            if not words:
-                continue
-            b, v = np.array([known[w][0] for w in words]), np.array([known[w][1] for w in words])
-            for d in range(1, REACH + 1):
-                for at, by in ((b[:-d], v[d:]), (b[d:], v[:-d])):
-                    np.add.at(sums, at, by)
-                    np.add.at(n, at, 1)
-            if len(known) > 200_000:
-                known.clear()
+        for ids in vectors.rows_of(batch.column(0).to_pylist()):
+            b, v = vectors.bucket[ids], np.rint(vectors.table[ids] * 1000).astype(np.int64)
+            near = np.zeros_like(v)
+            for d in range(1, min(REACH, len(ids) - 1) + 1):
+                near[:-d] += v[d:]
+                near[d:] += v[:-d]
+            order = np.argsort(b, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(b[order]) != 0]) if len(b) else []
+            if len(b):
+                sums[b[order][first]] += np.add.reduceat(near[order], first)
+                n += np.bincount(b, minlength=VOCABULARY)
     some = np.flatnonzero(n)
     yield pa.record_batch([pa.array(some), pa.array(n[some]), pa.array(list(sums[some]), pa.list_(pa.int64()))], ["b", "n", "v"])
 
@@ -160,13 +176,13 @@ def fitted(df: DataFrame, labels: DataFrame, max_fit: int) -> tuple[np.ndarray,
     summed = parts.groupBy("b").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(DIM)])
     for r in summed.toPandas().itertuples(index=False):  # at most VOCABULARY rows
         n[r.b], sums[r.b] = r.n, r[2:]
-    context = (sums / np.maximum(n, 1)[:, None] / (2 * NONZERO)).astype(np.float32)
+    context = (sums / np.maximum(n, 1)[:, None] / (2000 * REACH)).astype(np.float32)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors(context)
         for batch in batches:
-            x = [vectors.pooled(t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2)], ["id", "x", "label"])
+            x = vectors.pooled(batch.column(1).to_pylist())
+            yield pa.record_batch([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], ["id", "x", "label"])
 
     got = sample.mapInArrow(features, "id long, x array<double>, label int").toPandas()  # at most max_fit ids
     got = got.drop_duplicates("id").sort_values("id", key=lambda s: s.map(lambda i: xxhash.xxh64_intdigest(str(i)))) if len(got) else got
@@ -192,8 +208,7 @@ def quality_classifier(
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors(context)
         for batch in batches:
-            x = np.array([vectors.pooled(t) for t in batch.column(2).to_pylist()]).reshape(-1, 2 * DIM + 2)
-            score = net.probability(x)
+            score = net.probability(vectors.pooled(batch.column(2).to_pylist()))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     return rows.select("id", (rest(F.col("id")) == 0).alias("held_out"), "text").mapInArrow(each, f"`{id_col}` long, held_out boolean, score double, predicted int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality_rules, simhash
+from . import bpe, exact_dedup, quality_classifier, quality_rules, simhash, substring_dedup
 from .common import table
 
 
@@ -19,6 +19,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_neardup(table(spark, sf_dir, "documents"), shingle=3, max_distance=2, blocks=8)
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -28,5 +36,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op9_exact_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op4_substring, op6_quality, op9_exact_dedup, op10_quality_rules)}
 ORACLE_SQL = {"op9_exact_dedup": exact_dedup.SQL}
