@@ -3,7 +3,7 @@
 Every word has an index vector: the sparse ones, of a few +1 and -1, that belong to hashes of the word and of its byte
 trigrams, so that an unknown word is not a blank. A word's vector is its index vector plus what it gathered from its
 neighbours in the texts used for fitting, by hashed word. A document is the mean of its words' vectors, their spread,
-and the length of the mean. The network is trained on at most ``max_fit`` labelled rows, the first by hash of the id
+the length of the mean, and how alike words one and two places apart are. The network is trained on at most ``max_fit`` labelled rows, the first by hash of the id
 (a documented bound); a fifth of these sets the temperature by which the probabilities are calibrated. All documents
 are then scored in one narrow map.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIM, VOCABULARY, TRIGRAMS, NONZERO, REACH = 64, 1 << 13, 1 << 12, 4, 2
+FEATURES = 2 * DIM + 4
 KNOWN = 300_000  # words that a task remembers
 
 
@@ -78,19 +79,20 @@ class Vectors:
                 held, size = [], 0
 
     def pooled(self, texts: list[str | None]) -> np.ndarray:
-        """2 * DIM + 2 features of each whole text."""
-        out = np.zeros((len(texts), 2 * DIM + 2))
+        """FEATURES of each whole text."""
+        out = np.zeros((len(texts), FEATURES))
         for k, ids in enumerate(self.rows_of(texts)):
             if not len(ids):
                 continue
-            total, square = np.zeros(DIM), np.zeros(DIM)
+            total, square, next_two = np.zeros(DIM), np.zeros(DIM), np.zeros(2)
             for i in range(0, len(ids), 1 << 14):
                 part = self.table[ids[i : i + (1 << 14)]]
                 total += part.sum(0, dtype=np.float64)
+                next_two += [np.einsum("ij,ij->", part[lag:], part[:-lag]) for lag in (1, 2)]
                 square += np.einsum("ij,ij->j", part, part)
             mean = total / len(ids)
             out[k, :DIM], out[k, DIM : 2 * DIM] = mean, np.sqrt(np.maximum(square / len(ids) - mean**2, 0))
-            out[k, 2 * DIM :] = np.linalg.norm(mean), np.log1p(len(ids)) / 10
+            out[k, 2 * DIM :] = np.linalg.norm(mean), np.log1p(len(ids)) / 10, *(next_two / len(ids))
         return out
 
 
@@ -176,7 +178,7 @@ def fitted(df: DataFrame, labels: DataFrame, max_fit: int) -> tuple[np.ndarray,
     summed = parts.groupBy("b").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(DIM)])
     for r in summed.toPandas().itertuples(index=False):  # at most VOCABULARY rows
         n[r.b], sums[r.b] = r.n, r[2:]
-    context = (sums / np.maximum(n, 1)[:, None] / (2000 * REACH)).astype(np.float32)
+    context = (sums / np.maximum(n, 1)[:, None] / (8000 * REACH)).astype(np.float32)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors(context)
@@ -186,7 +188,7 @@ def fitted(df: DataFrame, labels: DataFrame, max_fit: int) -> tuple[np.ndarray,
 
     got = sample.mapInArrow(features, "id long, x array<double>, label int").toPandas()  # at most max_fit ids
     got = got.drop_duplicates("id").sort_values("id", key=lambda s: s.map(lambda i: xxhash.xxh64_intdigest(str(i)))) if len(got) else got
-    x = np.array(got["x"].tolist()) if len(got) else np.zeros((0, 2 * DIM + 2))
+    x = np.array(got["x"].tolist()) if len(got) else np.zeros((0, FEATURES))
     return context, train(x, got["label"].to_numpy(int) if len(got) else np.zeros(0, int))
 
 
