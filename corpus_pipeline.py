@@ -5,19 +5,62 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lithic.llm.common import checkpoint_dir, table
 from lithic.llm.exact_dedup import exact_dedup
+from lithic.llm.packing import pack
+from lithic.llm.quality_classifier import quality_classifier
+from lithic.llm.simhash import simhash_neardup
+from lithic.llm.substring_dedup import substring_dedup
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of ``ids``, in the columns of ``docs``."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    scored = quality_classifier(docs, table(spark, sf_dir, "labels"))
+    return _only(docs, scored.where("predicted = 1"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id stays."""
-    stay = exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(docs.columns)
+    return _only(docs, exact_dedup(docs).where("kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word SimHash, the one with the smallest id stays."""
+    return _only(docs, simhash_neardup(docs, shingle=5, max_distance=NEAR_BITS, blocks=NEAR_BLOCKS).where("component_id = doc_id"))
+
+
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring passages are taken out of the texts; every document stays."""
+    found = substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept_text")
+    joined = docs.join(found, docs.doc_id == found.cut_id, "left")
+    text = F.coalesce("kept_text", "text")
+    new = {"text": text, "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text")).otherwise(F.col("n_chars")).cast("long")}
+    return joined.select([new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's words in bins of 2048, one document of a source or of a duplicate cluster to a bin."""
+    return pack(docs)
+
 
+#: Bits by which near copies may differ, and blocks of which all but that many must be equal.
+NEAR_BITS, NEAR_BLOCKS = 6, 9
 
-STAGES = [("exact dedup", exact)]
-#: The quality classifier and SimHash cannot be expressed in SQL; tests hold run() against brute force.
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("SimHash near-dedup", near),
+    ("substring dedup", substring),
+    ("best-fit packing", packing),
+]
+#: The classifier, SimHash and packing cannot be expressed in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
