@@ -13,12 +13,12 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def for_spark(sql: str, sf_dir: str) -> str:
-    sql = sql.replace("{log}", LOG_SQL)
+    sql = sql.replace("{log}", LOG_SQL).replace("{sha}(definition)", "sha2(definition, 256)")
     return re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`" if m[1] in TABLES else m[0], sql)
 
 
 def for_duckdb(sql: str) -> str:
-    sql = sql.replace("{log}", LOG_SQL)
+    sql = sql.replace("{log}", LOG_SQL).replace("{sha}", "sha256")
     sql = re.sub(r"listagg\((.*?), '(.*?)'\) WITHIN GROUP \(ORDER BY (.*?)\)", r"string_agg(\1, '\2' ORDER BY \3)", sql)
     return re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in TABLES else m[0], sql)
 

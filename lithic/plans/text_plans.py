@@ -1,4 +1,109 @@
-from .base import Plans
+"""Plans over statement texts and types: an inline corpus in both engines."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from lithic.functions import pgtypes
+from lithic.operators import lint, parse, rules
+
+from .base import Plans, frame
 
 P = Plans()
+
+CORPUS = [
+    (1, "CREATE TABLE USERS (ID BIGINT PRIMARY KEY, EMAIL TEXT)", "TABLE", "CREATE"),
+    (2, "CREATE TABLE POSTS (ID SERIAL, TITLE VARCHAR(20), USER_ID INTEGER REFERENCES USERS)", "TABLE", "CREATE"),
+    (3, "ALTER TABLE USERS DROP COLUMN EMAIL", "TABLE", "ALTER"),
+    (4, "ALTER TABLE USERS RENAME COLUMN EMAIL TO MAIL", "TABLE", "ALTER"),
+    (5, "ALTER TABLE USERS RENAME TO ACCOUNTS", "TABLE", "ALTER"),
+    (6, "ALTER TABLE USERS ALTER COLUMN ID TYPE TEXT", "TABLE", "ALTER"),
+    (7, "CREATE INDEX I ON USERS (ID)", "INDEX", "CREATE"),
+    (8, "CREATE INDEX CONCURRENTLY I ON USERS (ID)", "INDEX", "CREATE"),
+    (9, "DROP INDEX CONCURRENTLY I", "INDEX", "DROP"),
+    (10, "DELETE FROM USERS", "TABLE", "DELETE"),
+    (11, "UPDATE USERS SET A = 1 WHERE B", "TABLE", "UPDATE"),
+    (12, "ALTER TABLE POSTS ADD CONSTRAINT C CHECK (A > 0)", "TABLE", "ALTER"),
+    (13, "ALTER TABLE POSTS ADD CONSTRAINT C FOREIGN KEY (A) REFERENCES USERS NOT VALID", "TABLE", "ALTER"),
+    (14, "DROP TABLE POSTS", "TABLE", "DROP"),
+    (15, "ALTER TYPE MOOD ADD VALUE ?", "ENUM", "ALTER"),
+    (16, "REFRESH MATERIALIZED VIEW CONCURRENTLY MV", "MATERIALIZED_VIEW", "REFRESH"),
+    (17, "GRANT SELECT ON USERS TO A", "TABLE", "GRANT"),
+    (18, "VACUUM USERS", "TABLE", "UNKNOWN"),
+    (19, "CREATE POLICY P ON USERS", "POLICY", "CREATE"),
+    (20, "ALTER TABLE USERS ADD COLUMN G INT GENERATED ALWAYS AS (1) STORED", "TABLE", "ALTER"),
+]
+ROWS = "(VALUES " + ", ".join(f"({i}, '{s}', '{t}', '{o}')" for i, s, t, o in CORPUS) + ") AS s(id, sql, object_type, operation)"
+SOURCE = f"SELECT * FROM {ROWS}"
+
+P.frame(
+    "lock_levels",
+    lambda s: s.select("id", lint.lock_level(F.col("sql"), F.col("object_type"), F.col("operation")).alias("lock"), lint.no_transaction(F.col("sql")).alias("no_txn"), lint.version_gate(F.col("sql"), F.col("object_type")).alias("gate")),
+    (SOURCE,),
+    f"""SELECT id, CASE WHEN operation IN ('INSERT', 'UPDATE', 'DELETE') THEN 'ROW_EXCLUSIVE' WHEN sql LIKE '%REFRESH MATERIALIZED VIEW%' AND sql LIKE '%CONCURRENTLY%' THEN 'EXCLUSIVE'
+  WHEN operation = 'CREATE' THEN CASE object_type WHEN 'INDEX' THEN CASE WHEN sql LIKE '%CONCURRENTLY%' THEN 'SHARE_UPDATE_EXCLUSIVE' ELSE 'SHARE' END WHEN 'TABLE' THEN 'NONE' WHEN 'VIEW' THEN 'NONE' WHEN 'ENUM' THEN 'NONE' ELSE 'ACCESS_EXCLUSIVE' END
+  WHEN operation = 'ALTER' THEN CASE WHEN object_type IN ('ENUM', 'TYPE') AND sql LIKE '%ADD VALUE%' OR object_type = 'TABLE' AND sql LIKE '%ADD CONSTRAINT%NOT VALID%' THEN 'SHARE_UPDATE_EXCLUSIVE' ELSE 'ACCESS_EXCLUSIVE' END
+  WHEN operation = 'DROP' AND object_type = 'INDEX' AND sql LIKE '%CONCURRENTLY%' THEN 'SHARE_UPDATE_EXCLUSIVE' WHEN sql LIKE '%VACUUM%' THEN 'SHARE_UPDATE_EXCLUSIVE' ELSE 'ACCESS_EXCLUSIVE' END AS lock,
+  sql LIKE '%CONCURRENTLY%' OR sql LIKE '%VACUUM%' AS no_txn,
+  CASE WHEN object_type = 'ENUM' AND sql LIKE '%ADD VALUE%' THEN 'PG<12: Cannot run in transaction' WHEN sql LIKE '%GENERATED ALWAYS%' THEN 'PG>=12' ELSE '' END AS gate FROM {ROWS}""",
+)
+P.frame("lint_predicates", lint.violations, (SOURCE,), " UNION ALL ".join(
+    f"SELECT id, '{code}' AS code FROM {ROWS} WHERE regexp_matches(sql, '{yes}')" + (f" AND NOT regexp_matches(sql, '{no}')" if no else "") for code, (yes, no) in lint.RULES.items()))
+P.sql("lint_suppression", """
+SELECT v.id, v.code FROM (VALUES (1, 'A', 3), (2, 'B', 5), (3, 'A', 9), (4, 'C', 9)) v(id, code, line) WHERE NOT EXISTS (SELECT 1 FROM (VALUES ('A', 1, 4), ('C', 9, 9), ('D', 0, 99)) d(code, low, high) WHERE d.code = v.code AND v.line BETWEEN d.low AND d.high)
+UNION ALL SELECT -1, d.code FROM (VALUES ('A', 1, 4), ('C', 9, 9), ('D', 0, 99)) d(code, low, high) WHERE NOT EXISTS (SELECT 1 FROM (VALUES (1, 'A', 3), (2, 'B', 5), (3, 'A', 9), (4, 'C', 9)) v(id, code, line) WHERE d.code = v.code AND v.line BETWEEN d.low AND d.high)""")
+
+TYPES = ["smallint", "int4", "bigint", "numeric(10,2)", "real", "double precision", "varchar(20)", "character", "text", "date", "timestamp without time zone", "timestamp with time zone", "boolean", "json", "jsonb", "uuid"]
+T_ROWS = "(VALUES " + ", ".join(f"('{t}')" for t in TYPES) + ")"
+PAIRS = lambda table: ", ".join(f"('{a}', '{b}')" for a, bs in table.items() for b in bs.split(","))
+
+
+def type_cast_lattice(spark: SparkSession, sf_dir: str):
+    return pgtypes.lattice(spark, TYPES)
+
+
+P.queries["type_cast_lattice"] = type_cast_lattice
+P.oracle["type_cast_lattice"] = f"""
+WITH t AS (SELECT name, CASE trim(regexp_replace(name, '\\([^)]*\\)', '')) WHEN 'int4' THEN 'integer' WHEN 'varchar' THEN 'character varying' ELSE trim(regexp_replace(name, '\\([^)]*\\)', '')) END AS n FROM {T_ROWS} t(name)),
+i AS (SELECT * FROM (VALUES {PAIRS(pgtypes.IMPLICIT)}) i(a, b)), s AS (SELECT * FROM (VALUES {PAIRS(pgtypes.ASSIGNMENT)}) s(a, b)), l AS (SELECT * FROM (VALUES {PAIRS(pgtypes.LOSSY)}) l(a, b)),
+k AS (SELECT x.name AS source, y.name AS target, x.n AS a, y.n AS b, CASE WHEN x.n = y.n THEN 'same' WHEN (x.n, y.n) IN (SELECT (a, b) FROM i) THEN 'implicit' WHEN (x.n, y.n) IN (SELECT (a, b) FROM s) THEN 'assignment'
+  WHEN y.n IN ('text', 'character varying') OR x.n IN ('text', 'character varying') AND y.n IN (SELECT name FROM t) OR x.n IN ('smallint', 'integer', 'bigint', 'numeric', 'real', 'double precision') AND y.n IN ('smallint', 'integer', 'bigint', 'numeric', 'real', 'double precision')
+    OR x.n LIKE ANY (['date', 'timestamp%']) AND y.n LIKE ANY (['date', 'timestamp%']) OR x.n LIKE 'json%' AND y.n LIKE 'json%' THEN 'explicit' ELSE 'none' END AS kind FROM t x, t y)
+SELECT source, target, kind, kind = 'explicit' AND (a, b) IN (SELECT (a, b) FROM l) AS lossy, 'ALTER COLUMN c TYPE ' || target || CASE WHEN kind = 'explicit' THEN ' USING c::' || target ELSE '' END AS ddl, kind <> 'none' AS reversible FROM k""".replace(" LIKE ANY (['date', 'timestamp%'])", " SIMILAR TO '(date|timestamp.*)'")
+P.frame("type_facts", lambda t: t.select("name", pgtypes.normalised(F.col("name")).alias("normal"), pgtypes.size(F.col("name")).alias("size"), pgtypes.dimensions(F.col("name")).alias("dims")), ("SELECT name FROM (VALUES ('INT4'), ('numeric(10,2)'), ('text[]'), ('bool'), ('int8[][]'), ('timestamp')) t(name)",), """
+SELECT * FROM (VALUES ('INT4', 'integer', 4, 0), ('numeric(10,2)', 'numeric', -1, 0), ('text[]', 'text[]', -1, 1), ('bool', 'boolean', 1, 0), ('int8[][]', 'int8[][]', -1, 2), ('timestamp', 'timestamp', 8, 0)) t(name, normal, size, dims)""")
+P.sql("publication_dedup", """
+SELECT pub, sch, tab, pos FROM (SELECT *, row_number() OVER (PARTITION BY pub, sch, tab ORDER BY pos) AS rn FROM (VALUES ('p', 'public', 'a', 1), ('p', 'public', 'b', 2), ('p', 'public', 'a', 3), ('q', 'public', 'a', 4)) m(pub, sch, tab, pos)) x WHERE rn = 1""")
+P.sql("plugin_detection", """
+SELECT p.name, bool_or(lower(s.sql) LIKE concat('%', p.mark, '%')) AS found, sum(CASE WHEN lower(s.sql) LIKE concat('%', p.mark, '%') THEN 1 ELSE 0 END) > 1 AS certain
+FROM (VALUES ('users', 'users'), ('prisma', '_prisma_migrations'), ('vectors', 'vector'), ('vacuum', 'vacuum')) p(name, mark) JOIN """ + ROWS + """ ON TRUE GROUP BY p.name""")
+P.sql("rollback_plan", "SELECT id, row_number() OVER (ORDER BY id DESC) AS step, CASE operation WHEN 'CREATE' THEN concat('DROP ', object_type) WHEN 'DROP' THEN 'RESTORE' WHEN 'GRANT' THEN 'REVOKE' WHEN 'ALTER' THEN 'REVERT' ELSE 'MANUAL' END AS action FROM " + ROWS)
+HISTORY = {
+    1: "CREATE TABLE users (id bigint PRIMARY KEY, name text);\nCREATE TYPE mood AS ENUM ('ok');",
+    2: "ALTER TABLE users ADD COLUMN email text;\nCREATE FUNCTION f(a int, b text) RETURNS int LANGUAGE sql AS $$ SELECT 1; $$;",
+    3: "CREATE VIEW v AS SELECT u.id FROM users u JOIN posts p ON p.id = u.id;\nINSERT INTO users VALUES (1, 'a;b');\n-- note\nGRANT SELECT, UPDATE ON users TO reader, writer;",
+    4: "ALTER TABLE users RENAME TO accounts;\nDROP TYPE mood;\nCREATE POLICY own ON accounts;",
+}
+
+
+def statement_log(spark: SparkSession, sf_dir: str):
+    """The inline history, split and classified."""
+    files = spark.createDataFrame([(k, f"{k}.sql", v) for k, v in HISTORY.items()], "seq long, filename string, content string")
+    return parse.statement_log(files).select("seq", "stmt_idx", "object_type", "operation", "object_name", "category", "function_signature", F.array_join("dependencies", ",").alias("dependencies"), F.array_join("grantees", ",").alias("grantees"))
+
+
+def consolidated(spark: SparkSession, sf_dir: str):
+    files = spark.createDataFrame([(k, f"{k}.sql", v) for k, v in HISTORY.items()], "seq long, filename string, content string")
+    return rules.consolidate(parse.statement_log(files))
+
+
+P.queries["statement_log"] = statement_log
+P.oracle["statement_log"] = """SELECT * FROM (VALUES
+ (1, 0, 'TABLE', 'CREATE', 'users', 'tables', '', '', ''), (1, 1, 'ENUM', 'CREATE', 'mood', 'types', '', '', ''), (2, 0, 'TABLE', 'ALTER', 'users', 'tables', '', '', ''),
+ (2, 1, 'FUNCTION', 'CREATE', 'f', 'functions', '(integer,text)', '', ''), (3, 0, 'VIEW', 'CREATE', 'v', 'views', '', 'users,posts', ''), (3, 1, 'TABLE', 'INSERT', 'users', 'data', '', '', ''),
+ (3, 2, 'TABLE', 'GRANT', 'users', 'tables', '', '', 'reader,writer'), (4, 0, 'TABLE', 'ALTER', 'users', 'tables', '', '', ''), (4, 1, 'TYPE', 'DROP', 'mood', 'types', '', '', ''), (4, 2, 'POLICY', 'CREATE', 'own', 'policies', '', 'accounts', ''))
+ t(seq, stmt_idx, object_type, operation, object_name, category, function_signature, dependencies, grantees)"""
+P.queries["consolidation"] = consolidated
+
 QUERIES, ORACLE_SQL = P.queries, P.oracle
