@@ -40,7 +40,8 @@ def found_twice() -> Column:
 
 def n_covered(n: int) -> Column:
     """How many words the windows at ``places`` cover."""
-    return F.size(F.array_distinct(F.concat(*[F.transform("places", lambda p, k=k: p + F.lit(k)) for k in range(n)])))
+    moved = lambda k: F.transform("places", lambda p: p + F.lit(k))
+    return F.size(F.array_distinct(F.concat(*map(moved, range(n)))))
 
 
 def hashed(df: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
