@@ -145,11 +145,12 @@ def blocks(page: str) -> list[Block]:
 
 def margins(found: list[Block], texts: list[str]) -> list[int]:
     """For each block the cost of calling it boilerplate less that of calling it content."""
-    out = []
+    out, marked = [], any(b.leaning >= 2 for b in found)
     for b, t in zip(found, texts, strict=True):
         share = b.linked / max(1, sum(map(len, b.parts)))
-        own = min(len(t), 400) / 200 - 1 - (4 if b.leaning <= 0 else 1) * (share > 0.6)
-        out.append(round(SCALE * (b.leaning + own + 0.1)))
+        # Where the page marks its content, text elsewhere is doubtful; where it doesn't, plain text is content.
+        own = min(len(t), 400) / 200 - (2.5 if marked and b.leaning <= 0 else -0.3) - (4 if b.leaning <= 0 else 1) * (share > 0.6)
+        out.append(round(SCALE * (b.leaning + own)))
     return out
 
 
