@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lithic.functions import pgtypes
-from lithic.operators import lint, parse, rules
+from lithic.operators import extras, lint, parse, rules
 
 from .base import Plans, frame
 
@@ -79,6 +79,17 @@ P.sql("plugin_detection", """
 SELECT p.name, bool_or(lower(s.sql) LIKE concat('%', p.mark, '%')) AS found, sum(CASE WHEN lower(s.sql) LIKE concat('%', p.mark, '%') THEN 1 ELSE 0 END) > 1 AS certain
 FROM (VALUES ('users', 'users'), ('prisma', '_prisma_migrations'), ('vectors', 'vector'), ('vacuum', 'vacuum')) p(name, mark) JOIN """ + ROWS + """ ON TRUE GROUP BY p.name""")
 P.sql("rollback_plan", "SELECT id, row_number() OVER (ORDER BY id DESC) AS step, CASE operation WHEN 'CREATE' THEN concat('DROP ', object_type) WHEN 'DROP' THEN 'RESTORE' WHEN 'GRANT' THEN 'REVOKE' WHEN 'ALTER' THEN 'REVERT' ELSE 'MANUAL' END AS action FROM " + ROWS)
+USES = "SELECT * FROM (VALUES (1, 'CREATE EXTENSION IF NOT EXISTS \"uuid-ossp\"'), (2, 'SELECT earth_distance(a, b)'), (3, 'SELECT crypt(a, b), auth.uid()'), (4, 'SELECT st_area(g)'), (5, 'SELECT clerk_user_id()'), (6, 'ALTER TABLE a OWNER TO b'), (7, 'ALTER TABLE a DROP CONSTRAINT c'), (8, 'ALTER TABLE a ADD COLUMN d int')) AS s(id, sql)"
+P.frame("required_extensions", extras.required_extensions, (USES,), "SELECT * FROM (VALUES ('uuid-ossp', 4), ('earthdistance', 2), ('cube', 1), ('pgcrypto', 8), ('postgis', 3)) t(extension, place)")
+P.frame("auth_service", lambda s: s.select("id", extras.auth_service(F.col("sql")).alias("service")), (USES,), f"SELECT id, CASE WHEN sql LIKE '%clerk_user_id(%' THEN 'clerk' WHEN sql LIKE '%auth.uid()%' THEN 'supabase' ELSE 'none' END AS service FROM ({USES})")
+P.frame("separate_alters", extras.separate_alters, (USES,), "SELECT * FROM (VALUES (6, 'OWNER'), (7, 'CONSTRAINT')) t(id, reasons)")
+EDGES = "SELECT s_nationkey AS cycle, concat('o', CAST(s_suppkey AS STRING)) AS src, concat('o', CAST(s_suppkey + 1 AS STRING)) AS dst, CASE s_suppkey % 4 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'VIEW' WHEN 2 THEN 'FUNCTION' ELSE 'SCHEMA' END AS src_type, CASE s_suppkey % 3 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'VIEW' ELSE 'FUNCTION' END AS dst_type FROM {supplier}"
+P.frame("removed_edges", extras.removed_edges, (EDGES,), f"""
+WITH w AS (SELECT cycle, src, dst, 100 + CASE WHEN src_type = 'SCHEMA' OR dst_type = 'SCHEMA' THEN 200 ELSE 0 END + CASE WHEN src_type = 'TABLE' AND dst_type = 'TABLE' THEN 150 ELSE 0 END
+  - CASE WHEN src_type = 'FUNCTION' AND dst_type = 'FUNCTION' THEN 50 ELSE 0 END - CASE WHEN src_type = 'VIEW' OR dst_type = 'VIEW' THEN 30 ELSE 0 END AS weight FROM ({EDGES}))
+SELECT cycle, src, dst, weight FROM w QUALIFY row_number() OVER (PARTITION BY cycle ORDER BY weight, src, dst) = 1""")
+P.frame("transaction_groups", extras.transaction_groups, oracle="""
+SELECT k, count(*) AS n, CAST(count(*) FILTER (no_txn) + max(CASE WHEN no_txn THEN 0 ELSE 1 END) AS BIGINT) AS transactions FROM {log} GROUP BY k HAVING count(*) > 2""")
 HISTORY = {
     1: "CREATE TABLE users (id bigint PRIMARY KEY, name text);\nCREATE TYPE mood AS ENUM ('ok');",
     2: "ALTER TABLE users ADD COLUMN email text;\nCREATE FUNCTION f(a int, b text) RETURNS int LANGUAGE sql AS $$ SELECT 1; $$;",

@@ -2,7 +2,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lithic.functions import sqltext as t
-from lithic.operators import graph, lint, normalize
+from lithic.operators import extras, graph, lint, normalize
 from lithic.sources import sinks
 
 
@@ -67,3 +67,12 @@ def test_sinks(tmp_path):
     sinks.write_text(str(tmp_path / "x" / "a.sql"), "SELECT 1")
     assert (tmp_path / "x" / "a.sql").read_text() == "SELECT 1"
     assert sinks.grant(["SELECT"], "t", ["b", "a"], True) == "GRANT SELECT ON t TO a, b WITH GRANT OPTION;"
+
+
+def test_rollback_and_repairs():
+    assert extras.rollback_statement("CREATE UNIQUE INDEX CONCURRENTLY i ON t (a)") == "DROP INDEX IF EXISTS i;"
+    assert extras.rollback_statement("ALTER TABLE t RENAME COLUMN a TO b") == "ALTER TABLE t RENAME COLUMN b TO a;"
+    assert extras.rollback_statement("GRANT SELECT ON t TO a WITH GRANT OPTION;") == "REVOKE SELECT ON t FROM a;"
+    assert extras.rollback_statement("DROP TABLE t") is None
+    assert extras.repaired_policies("CREATE POLICY p ON t; DROP POLICY p;") == "CREATE POLICY p ON t; DROP POLICY p ON t;"
+    assert extras.placed_after_create("CREATE TABLE t ()", [(2, "B"), (1, "A;")]) == "CREATE TABLE t ();\nA;\nB;"
