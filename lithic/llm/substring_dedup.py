@@ -18,6 +18,7 @@ no single task. A window is known by 128 bits: its own 64-bit hash and that of i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from hashlib import sha256
 
 import ahocorasick
@@ -50,11 +51,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def rolling(x: np.ndarray, k: int) -> np.ndarray:
-    """At each place the hash of k words from there on; the last k - 1 are of no use."""
-    out = np.zeros(len(x), np.uint64)
-    for j in range(k):
-        out *= ODD
-        out[: len(x) - j] += x[j:]
+    """At each place the hash of k words from there on, put together from spans of 1, 2, 4, ... words; the last k - 1 are of no use."""
+    span, power, out, taken, factor = x.copy(), ODD, np.zeros(len(x), np.uint64), 0, np.uint64(1)
+    size = 1
+    while size <= k:
+        if k & size:  # this span follows what is taken
+            rest = len(x) - taken
+            if rest > 0:
+                out[:rest] = out[:rest] + span[taken:] * factor
+            taken, factor = taken + size, factor * power
+        if len(x) > size:
+            span[:-size] += span[size:] * power
+        size, power = 2 * size, power * power
     return mixed(out)
 
 
@@ -69,17 +77,39 @@ def least_within(x: np.ndarray, k: int) -> np.ndarray:
     return place
 
 
+class Ids(dict):
+    """A number for each word, given at first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = len(self)
+        return out
+
+
 class Texts:
     """Some documents' words in one row, with windows and anchors. ``words``: a list for each document."""
 
     def __init__(self, words: list[list[bytes]], hashes: WordHashes, width: int) -> None:
+        self.width, self.flat = width, [w for ws in words for w in ws]
         self.lengths = np.array([len(w) for w in words], np.int64)
         self.ends = np.cumsum(self.lengths)
-        x = hashes.of([w for ws in words for w in ws])
-        self.phrase = rolling(x, PHRASE)
-        self.whole = np.arange(len(x)) + width <= np.repeat(self.ends, self.lengths)  # a window begins here
-        self.anchor = least_within(self.phrase, width - PHRASE + 1)
-        self.window = rolling(x, width)
+        self.x = hashes.of(self.flat)
+
+    @cached_property
+    def whole(self) -> np.ndarray:
+        """Whether a window begins at a place."""
+        return np.arange(len(self.x)) + self.width <= np.repeat(self.ends, self.lengths)
+
+    @cached_property
+    def phrase(self) -> np.ndarray:
+        return rolling(self.x, PHRASE)
+
+    @cached_property
+    def window(self) -> np.ndarray:
+        return rolling(self.x, self.width)
+
+    @cached_property
+    def anchor(self) -> np.ndarray:
+        return least_within(self.phrase, self.width - PHRASE + 1)
 
     def anchors(self) -> np.ndarray:
         return np.unique(self.anchor[self.whole])
@@ -125,33 +155,31 @@ def anchor_rows(width: int):
 
 
 LOCATED = "doc_id long, n_words long, sha string, text binary, runs array<struct<g:long,h:long,lo:int,n:int>>"
-RUN = pa.struct([("g", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
 
 
-def locate(words: list[list[bytes]], recurring: np.ndarray, width: int) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
-    """(document, its runs) for the documents of a shard in which the automaton of its recurring phrases finds any."""
-    hashes, ids, phrases = WordHashes(), {}, set()
-    number = lambda ws: tuple([ids.setdefault(w, len(ids)) for w in ws])
-    kept = []
+def locate(words: list[list[bytes]], recurring: np.ndarray, width: int) -> dict[str, np.ndarray]:
+    """The runs of a shard's documents, found by the automaton of its recurring phrases: doc, g, h, lo and n of each, in order."""
+    hashes, ids, phrases, kept = WordHashes(), Ids(), set(), []
+    number = lambda ws: tuple(map(ids.__getitem__, ws))
     for first, some in chunks(words):
         t = Texts(some, hashes, width)
-        flat = [w for ws in some for w in ws]
         at = t.anchors()
-        for p in at[np.isin(t.phrase[at], recurring)]:
-            phrases.add(number(flat[p : p + PHRASE]))
-        kept.append((first, some, t))
-    if not phrases:
-        return
+        at = at[np.isin(t.phrase[at], recurring)]
+        if len(at):
+            phrases.update(number(t.flat[p : p + PHRASE]) for p in at.tolist())
+            kept.append((first, some, t, np.unique(t.doc_of(at)).tolist()))
+    none = {"doc": np.int64, "g": np.int64, "h": np.int64, "lo": np.int32, "n": np.int32}
+    parts = [{k: np.zeros(0, kind) for k, kind in none.items()}]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     for p in phrases:
         automaton.add_word(p, 1)
     automaton.make_automaton()
-    for first, some, t in kept:
-        found = np.zeros(len(t.phrase), bool)
-        for k, ws in enumerate(some):
-            begin = int(t.ends[k]) - len(ws) - PHRASE + 1
-            if hits := [begin + end for end, _ in automaton.iter(number(ws))]:
-                found[hits] = True
+    for first, some, t, docs in kept:
+        found = np.zeros(len(t.x), bool)
+        for k in docs:  # the others have no recurring anchor
+            begin = int(t.ends[k]) - len(some[k]) - PHRASE + 1
+            hits = [end for end, _ in automaton.iter(number(some[k]))]
+            found[np.array(hits, np.int64) + begin] = True
         mine = np.flatnonzero(t.whole & found[t.anchor])
         if not len(mine):
             continue
@@ -161,11 +189,8 @@ def locate(words: list[list[bytes]], recurring: np.ndarray, width: int) -> Itera
         begin, last, anchor = mine[lo], mine[lo + n - 1], anchor[lo]
         run = mixed(t.window[begin] * ODD + mixed(t.window[last] + n.astype(np.uint64)) + (anchor - begin).astype(np.uint64))
         doc = t.doc_of(begin)
-        rows = zip(t.phrase[anchor].view(np.int64).tolist(), run.view(np.int64).tolist(), (begin - (t.ends - t.lengths)[doc]).tolist(), n.tolist(), strict=True)
-        by_doc: dict[int, list] = {}
-        for d, r in zip(doc.tolist(), rows, strict=True):
-            by_doc.setdefault(first + d, []).append(r)
-        yield from by_doc.items()
+        parts.append({"doc": doc + first, "g": t.phrase[anchor].view(np.int64), "h": run.view(np.int64), "lo": (begin - (t.ends - t.lengths)[doc]).astype(np.int32), "n": n.astype(np.int32)})
+    return {k: np.concatenate([p[k] for p in parts]) for k in none}
 
 
 def locate_rows(width: int):
@@ -173,16 +198,19 @@ def locate_rows(width: int):
 
     def flush(recurring: list[np.ndarray], ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         words = [t.split() for t in texts]
-        runs = dict(locate(words, np.unique(np.concatenate(recurring)), width)) if recurring else {}
+        runs = locate(words, np.unique(np.concatenate([np.zeros(0, np.uint64), *recurring])), width)
+        cuts = np.searchsorted(runs["doc"], np.arange(len(ids) + 1))
+        values = pa.StructArray.from_arrays([pa.array(runs[k]) for k in ("g", "h", "lo", "n")], ["g", "h", "lo", "n"])
         for i in range(0, len(ids), 256):
             part = range(i, min(i + 256, len(ids)))
+            of = cuts[i : part.stop + 1]
             yield pa.record_batch(
                 [
                     pa.array([ids[k] for k in part], pa.int64()),
                     pa.array([len(words[k]) for k in part], pa.int64()),
                     pa.array([sha256(b" ".join(words[k])).hexdigest() for k in part], pa.string()),
-                    pa.array([texts[k] if k in runs else None for k in part], pa.binary()),
-                    pa.array([[dict(zip("g h lo n".split(), r, strict=True)) for r in runs.get(k, [])] for k in part], pa.list_(RUN)),
+                    pa.array([texts[k] if cuts[k + 1] > cuts[k] else None for k in part], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array((of - of[0]).astype(np.int32)), values.slice(of[0], of[-1] - of[0])),
                 ],
                 ["doc_id", "n_words", "sha", "text", "runs"],
             )
@@ -217,13 +245,18 @@ def window_rows(width: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for uid, text, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                t = Texts([text.split()], hashes, width)
-                n = np.array([r["n"] for r in runs])
-                s = np.repeat(np.array([r["lo"] for r in runs]) - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                g, copies = (np.repeat(np.array([r[c] for r in runs], np.int64), n) for c in ("g", "copies"))
+            uids, runs = batch.column(0).to_numpy(), batch.column(2)
+            for first, words in chunks([t.split() for t in batch.column(1).to_pylist()]):
+                t = Texts(words, hashes, width)
+                some = runs.slice(first, len(words))
+                doc = np.repeat(np.arange(len(words)), some.value_lengths().to_numpy())
+                g, lo, n, copies = (some.flatten().field(k).to_numpy() for k in ("g", "lo", "n", "copies"))
+                begin = lo + (t.ends - t.lengths)[doc]
+                each_run = np.repeat(np.arange(len(n)), n)
+                nth = np.arange(len(each_run)) - np.repeat(np.cumsum(n) - n, n)
                 yield pa.record_batch(
-                    [longs(t.window[s]), pa.array(g), pa.array(np.full(len(s), uid)), pa.array(s.astype(np.int32)), pa.array(copies)], ["w", "g", "uid", "s", "copies"]
+                    [longs(t.window[begin[each_run] + nth]), pa.array(g[each_run]), pa.array(uids[first + doc[each_run]]), pa.array((lo[each_run] + nth).astype(np.int32)), pa.array(copies[each_run])],
+                    ["w", "g", "uid", "s", "copies"],
                 )
 
     return each
@@ -263,8 +296,9 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_shards = max(1, -(-rows.count() // shard_rows))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int"))
     anchors = rows.select("shard", "text").mapInArrow(anchor_rows(width), "h long, shard int")
-    recurring = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("again"))
-    wanted = anchors.join(recurring, F.col("h") == F.col("again"), "left_semi").distinct()
+    anchors = anchors.groupBy("h", "shard").agg(F.count(F.lit(1)).alias("n"))  # a very common one: a row for each shard at most
+    recurring = anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("h").alias("again"))
+    wanted = anchors.join(recurring, F.col("h") == F.col("again"), "left_semi")
     dealt = wanted.select("shard", F.lit(0).alias("kind"), "h", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     dealt = dealt.union(rows.select("shard", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("h"), "doc_id", "text"))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "kind")
