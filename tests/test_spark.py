@@ -45,3 +45,17 @@ def test_normalised_log(spark):
 def test_acl_replay_option(spark):
     df = spark.createDataFrame([(1, 1, 7, "GRANT", True), (1, 2, 7, "GRANT", False), (1, 3, 8, "GRANT", True), (1, 4, 8, "REVOKE", True), (1, 5, 9, "GRANT", False), (1, 6, 9, "REVOKE", False)], "k int, pos int, grantee int, action string, option boolean")
     assert {(r.grantee, r.grant_option) for r in folds.acl_replay(df).collect()} == {(7, True), (8, False)}
+
+
+def test_delegated_grants(spark):
+    from lithic.operators import acl
+
+    rows = [
+        ("t", "TABLE", 1, "CREATE", "me", None, None, None), ("t", "TABLE", 2, "GRANT", "me", "a", "SELECT", True), ("t", "TABLE", 3, "GRANT", "a", "b", "SELECT", False), ("t", "TABLE", 4, "GRANT", "b", "c", "SELECT", False),
+        ("t", "TABLE", 5, "GRANT", "me", "d", "SELECT", False), ("u", "TABLE", 1, "CREATE", "me", None, None, None), ("u", "TABLE", 2, "GRANT", "me", "a", "UPDATE", True), ("u", "TABLE", 3, "GRANT", "a", "b", "UPDATE", False),
+        ("u", "TABLE", 4, "REVOKE", "me", "a", "UPDATE", False), ("f", "FUNCTION", 1, "CREATE", "me", None, None, None), ("g", "TABLE", 1, "CREATE", "me", None, None, None), ("g", "TABLE", 2, "DROP", None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "object string, kind string, pos int, action string, grantor string, grantee string, privilege string, option boolean")
+    net = acl.replay(df)
+    assert {tuple(r) for r in net.collect()} == {("t", "a", "SELECT", True), ("t", "b", "SELECT", False), ("t", "d", "SELECT", False), ("f", "public", "EXECUTE", False)}
+    assert "GRANT SELECT ON t TO b, d;" in acl.privileges_section(net, ["b", "a"])
