@@ -16,8 +16,9 @@ from lithic.llm.substring_dedup import substring_dedup
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one of ``ids``, in the columns of ``docs``."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """The rows of ``docs`` with one of ``ids``, in the columns of ``docs``. Rows without an id stay together if one of them stays."""
+    ids = ids.select(F.col("doc_id").alias("stay_id")).distinct()
+    return docs.join(ids, docs.doc_id.eqNullSafe(ids.stay_id), "left_semi").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +34,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word SimHash, the one with the smallest id stays."""
-    return _only(docs, simhash_neardup(docs, shingle=5, max_distance=NEAR_BITS, blocks=NEAR_BLOCKS).where("component_id = doc_id"))
+    return _only(docs, simhash_neardup(docs, shingle=5, max_distance=NEAR_BITS, blocks=NEAR_BLOCKS).where("component_id <=> doc_id"))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring passages are taken out of the texts; every document stays."""
-    found = substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept_text")
+    """Recurring passages are taken out of the texts; every document stays. Rows with one id are taken to have one text."""
+    found = substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept_text").dropDuplicates(["cut_id"])
     joined = docs.join(found, docs.doc_id == found.cut_id, "left")
     text = F.coalesce("kept_text", "text")
     new = {"text": text, "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text")).otherwise(F.col("n_chars")).cast("long")}
