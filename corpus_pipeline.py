@@ -34,7 +34,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word SimHash, the one with the smallest id stays."""
-    return _only(docs, simhash_neardup(docs, shingle=5, max_distance=NEAR_BITS, blocks=NEAR_BLOCKS).where("component_id <=> doc_id"))
+    return _only(docs, simhash_neardup(docs, shingle=5, max_distance=NEAR_BITS, blocks=NEAR_BLOCKS, max_total=NEAR_OF_128).where("component_id <=> doc_id"))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-#: Bits by which near copies may differ, and blocks of which all but that many must be equal.
-NEAR_BITS, NEAR_BLOCKS = 6, 9
+#: Near copies differ in at most so many of 64 bits, and in so many of 128: SimHash's estimate of a similarity (Jaccard) of 0.8.
+#: Of the blocks, all but NEAR_BITS must be equal somewhere, which finds every such pair.
+NEAR_BITS, NEAR_BLOCKS, NEAR_OF_128 = 8, 11, 19
 
 STAGES = [
     ("quality classifier", quality),
