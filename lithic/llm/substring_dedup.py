@@ -298,7 +298,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     anchors = rows.select("shard", "text").mapInArrow(anchor_rows(width), "h long, shard int")
     anchors = anchors.groupBy("h", "shard").agg(F.count(F.lit(1)).alias("n"))  # a very common one: a row for each shard at most
     recurring = anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("h").alias("again"))
-    wanted = anchors.join(recurring, F.col("h") == F.col("again"), "left_semi")
+    # Both sides need n, so that they are one exchange and the texts are read once for it.
+    wanted = anchors.where("n > 0").join(recurring, F.col("h") == F.col("again"), "left_semi")
     dealt = wanted.select("shard", F.lit(0).alias("kind"), "h", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     dealt = dealt.union(rows.select("shard", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("h"), "doc_id", "text"))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "kind")
