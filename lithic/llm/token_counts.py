@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPACE_MARK, NODES = "▁", 600_000
+SPACE_MARK, NODES = "▁", 1_500_000
 
 
 class PrefixTrie:
@@ -30,40 +30,46 @@ class PrefixTrie:
         self.clear()
 
     def clear(self) -> None:
-        self.child: list[dict[str, int]] = [{}]
+        self.child: dict[int, int] = {}  # (node << 21 | character) -> node
         self.forward, self.tokens = [0.0], [0]
         self.terminal: dict[str, int] = {}
 
     def insert(self, word: str) -> int:
         """The token count of a pre-token, which becomes a terminal."""
-        text, path, node = SPACE_MARK + word, [0], 0
+        text, path, node, child = SPACE_MARK + word, [0], 0, self.child
         for end, c in enumerate(text, 1):
-            below = self.child[node].get(c)
+            below = child.get(node << 21 | ord(c))
             if below is None:
-                below = self._grow(node, c, text, end, path)
+                return self._grow(text, end, path)
             path.append(node := below)
         self.terminal[word] = self.tokens[node]
         return self.tokens[node]
 
-    def _grow(self, node: int, c: str, text: str, end: int, path: list[int]) -> int:
-        n_bytes = len(c.encode("utf-8", "replace"))
-        best, count = self.forward[node] + n_bytes * self.byte_score, self.tokens[node] + n_bytes
-        for begin in range(end - 1, max(-1, end - 1 - self.longest.get(c, 0)), -1):
-            if (s := self.scores.get(text[begin:end])) is not None and self.forward[path[begin]] + s > best:
-                best, count = self.forward[path[begin]] + s, self.tokens[path[begin]] + 1
-        self.child[node][c] = made = len(self.child)
-        self.child.append({})
-        self.forward.append(best)
-        self.tokens.append(count)
-        return made
+    def _grow(self, text: str, end: int, path: list[int]) -> int:
+        """The nodes from the ``end``-th character on, below the last of ``path``; then as insert."""
+        forward, tokens, score, longest, child = self.forward, self.tokens, self.scores.get, self.longest, self.child
+        for end in range(end, len(text) + 1):
+            c, node = text[end - 1], path[-1]
+            n_bytes = 1 if c < "\x80" else len(c.encode("utf-8", "replace"))
+            best, count = forward[node] + n_bytes * self.byte_score, tokens[node] + n_bytes
+            for begin in range(end - 1, max(-1, end - 1 - longest.get(c, 0)), -1):
+                if (s := score(text[begin:end])) is not None and (total := forward[path[begin]] + s) > best:
+                    best, count = total, tokens[path[begin]] + 1
+            child[node << 21 | ord(c)] = made = len(forward)
+            forward.append(best)
+            tokens.append(count)
+            path.append(made)
+        self.terminal[text[1:]] = tokens[-1]
+        return tokens[-1]
 
     def count(self, text: str | None) -> tuple[int, int]:
         """(pre-tokens, tokens) of a text."""
         words = [w.decode() for w in (text or "").encode("utf-8", "replace").split()]
-        if len(self.child) > NODES:
+        if len(self.forward) > NODES:
             self.clear()
-        for w in set(words) - self.terminal.keys():
-            self.insert(w)
+        for w in set(words):
+            if w not in self.terminal:
+                self.insert(w)
         return len(words), sum(map(self.terminal.__getitem__, words))
 
 
