@@ -164,7 +164,7 @@ class Encoder:
         if len(self.ids) > STORE:
             self._forget()
         words = [self.pre_tokens(t) for t in texts]
-        new = list(set().union(*words) - self.ids.keys())
+        new = [w for w in set().union(*words) if w not in self.ids]
         for w, ids in zip(new, self.bpe.encode_words(w.encode() for w in new), strict=True):
             self.ids[w], self.bytes[w] = ",".join(map(str, ids)), b"".join([self.bpe.text_of[k] for k in ids])
         for ws in words:

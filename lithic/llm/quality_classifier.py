@@ -72,7 +72,7 @@ class Vectors:
             if size >= 300_000 or k + 1 == len(texts):
                 if len(self.row) > KNOWN:
                     self.forget()
-                if new := list(set().union(*held) - self.row.keys()):
+                if new := [w for w in set().union(*held) if w not in self.row]:
                     self.learn(new)
                 for words in held:
                     yield np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
