@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lithic.llm.common import checkpoint_dir, table
 from lithic.llm.exact_dedup import exact_dedup
+from lithic.llm.near_dedup import near_dedup
 from lithic.llm.packing import pack
 from lithic.llm.quality_classifier import quality_classifier
-from lithic.llm.simhash import simhash_neardup
 from lithic.llm.substring_dedup import substring_dedup
 
 
@@ -33,8 +33,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word SimHash, the one with the smallest id stays."""
-    return _only(docs, simhash_neardup(docs, shingle=5, max_distance=NEAR_BITS, blocks=NEAR_BLOCKS, max_total=NEAR_OF_128).where("component_id <=> doc_id"))
+    """Of documents linked by an exact five-word Jaccard similarity of 0.8 or more, the one with the smallest id stays."""
+    return _only(docs, near_dedup(docs).where("component_id <=> doc_id"))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,18 +51,14 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-#: Near copies differ in at most so many of 64 bits, and in so many of 128: SimHash's estimate of a similarity (Jaccard) of 0.8.
-#: Of the blocks, all but NEAR_BITS must be equal somewhere, which finds every such pair.
-NEAR_BITS, NEAR_BLOCKS, NEAR_OF_128 = 8, 11, 19
-
 STAGES = [
     ("quality classifier", quality),
     ("exact dedup", exact),
-    ("SimHash near-dedup", near),
+    ("near-dedup", near),
     ("substring dedup", substring),
     ("best-fit packing", packing),
 ]
-#: The classifier, SimHash and packing cannot be expressed in SQL; tests hold run() against brute force.
+#: The classifier, near-dedup and packing cannot be expressed in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lithic.llm import bpe, components, exact_dedup, html_text, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, warc_revisits
+from lithic.llm import bpe, components, exact_dedup, html_text, near_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, warc_revisits
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 R = random.Random(1)
@@ -289,3 +289,64 @@ def test_pipeline_stages(spark):
         else:
             assert out.columns == docs.columns, name
             assert 0 < out.count() <= docs.count(), name
+
+
+def near_copies():
+    """Families of a random text and copies with some words replaced, similarity about 0.6 to 1."""
+    r, out = random.Random(7), []
+    for _ in range(40):
+        base = [f"v{r.randrange(5000)}" for _ in range(r.randrange(40, 400))]
+        out.append(base)
+        for _ in range(3):
+            copy = list(base)
+            for k in r.sample(range(len(base)), max(1, int(len(base) * r.uniform(0.005, 0.05)))):
+                copy[k] = f"v{r.randrange(5000)}"
+            out.append(copy)
+    return [" ".join(t) for t in out] + [None, "", " \n", "one two", "One  two", "x", PASSAGE, PASSAGE]
+
+
+def five_words(t):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def exact_links(texts):
+    sets = [five_words(t) for t in texts]
+    return {(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+
+
+def least_reachable(n, links):
+    name, old = list(range(n)), None
+    while name != old:
+        old = list(name)
+        for a, b in links:
+            name[a] = name[b] = min(name[a], name[b])
+    return name
+
+
+def test_near_dedup_confirms_by_exact_jaccard(spark):
+    texts = near_copies()
+    want = least_reachable(len(texts), exact_links(texts))
+    df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)] + [(None, texts[1], 0), (0, "another text of the first id", 0), (None, "no id at all", 0)], "doc_id long, text string, digest int").repartition(3)
+    out = near_dedup.near_dedup(df).collect()
+    assert len(out) == len(texts) + 3
+    assert sorted((r.doc_id, r.component_id) for r in out if r.doc_id) == sorted((k, v) for k, v in enumerate(want) if k)
+    assert Counter(r.component_id for r in out if r.doc_id is None) == Counter([want[1], None])
+
+
+def test_pipeline_near_stage_finds_similarity_of_0_8(spark):
+    import corpus_pipeline
+
+    texts = near_copies()
+    want = least_reachable(len(texts), exact_links(texts))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()} == set(want)
+
+
+def test_linked_against_all_pairs():
+    r = random.Random(5)
+    for _ in range(60):
+        base = [r.sample(range(60), r.randrange(1, 30)) for _ in range(4)]
+        sets = [np.unique(np.array([x for x in r.choice(base) if r.random() < 0.93], np.uint64)) for _ in range(25)]
+        links = [(a, b) for b in range(25) for a in range(b) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+        assert near_dedup.linked(sets, 4, 5).tolist() == least_reachable(25, links)
