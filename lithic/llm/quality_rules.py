@@ -54,10 +54,17 @@ def hashed(df: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame
     return out.select("id", "text", "words", "h", F.concat(F.transform("h", bucket), F.array_compact(pairs)).alias("f"))
 
 
-def ratios(rows: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
-    """One row, one column: an array of ``buckets`` log ratios."""
-    flagged = rows.join(F.broadcast(trusted), F.col("id") == F.col("t_id"), "left")
-    grams = flagged.select(F.col("t_id").isNotNull().cast("long").alias("t"), F.explode("f").alias("b"))
+def fits(key: Column) -> Column:
+    """Whether a trusted text with this id counts for the target; the others set the threshold."""
+    return F.pmod(F.xxhash64(key), F.lit(64)) < 32
+
+
+def ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
+    """One row, one column: an array of ``buckets`` log ratios. Only texts that may be in the target are joined with the ids, before they are split."""
+    may = F.coalesce(fits(F.col("id")), F.lit(False))
+    flagged = docs.where(may).join(trusted.where(fits(F.col("t_id"))), F.col("id") == F.col("t_id"), "left").select(F.col("t_id").isNotNull().cast("long").alias("id"), "text")
+    rows = hashed(flagged.union(docs.where(~may).select(F.lit(0).cast("long"), "text")), "id", "text", buckets)
+    grams = rows.select(F.col("id").alias("t"), F.explode("f").alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     # A dense array by bucket: the counted buckets in order, those never seen in between.
     dense = counts.join(
@@ -82,20 +89,21 @@ def quality_rules(
     buckets: int = 1 << 16,
     quantile: float = 0.002,
     margin: float = 0.02,
-    max_trusted: int = 20_000,
 ) -> DataFrame:
     """One row per input row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
-    ``trusted`` has the ids of trusted texts (``id_col``); at most ``max_trusted`` of them, the first by hash of the
-    id, are used. The raw side counts every n-gram of every text. Nulls count as empty texts; an empty text
+    ``trusted`` has the ids of trusted texts (``id_col``); all of them are used, half of them by hash of the id for the
+    target and half for the threshold. The raw side counts every n-gram of every text. Nulls count as empty texts; an empty text
     has no n-grams, llr 0, and fails the base rules. No trusted ids: every llr is 0
     and the threshold is -margin, so the base rules decide. Other columns are ignored.
     """
-    ids = trusted.select(F.col(f"`{id_col}`").alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(max_trusted)
-    rows = hashed(df, id_col, text_col, buckets)
-    ids = ids.select(F.col("id").alias("t_id"), (F.pmod(F.xxhash64("id"), F.lit(64)) < 32).alias("fits"))
-    llr = settled(ratios(rows.select("id", "f"), ids.where("fits").select("t_id"), buckets))
-    others = rows.join(F.broadcast(ids.where("NOT fits")), F.col("id") == F.col("t_id")).where(F.size("words") >= 50)
+    ids = trusted.select(F.col(f"`{id_col}`").alias("t_id")).where("t_id IS NOT NULL").distinct()
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    ids = ids.select(F.col("t_id").try_cast(docs.schema["id"].dataType).alias("t_id"))
+    rows = hashed(docs, "id", "text", buckets)
+    llr = settled(ratios(docs, ids, buckets))
+    others = docs.where(~fits(F.col("id"))).join(ids.where(~fits(F.col("t_id"))), F.col("id") == F.col("t_id")).select("id", "text")
+    others = hashed(others, "id", "text", buckets).where(F.size("words") >= 50)
     others = others.select("f", llr.scalar().alias("table")).select(score(F.col("table")).alias("llr"))
     least = settled(others.agg((F.coalesce(F.percentile("llr", F.lit(quantile)), F.lit(0.0)) - margin).alias("least")))
     n_words = F.size("words")

@@ -350,3 +350,14 @@ def test_linked_against_all_pairs():
         sets = [np.unique(np.array([x for x in r.choice(base) if r.random() < 0.93], np.uint64)) for _ in range(25)]
         links = [(a, b) for b in range(25) for a in range(b) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
         assert near_dedup.linked(sets, 4, 5).tolist() == least_reachable(25, links)
+
+
+def test_quality_rules_count_every_trusted_text(spark):
+    """Of 20,800 trusted texts, one that comes late by hash has words of its own: they count for the target."""
+    rows = [(k, "plain common words") for k in range(20_800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = [r.doc_id for r in df.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    late = [k for k in hashes[20_000:] if df.sparkSession.range(k, k + 1).select((F.pmod(F.xxhash64("id"), F.lit(64)) < 32).alias("v")).first().v][:1]
+    df = df.withColumn("text", F.when(F.col("doc_id").isin(late), "rarely seen thing").otherwise(F.col("text")))
+    scores = {r.doc_id: r.llr for r in quality_rules.quality_rules(df, df.select("doc_id"), buckets=4096).where(F.col("doc_id").isin(late)).collect()}
+    assert len(late) == 1 and scores[late[0]] > 0
