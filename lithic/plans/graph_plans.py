@@ -8,9 +8,10 @@ from .base import Plans
 
 P = Plans()
 
-#: Dependencies without cycles, and ones with.
-DAG = "SELECT DISTINCT p_partkey % 300 AS src, (p_partkey * 13 + p_size) % 300 AS dst FROM {part} WHERE p_partkey % 300 > (p_partkey * 13 + p_size) % 300 AND (p_partkey * 13 + p_size) % 300 > p_partkey % 300 - 60"
-CYCLIC = "SELECT s_suppkey % 100 AS src, CAST(floor(abs(s_acctbal)) AS BIGINT) % 100 AS dst FROM {supplier}"
+#: Dependencies without cycles, two of each part on parts with at most half its key, and one of each supplier on any, with cycles. Keys are whole.
+DAG = """SELECT p_partkey AS src, (p_partkey * 13 + p_size) % CAST(floor(p_partkey / 2) + 1 AS BIGINT) AS dst FROM {part} WHERE p_partkey > 0
+UNION SELECT p_partkey, (p_partkey * 7 + p_size) % CAST(floor(p_partkey / 3) + 1 AS BIGINT) FROM {part} WHERE p_partkey > 0"""
+CYCLIC = "SELECT s_suppkey AS src, CAST(floor(abs(s_acctbal) * 100) AS BIGINT) % (SELECT count(*) FROM {supplier}) AS dst FROM {supplier}"
 REACH = f"WITH RECURSIVE e AS ({CYCLIC}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)"
 COMPONENTS = "n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT node, least(node, coalesce(min(x.dst), node)) AS component FROM n LEFT JOIN (SELECT a.src, a.dst FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src) x ON n.node = x.src GROUP BY node)"
 
@@ -22,8 +23,8 @@ P.frame("reachability", graph.reachability, (CYCLIC,), f"{REACH} SELECT src, dst
 P.frame("scc", graph.strong_components, (CYCLIC,), f"{REACH}, {COMPONENTS} SELECT node, component FROM c")
 P.frame("cyclic_nodes", graph.cyclic_nodes, (CYCLIC,), f"{REACH} SELECT src AS node FROM r WHERE src = dst")
 P.frame("deferred_fks", graph.deferred_edges, (CYCLIC,), f"{REACH}, {COMPONENTS} SELECT DISTINCT e.src, e.dst FROM e JOIN c a ON e.src = a.node JOIN c b ON e.dst = b.node WHERE a.component = b.component")
-P.frame("cycle_breakers", graph.cycle_breakers, (CYCLIC, "SELECT s_suppkey % 100 AS node, min(-s_suppkey) AS position FROM {supplier} GROUP BY 1"), f"""
-{REACH}, {COMPONENTS}, p AS (SELECT s_suppkey % 100 AS node, min(-s_suppkey) AS position FROM supplier GROUP BY 1)
+P.frame("cycle_breakers", graph.cycle_breakers, (CYCLIC, "SELECT s_suppkey AS node, -s_suppkey AS position FROM {supplier}"), f"""
+{REACH}, {COMPONENTS}, p AS (SELECT s_suppkey AS node, -s_suppkey AS position FROM supplier)
 SELECT component, arg_min(c.node, (position, c.node)) AS first FROM c JOIN p ON c.node = p.node WHERE c.node IN (SELECT src FROM r WHERE src = dst) GROUP BY component""")
 P.sql("ddl_cycles", """
 SELECT k, CASE WHEN creates > 1 AND drops > 1 THEN 'complex' WHEN creates > 0 AND drops > 0 AND alters = 0 THEN 'transient' WHEN drops > 0 THEN 'simple' WHEN creates > 1 THEN 'versioning' ELSE 'none' END AS kind,
