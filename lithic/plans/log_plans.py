@@ -85,8 +85,9 @@ SELECT c_custkey, 'unexpected', '' FROM a WHERE c_custkey NOT IN (SELECT c_custk
 SELECT e.c_custkey, 'changed', 'c_name' FROM e JOIN a USING (c_custkey) WHERE e.c_name IS DISTINCT FROM a.c_name UNION ALL
 SELECT e.c_custkey, 'changed', 'c_nationkey' FROM e JOIN a USING (c_custkey) WHERE e.c_nationkey IS DISTINCT FROM a.c_nationkey UNION ALL
 SELECT e.c_custkey, 'changed', 'c_mktsegment' FROM e JOIN a USING (c_custkey) WHERE e.c_mktsegment IS DISTINCT FROM a.c_mktsegment""")
-LEFT = "SELECT concat(o_orderpriority, '|', CAST(o_custkey % 500 AS STRING)) AS line FROM {orders} WHERE o_orderkey % 3 <> 0"
-RIGHT = "SELECT concat(o_orderpriority, '|', CAST(o_custkey % 500 AS STRING)) AS line FROM {orders} WHERE o_orderkey % 5 <> 0"
+#: Whole order lines on both sides; on the right, some orders have another priority.
+LEFT = "SELECT concat(CAST(o_orderkey AS STRING), '|', CAST(o_custkey AS STRING), '|', o_orderpriority) AS line FROM {orders}"
+RIGHT = "SELECT concat(CAST(o_orderkey AS STRING), '|', CAST(o_custkey AS STRING), '|', CASE WHEN o_orderkey % 7 = 0 THEN 'CHANGED' ELSE o_orderpriority END) AS line FROM {orders}"
 SETS = f"SELECT 'left' AS side, line FROM (({LEFT}) EXCEPT ({RIGHT})) UNION ALL SELECT 'right', line FROM (({RIGHT}) EXCEPT ({LEFT}))"
 P.frame("line_set_diff", diff.line_difference, (LEFT, RIGHT), SETS)
 P.frame("diff_topk", lambda a, b: diff.truncated(diff.line_difference(a, b), 25), (LEFT, RIGHT), f"""

@@ -1,6 +1,6 @@
 """The stand-in inputs of the plans cover whole tables, and their results hold against brute force."""
 
-from lithic.plans import graph_plans, registry
+from lithic.plans import graph_plans, log_plans, registry
 from lithic.plans.base import frame
 
 DIR, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -50,3 +50,14 @@ def test_cycles_against_brute_force(spark):
     assert rows(spark, "cyclic_nodes", LARGER) == {(n,) for n in on_cycle}
     assert rows(spark, "deferred_fks", LARGER) == {(a, b) for a, b in e if component[a] == component[b]}
     assert rows(spark, "cycle_breakers", LARGER) == {(c, max(n for n in on_cycle if component[n] == c)) for c in {component[n] for n in on_cycle}}
+
+
+def test_line_differences_keep_whole_orders(spark):
+    for d in (DIR, LARGER):
+        orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority").collect()
+        for sql in (log_plans.LEFT, log_plans.RIGHT):
+            assert len(edges(spark, sql, d)) == len(orders)
+        changed = [r for r in orders if r.o_orderkey % 7 == 0]
+        want = {("left", f"{r.o_orderkey}|{r.o_custkey}|{r.o_orderpriority}") for r in changed} | {("right", f"{r.o_orderkey}|{r.o_custkey}|CHANGED") for r in changed}
+        assert rows(spark, "line_set_diff", d) == want
+        assert rows(spark, "diff_topk", d) == set(sorted(want)[:25]) | {("~", f"omitted {len(want) - 25}")}
