@@ -38,9 +38,10 @@ ACL_NET = """(SELECT k, grantee, last_opt_grant IS NOT NULL AND last_opt_grant >
     max(pos) FILTER (action = 'REVOKE' AND NOT option) AS last_revoke, max(pos) FILTER (action = 'REVOKE' AND option) AS last_opt_revoke FROM (ACL) GROUP BY k, grantee)
   WHERE last_grant > coalesce(last_revoke, -1))""".replace("ACL", ACL_LOG)
 P.frame("acl_net_state", folds.acl_replay, (ACL_LOG,), f"SELECT * FROM {ACL_NET}")
-HALF = ACL_LOG + " AND pos < 5000"
-P.frame("grant_script", lambda a, b: folds.grant_script(folds.acl_replay(a), folds.acl_replay(b)), (HALF, ACL_LOG), f"""
-WITH c AS (SELECT * FROM {ACL_NET.replace(ACL_LOG, HALF)}), w AS (SELECT * FROM {ACL_NET}),
+#: The current state, from the whole log too: some entries went to another grantee, some had the other option.
+CURRENT = f"SELECT k, pos, CASE WHEN pos % 5 = 0 THEN (grantee + 1) % 7 ELSE grantee END AS grantee, action, CASE WHEN pos % 3 = 0 THEN NOT option ELSE option END AS option FROM ({ACL_LOG}) entries"
+P.frame("grant_script", lambda a, b: folds.grant_script(folds.acl_replay(a), folds.acl_replay(b)), (CURRENT, ACL_LOG), f"""
+WITH c AS (SELECT * FROM {ACL_NET.replace(ACL_LOG, CURRENT)}), w AS (SELECT * FROM {ACL_NET}),
 o AS (SELECT k, grantee, CASE WHEN w.grant_option IS NULL THEN 'REVOKE' WHEN c.grant_option IS NULL THEN CASE WHEN w.grant_option THEN 'GRANT WITH GRANT OPTION' ELSE 'GRANT' END
   WHEN w.grant_option AND NOT c.grant_option THEN 'GRANT WITH GRANT OPTION' WHEN NOT w.grant_option AND c.grant_option THEN 'REVOKE GRANT OPTION FOR' END AS verb FROM c FULL JOIN w USING (k, grantee))
 SELECT k, verb, string_agg(CAST(grantee AS STRING), ',' ORDER BY grantee) AS grantees FROM o WHERE verb IS NOT NULL GROUP BY k, verb""")
