@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm.common import checkpoint_dir, table
+from lithic.llm.common import checkpoint_dir, settled, table
 from lithic.llm.exact_dedup import exact_dedup
 from lithic.llm.near_dedup import near_dedup
 from lithic.llm.packing import pack
@@ -15,35 +16,48 @@ from lithic.llm.quality_classifier import quality_classifier
 from lithic.llm.substring_dedup import substring_dedup
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one of ``ids``, in the columns of ``docs``. Rows without an id stay together if one of them stays."""
-    ids = ids.select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids.stay_id), "left_semi").select(docs.columns)
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with row_key, a long for each row that every read of the same files repeats (a hash of file and place); rows of other sources are numbered and settled."""
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row_key"))
+    except AnalysisException:
+        return settled(docs.select("*", F.monotonically_increasing_id().alias("row_key")))
+
+
+def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of keyed ``docs`` with one of the row keys of ``rows``, in the columns of the documents."""
+    return docs.join(rows.select("row_key"), "row_key", "left_semi").drop("row_key")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scored = quality_classifier(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, scored.where("predicted = 1"))
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    return quality_classifier(rows, table(spark, sf_dir, "labels"), carry="row").where("predicted = 1").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id stays."""
-    return _only(docs, exact_dedup(docs).where("kept"))
+    """Of equal texts, the row with the largest id stays, and of equal ids one."""
+    docs = keyed(docs)
+    found = exact_dedup(docs.select(F.struct("doc_id", "row_key").alias("at"), "text"), id_col="at")
+    return _only(docs, found.where("kept").select("at.row_key"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by an exact five-word Jaccard similarity of 0.8 or more, the one with the smallest id stays."""
-    return _only(docs, near_dedup(docs).where("component_id <=> doc_id"))
+    """Of rows linked by an exact five-word Jaccard similarity of 0.8 or more, the one with the smallest id stays, one without an id only alone."""
+    docs = keyed(docs)
+    found = near_dedup(docs, id_col="row_key").join(docs.select("row_key", "doc_id"), "row_key")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("at"))
+    return _only(docs, first.select("at.row_key"))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring passages are taken out of the texts; every document stays. Rows with one id are taken to have one text."""
-    found = substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept_text").dropDuplicates(["cut_id"])
-    joined = docs.join(found, docs.doc_id == found.cut_id, "left")
+    """Recurring passages are taken out of the texts; every row stays."""
+    columns, docs = docs.columns, keyed(docs)
+    found = substring_dedup(docs, id_col="row_key").where("n_removed > 0").select("row_key", "kept_text")
+    joined = docs.join(found, "row_key", "left")
     text = F.coalesce("kept_text", "text")
     new = {"text": text, "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text")).otherwise(F.col("n_chars")).cast("long")}
-    return joined.select([new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return joined.select([new.get(c, F.col(c)).alias(c) for c in columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DIM, VOCABULARY, TRIGRAMS, NONZERO, REACH = 64, 1 << 13, 1 << 12, 4, 2
 FEATURES = 2 * DIM + 4
@@ -193,24 +194,29 @@ def fitted(df: DataFrame, labels: DataFrame, max_fit: int) -> tuple[np.ndarray,
 
 
 def quality_classifier(
-    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit: int = 4000, threshold: float = 0.3
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit: int = 4000, threshold: float = 0.3, carry: str | None = None
 ) -> DataFrame:
     """One row per input row: id, held_out, score, predicted.
 
     ``labels`` (id, label 0/1) teach only where crc32 of the id as text, mod 5, is not 0; the rest are held out. A score
     is made from the text alone. Nulls count as empty texts, which have the all-zero features and a score too. A null id
     is not held out (null). Without labels of both classes every score is the same. No rows: no rows. Other columns are
-    ignored; repeated rows are each returned and teach once.
+    ignored, but for ``carry``, which is returned with its row; repeated rows are each returned and teach once.
     """
     rest = lambda c: F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(5))
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    kept = [F.col(f"`{carry}`").alias("carried")] if carry else []
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), *kept)
     teach = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").alias("label"))
-    context, net = fitted(rows, teach.where(rest(F.col("id")) != 0), max_fit)
+    context, net = fitted(rows.select("id", "text"), teach.where(rest(F.col("id")) != 0), max_fit)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors(context)
         for batch in batches:
             score = net.probability(vectors.pooled(batch.column(2).to_pylist()))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
+            found = [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *batch.columns[3:]]
+            yield pa.record_batch(found, [id_col, "held_out", "score", "predicted", *[carry] * bool(carry)])
 
-    return rows.select("id", (rest(F.col("id")) == 0).alias("held_out"), "text").mapInArrow(each, f"`{id_col}` long, held_out boolean, score double, predicted int")
+    out = StructType.fromDDL(f"`{id_col}` long, held_out boolean, score double, predicted int")
+    if carry:
+        out.add(carry, df.schema[carry].dataType)
+    return rows.select("id", (rest(F.col("id")) == 0).alias("held_out"), "text", *["carried"] * bool(carry)).mapInArrow(each, out)

@@ -361,3 +361,38 @@ def test_quality_rules_count_every_trusted_text(spark):
     df = df.withColumn("text", F.when(F.col("doc_id").isin(late), "rarely seen thing").otherwise(F.col("text")))
     scores = {r.doc_id: r.llr for r in quality_rules.quality_rules(df, df.select("doc_id"), buckets=4096).where(F.col("doc_id").isin(late)).collect()}
     assert len(late) == 1 and scores[late[0]] > 0
+
+
+def test_pipeline_stages_decide_by_row(spark, tmp_path):
+    """Rows without an id and rows that share one get their own decision and their own text."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    fresh = lambda n: " ".join(f"z{r.randrange(10**6)}" for _ in range(n))
+    same, near, passage = fresh(60), fresh(300), fresh(50)
+    rows = [(None, same), (None, same), (None, near), (None, near + " more"), (7, fresh(20) + " " + passage), (7, fresh(20) + " " + passage + " end"), (None, fresh(9) + " " + passage), (7, fresh(30))]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    texts = lambda df: Counter((x.doc_id, x.text) for x in df.collect())
+    want = Counter(rows)
+    want[None, same] -= 1
+    assert texts(corpus_pipeline.exact(spark, docs, "")) == want
+    kept = corpus_pipeline.near(spark, docs, "").collect()
+    assert len(kept) == len(rows) - 2 and sum(x.text.startswith(near) for x in kept) == 1
+    cut = Counter((i, t.replace(passage, "")) for i, t in rows if passage in t)
+    found = Counter((x.doc_id, x.text) for x in corpus_pipeline.substring(spark, docs, "").collect())
+    assert not any(passage in t for _, t in found) and found[rows[7]] == 1
+    squeezed = lambda c: Counter({(i, " ".join(t.split())): n for (i, t), n in c.items()})
+    assert squeezed(cut) <= squeezed(found) and corpus_pipeline.substring(spark, docs, "").count() == len(rows)
+
+
+def test_pipeline_quality_stage_decides_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    good = [" ".join(R.choices(WORDS[:100], k=50)) for _ in range(200)]
+    bad = [" ".join(R.choices(WORDS[:8], k=3) * 20) for _ in range(200)]
+    rows = [(2 * k, t) for k, t in enumerate(good)] + [(2 * k + 1, t) for k, t in enumerate(bad)] + [(None, good[0]), (None, bad[0])]
+    spark.createDataFrame([(k, 1 - k % 2) for k in range(400)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    out = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and [r.text for r in out.where("doc_id IS NULL").collect()] == [good[0]]
