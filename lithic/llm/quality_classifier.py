@@ -170,11 +170,11 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 300, dec
 
 
 def fitted(df: DataFrame, labels: DataFrame, max_fit: int) -> tuple[np.ndarray, Network]:
-    """(context vectors, network) from ``df`` (id, text) and ``labels`` (id, label): at most max_fit rows, each met once."""
+    """(context vectors, network): the vectors from every text of ``df`` (id, text), the network from at most max_fit rows of ``labels`` (id, label), each met once."""
     some = labels.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
     some = some.orderBy(F.xxhash64("id"), "id").limit(max_fit).select(F.col("id").alias("l_id"), "label")
     sample = df.join(F.broadcast(some), F.col("id") == F.col("l_id")).select("id", "text", F.col("label").cast("int").alias("label"))
-    parts = sample.select("text").coalesce(8).mapInArrow(context_rows, "b long, n long, v array<long>")
+    parts = df.select("text").mapInArrow(context_rows, "b long, n long, v array<long>")
     sums, n = np.zeros((VOCABULARY, DIM)), np.zeros(VOCABULARY)
     summed = parts.groupBy("b").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(DIM)])
     for r in summed.toPandas().itertuples(index=False):  # at most VOCABULARY rows

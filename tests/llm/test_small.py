@@ -396,3 +396,13 @@ def test_pipeline_quality_stage_decides_by_row(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
     out = corpus_pipeline.quality(spark, docs, str(tmp_path))
     assert out.columns == docs.columns and [r.text for r in out.where("doc_id IS NULL").collect()] == [good[0]]
+
+
+def test_quality_vectors_come_from_all_texts(spark):
+    """A word that no labelled text has gets its context from the unlabelled ones."""
+    labelled = [(k, " ".join(R.choices(WORDS[:50], k=30))) for k in range(40)]
+    others = [(k, " ".join(["unlabelled", "words", "only"] * 20)) for k in range(40, 60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "id long, label int")
+    vectors = lambda rows: quality_classifier.fitted(spark.createDataFrame(rows, "id long, text string"), labels, 4000)[0]
+    few, all_of_them = vectors(labelled), vectors(labelled + others)
+    assert np.count_nonzero(np.abs(all_of_them).sum(1)) > np.count_nonzero(np.abs(few).sum(1))
