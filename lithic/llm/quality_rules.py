@@ -17,41 +17,48 @@ from .common import WORD, settled
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
+#: Up to so many values found twice are looked up one by one for every window of a text; more are found by sorting.
+LOOKED_UP = 64
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def sorted_windows(n: int) -> Column:
-    """From ``h``, the words' hashes: every n-word window as (hash, place), sorted. Empty below n words."""
+def window_hashes(n: int) -> Column:
+    """From ``h``, the words' hashes: a hash for every n-word window, in order. Empty below n words."""
     last = F.greatest(F.size("h") - F.lit(n - 1), F.lit(0))
-    windows = F.transform(
-        F.slice("h", F.lit(1), last), lambda h, i: F.struct(F.xxhash64(h, *[F.get(F.col("h"), i + k) for k in range(1, n)]).alias("h"), i.alias("i"))
-    )
-    return F.sort_array(windows)
+    return F.transform(F.slice("h", F.lit(1), last), lambda h, i: F.xxhash64(h, *[F.get(F.col("h"), i + k) for k in range(1, n)]))
 
 
 def found_twice() -> Column:
-    """Of ``windows``, the places of those with an equal neighbour."""
-    same = lambda x, k: F.coalesce(F.get(F.col("windows"), k)["h"] == x["h"], F.lit(False))
-    return F.transform(F.filter("windows", lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])
+    """Of ``windows``, sorted, the values that occur more than once, each once."""
+    return F.array_distinct(F.filter("sorted", lambda x, k: F.coalesce(F.get(F.col("sorted"), k - 1) == x, F.lit(False))))
+
+
+def places() -> Column:
+    """The places in ``windows`` of the values ``twice``: looked up where these are few, otherwise by sorting values with their places."""
+    few = F.array_compact(F.transform("windows", lambda x, i: F.when(F.array_contains("twice", x), i)))
+    ranked = F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    same = lambda all_, x, k: F.coalesce(F.get(all_, k)["h"] == x["h"], F.lit(False))
+    many = F.transform(F.array(ranked), lambda r: F.transform(F.filter(r, lambda x, k: same(r, x, k - 1) | same(r, x, k + 1)), lambda x: x["i"]))
+    return F.when(F.size("twice") == 0, F.array().cast("array<int>")).when(F.size("twice") <= LOOKED_UP, few).otherwise(F.flatten(many))
 
 
 def n_covered(n: int) -> Column:
     """How many words the windows at ``places`` cover."""
     moved = lambda k: F.transform("places", lambda p: p + F.lit(k))
-    return F.size(F.array_distinct(F.concat(*map(moved, range(n)))))
+    return F.when(F.size("places") == 0, F.lit(0)).otherwise(F.size(F.array_distinct(F.concat(*map(moved, range(n))))))
 
 
-def hashed(df: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """id, text, words, h (a hash for each word), f (a bucket for each word and word pair)."""
-    out = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    out = out.select("id", "text", words_of(F.col("text")).alias("words"))
-    out = out.select("id", "text", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+def grams(words: DataFrame, buckets: int, *carried: str) -> DataFrame:
+    """``carried`` and b, the bucket of each word and of each word pair of ``words``, as rows of generated code; b is null for a pair that is none, and for a text without words."""
     bucket = lambda c: F.pmod(c, F.lit(buckets)).cast("int")
-    pairs = F.zip_with("h", F.slice("h", 2, F.greatest(F.size("h") - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), bucket(F.xxhash64(a, b))))
-    return out.select("id", "text", "words", "h", F.concat(F.transform("h", bucket), F.array_compact(pairs)).alias("f"))
+    pairs = F.arrays_zip(F.col("words").alias("w"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("after"))
+    some = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
+    h = words.select(*carried, F.inline_outer(pairs).alias("w", "after")).select(*carried, some("w").alias("h"), some("after").alias("after"))
+    both = F.array(F.when(F.col("h").isNotNull(), bucket(F.col("h"))), F.when(F.col("after").isNotNull(), bucket(F.xxhash64("h", "after"))))
+    return h.select(*carried, F.explode(both).alias("b"))
 
 
 def fits(key: Column) -> Column:
@@ -60,12 +67,15 @@ def fits(key: Column) -> Column:
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
-    """One row, one column: an array of ``buckets`` log ratios. Only texts that may be in the target are joined with the ids, before they are split."""
+    """One row, one column: an array of ``buckets`` log ratios. Only texts that may be in the target are joined with the ids, before they are split.
+
+    Ids grow with the corpus, so that join is a shuffle at every size and never a broadcast.
+    """
     may = F.coalesce(fits(F.col("id")), F.lit(False))
-    flagged = docs.where(may).join(trusted.where(fits(F.col("t_id"))), F.col("id") == F.col("t_id"), "left").select(F.col("t_id").isNotNull().cast("long").alias("id"), "text")
-    rows = hashed(flagged.union(docs.where(~may).select(F.lit(0).cast("long"), "text")), "id", "text", buckets)
-    grams = rows.select(F.col("id").alias("t"), F.explode("f").alias("b"))
-    counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
+    ids = trusted.where(fits(F.col("t_id"))).hint("merge")
+    flagged = docs.where(may).join(ids, F.col("id") == F.col("t_id"), "left").select(F.col("t_id").isNotNull().cast("long").alias("t"), "text")
+    rows = flagged.union(docs.where(~may).select(F.lit(0).cast("long"), "text")).select("t", words_of(F.coalesce("text", F.lit(""))).alias("words"))
+    counts = grams(rows, buckets, "t").where("b IS NOT NULL").groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     # A dense array by bucket: the counted buckets in order, those never seen in between.
     dense = counts.join(
         counts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("every")), F.col("b") == F.col("every"), "right"
@@ -76,9 +86,34 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
     return packed.select(F.transform("c", ratio).alias("llr"))
 
 
-def score(table: Column) -> Column:
-    """The mean ratio of a text's n-grams ``f``; 0 without any."""
-    return F.coalesce(F.aggregate("f", F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.nullif(F.size("f"), F.lit(0)), F.lit(0.0))
+def measured(docs: DataFrame, table: Column, buckets: int) -> DataFrame:
+    """One row per row of ``docs``: id, the five counts, and llr, the mean ratio of the text's n-grams (0 without any).
+
+    One scan: array functions make the counts, then a text's n-grams become rows that its task adds up to one again.
+    """
+    words = docs.select("id", F.coalesce("text", F.lit("")).alias("text")).select("id", "text", words_of(F.col("text")).alias("words"))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
+    base = words.select(
+        F.monotonically_increasing_id().alias("row"),
+        "id",
+        "words",
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.length("text") - F.length(F.regexp_replace("text", SYMBOL, ""))).cast("long").alias("n_symbols"),
+        lines.alias("lines"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
+    )
+    base = base.select("*", window_hashes(3).alias("windows"))
+    base = base.select("*", F.sort_array("windows").alias("sorted"))
+    base = base.select("*", found_twice().alias("twice"))
+    base = base.select("*", places().alias("places"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    base = base.select(
+        "row", "id", "words", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), n_covered(3).cast("long").alias("n_repeat_words")
+    )
+    each = grams(base, buckets, "row", "id", *counts).select("row", "id", *counts, F.get(table, F.col("b")).alias("ratio"))
+    summed = each.groupBy("row", "id").agg(*[F.max(c).alias(c) for c in counts], F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("llr"))
+    return summed.drop("row")
 
 
 def quality_rules(
@@ -94,38 +129,18 @@ def quality_rules(
 
     ``trusted`` has the ids of trusted texts (``id_col``); all of them are used, half of them by hash of the id for the
     target and half for the threshold. The raw side counts every n-gram of every text. Nulls count as empty texts; an empty text
-    has no n-grams, llr 0, and fails the base rules. No trusted ids: every llr is 0
-    and the threshold is -margin, so the base rules decide. Other columns are ignored.
+    has no n-grams, llr 0, and fails the base rules. A very long text is counted like any other, in its task's memory as arrays of
+    its words. No trusted ids: every llr is 0 and the threshold is -margin, so the base rules decide. A null id is never trusted;
+    repeated rows are each returned, and each counts. No rows: no rows. Other columns are ignored, whatever their names.
     """
     ids = trusted.select(F.col(f"`{id_col}`").alias("t_id")).where("t_id IS NOT NULL").distinct()
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     ids = ids.select(F.col("t_id").try_cast(docs.schema["id"].dataType).alias("t_id"))
-    rows = hashed(docs, "id", "text", buckets)
     llr = settled(ratios(docs, ids, buckets))
-    others = docs.where(~fits(F.col("id"))).join(ids.where(~fits(F.col("t_id"))), F.col("id") == F.col("t_id")).select("id", "text")
-    others = hashed(others, "id", "text", buckets).where(F.size("words") >= 50)
-    others = others.select("f", llr.scalar().alias("table")).select(score(F.col("table")).alias("llr"))
+    scored = settled(measured(docs, llr.scalar(), buckets))
+    others = ids.where(~fits(F.col("t_id"))).hint("merge")
+    others = scored.where(~fits(F.col("id")) & (F.col("n_words") >= 50)).join(others, F.col("id") == F.col("t_id")).select("llr")
     least = settled(others.agg((F.coalesce(F.percentile("llr", F.lit(quantile)), F.lit(0.0)) - margin).alias("least")))
-    n_words = F.size("words")
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
-    base = rows.select(
-        "id",
-        n_words.cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.regexp_replace("text", SYMBOL, ""))).cast("long").alias("n_symbols"),
-        lines.alias("lines"),
-        sorted_windows(3).alias("windows"),
-        "f",
-        llr.scalar().alias("table"),
-    )
-    base = base.select("*", found_twice().alias("places"))
-    scored = base.select(
-        "id", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), n_covered(3).cast("long").alias("n_repeat_words"), "f", "table",
-    )
-    scored = scored.select(
-        "*",
-        ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        score(F.col("table")).alias("llr"),
-    )
-    verdict = ~F.col("base_failed") & (F.col("llr") >= F.round(least.scalar(), 9))
-    return scored.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", verdict.alias("kept"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    verdict = ~failed & (F.col("llr") >= least.scalar())
+    return scored.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "llr", verdict.alias("kept"))
