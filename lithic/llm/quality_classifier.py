@@ -1,8 +1,8 @@
 """Operator 6, quality classifier: random-indexing word vectors, pooled, then a two-layer network in numpy.
 
 Every word has an index vector: the sparse ones, of a few +1 and -1, that belong to hashes of the word and of its byte
-trigrams, so that an unknown word is not a blank. A word's vector is its index vector plus what it gathered from its
-neighbours in the texts used for fitting, by hashed word. A document is the mean of its words' vectors, their spread,
+trigrams, so that an unknown word is not a blank. A word's vector is its index vector plus the index vectors of its
+neighbours in all texts, summed by hashed word. A document is the mean of its words' vectors, their spread,
 the length of the mean, and how alike words one and two places apart are. The network is trained on at most ``max_fit`` labelled rows, the first by hash of the id
 (a documented bound); a fifth of these sets the temperature by which the probabilities are calibrated. All documents
 are then scored in one narrow map.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +23,20 @@ from pyspark.sql.types import StructType
 
 DIM, VOCABULARY, TRIGRAMS, NONZERO, REACH = 64, 1 << 13, 1 << 12, 4, 2
 FEATURES = 2 * DIM + 4
-KNOWN = 300_000  # words that a task remembers
+KNOWN, FOREVER = 160_000, 100_000  # words that a task remembers, and those of them that it never forgets
+TOGETHER, PART = 100_000, 1 << 13  # words looked up at once, and words whose vectors are held at once
 
 
-def index_table(rows: int, seed: int) -> np.ndarray:
-    """``rows`` sparse index vectors: NONZERO places with +1 or -1 each, the same in every task."""
+def index_places(rows: int, seed: int) -> np.ndarray:
+    """``rows`` sparse index vectors, the same in every task: NONZERO places of each, DIM later where the value is -1 and not +1."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((rows, DIM), np.float32)
-    for _ in range(NONZERO):
-        out[np.arange(rows), rng.integers(0, DIM, rows)] += rng.choice(np.array([-1, 1], np.float32), rows)
-    return out
+    return np.stack([rng.integers(0, DIM, rows) + DIM * rng.integers(0, 2, rows) for _ in range(NONZERO)], axis=1)
+
+
+def added_up(rows: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """(n, DIM) sums: the index vectors with ``places`` (k, NONZERO), each added to one of ``rows`` (k)."""
+    counts = np.bincount((rows[:, None] * (2 * DIM) + places).ravel(), minlength=n * 2 * DIM).reshape(n, 2, DIM)
+    return counts[:, 0] - counts[:, 1]
 
 
 def bucket(word: bytes) -> int:
@@ -39,45 +44,45 @@ def bucket(word: bytes) -> int:
 
 
 class Vectors:
-    """Row numbers and rows for words: normed index vector, plus the context of the word's bucket if there is one."""
+    """Row numbers and rows for words: normed index vector, plus the context of the word's bucket if there is one.
 
-    def __init__(self, context: np.ndarray | None = None) -> None:
-        self.context, self.by_word, self.by_trigram = context, index_table(VOCABULARY, 1), index_table(TRIGRAMS, 2)
-        self.forget()
+    The first FOREVER words stay, and with them the frequent ones; later words share the rest of the table, which is emptied when full.
+    """
 
-    def forget(self) -> None:
+    def __init__(self, context: np.ndarray | None = None) -> None:
+        self.context, self.by_word, self.by_trigram = context, index_places(VOCABULARY, 1), index_places(TRIGRAMS, 2)
         self.row: dict[bytes, int] = {}
-        self.bucket, self.table = np.zeros(0, np.int64), np.zeros((0, DIM), np.float32)
+        self.table = np.zeros((KNOWN, DIM), np.float32)
 
     def learn(self, new: list[bytes]) -> None:
         """Rows for words not met before, all at once."""
         spread = np.frombuffer(b"".join([b"<" + w + b">" for w in new]), np.uint8).astype(np.int64)
         lengths = np.array([len(w) for w in new], np.int64)  # as many trigrams as bytes
-        starts = np.cumsum(lengths) - lengths
         at = np.arange(int(lengths.sum())) + np.repeat(2 * np.arange(len(new)), lengths)
         code = (spread[at] * 65599 + spread[at + 1] * 257 + spread[at + 2] * 8191) % TRIGRAMS
         own = np.array([bucket(w) for w in new], np.int64)
-        v = self.by_word[own] + np.add.reduceat(self.by_trigram[code], starts)
+        every = np.arange(len(new))
+        v = added_up(np.r_[every, np.repeat(every, lengths)], np.vstack([self.by_word[own], self.by_trigram[code]]), len(new)).astype(np.float32)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
         if self.context is not None:
             v += self.context[own]
-        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
-        self.bucket, self.table = np.append(self.bucket, own), np.concatenate([self.table, v])
+        first = len(self.row)
+        self.row.update(zip(new, range(first, first + len(new)), strict=True))
+        if len(self.row) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((len(self.row) - len(self.table), DIM), np.float32)])
+        self.table[first : first + len(new)] = v
 
     def rows_of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """For each text its words' row numbers; texts are looked at some at a time."""
-        held, size = [], 0
-        for k, t in enumerate(texts):
-            held.append((t or "").encode("utf-8", "replace").split())
-            size += len(held[-1])
-            if size >= 300_000 or k + 1 == len(texts):
-                if len(self.row) > KNOWN:
-                    self.forget()
-                if new := [w for w in set().union(*held) if w not in self.row]:
-                    self.learn(new)
-                for words in held:
-                    yield np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
-                held, size = [], 0
+        for held in some_at_a_time(texts):
+            new = [w for w in set().union(*held) if w not in self.row]
+            if len(self.row) + len(new) > KNOWN and len(self.row) > FOREVER:
+                self.row, self.table = dict(islice(self.row.items(), FOREVER)), self.table[:KNOWN]
+                new = [w for w in set().union(*held) if w not in self.row]
+            for k in range(0, len(new), TOGETHER):
+                self.learn(new[k : k + TOGETHER])
+            for words in held:
+                yield np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
     def pooled(self, texts: list[str | None]) -> np.ndarray:
         """FEATURES of each whole text."""
@@ -86,32 +91,51 @@ class Vectors:
             if not len(ids):
                 continue
             total, square, next_two = np.zeros(DIM), np.zeros(DIM), np.zeros(2)
-            for i in range(0, len(ids), 1 << 14):
-                part = self.table[ids[i : i + (1 << 14)]]
-                total += part.sum(0, dtype=np.float64)
-                next_two += [np.einsum("ij,ij->", part[lag:], part[:-lag]) for lag in (1, 2)]
-                square += np.einsum("ij,ij->j", part, part)
+            for i in range(0, len(ids), PART):
+                part = self.table[ids[i : i + PART]]
+                total += part.sum(0)
+                next_two += [np.einsum("i,i->", part[lag:].ravel(), part[:-lag].ravel()) for lag in (1, 2)]
+                part *= part
+                square += part.sum(0)
             mean = total / len(ids)
             out[k, :DIM], out[k, DIM : 2 * DIM] = mean, np.sqrt(np.maximum(square / len(ids) - mean**2, 0))
             out[k, 2 * DIM :] = np.linalg.norm(mean), np.log1p(len(ids)) / 10, *(next_two / len(ids))
         return out
 
 
+def some_at_a_time(texts: list[str | None]) -> Iterator[list[list[bytes]]]:
+    """The texts' words, in groups of whole texts with about TOGETHER words."""
+    held, size = [], 0
+    for k, t in enumerate(texts):
+        held.append((t or "").encode("utf-8", "replace").split())
+        size += len(held[-1])
+        if size >= TOGETHER or k + 1 == len(texts):
+            yield held
+            held, size = [], 0
+
+
+class Buckets(dict):
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = bucket(word)
+        return out
+
+
 def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> for each bucket of this task, the sum of its neighbours' vectors in thousandths and how many there were."""
-    sums, n, vectors = np.zeros((VOCABULARY, DIM), np.int64), np.zeros(VOCABULARY, np.int64), Vectors()
+    """Texts -> for each bucket of this task, the sum of its neighbours' index vectors and how often it was met."""
+    sums, n, known, places = np.zeros((VOCABULARY, DIM), np.int64), np.zeros(VOCABULARY, np.int64), Buckets(), index_places(VOCABULARY, 1)
     for batch in batches:
-        for ids in vectors.rows_of(batch.column(0).to_pylist()):
-            b, v = vectors.bucket[ids], np.rint(vectors.table[ids] * 1000).astype(np.int64)
-            near = np.zeros_like(v)
-            for d in range(1, min(REACH, len(ids) - 1) + 1):
-                near[:-d] += v[d:]
-                near[d:] += v[:-d]
-            order = np.argsort(b, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(b[order]) != 0]) if len(b) else []
-            if len(b):
-                sums[b[order][first]] += np.add.reduceat(near[order], first)
-                n += np.bincount(b, minlength=VOCABULARY)
+        for held in some_at_a_time(batch.column(0).to_pylist()):
+            if len(known) > KNOWN:
+                known = Buckets(islice(known.items(), FOREVER))
+            b = np.concatenate([np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in held])
+            text = np.repeat(np.arange(len(held)), [len(words) for words in held])
+            n += np.bincount(b, minlength=VOCABULARY)
+            for i in range(0, len(b), TOGETHER):
+                for d in range(1, REACH + 1):
+                    first, second = b[i : i + TOGETHER + d][:-d], b[i + d : i + TOGETHER + d]
+                    same = text[i : i + TOGETHER + d][:-d] == text[i + d : i + TOGETHER + d]
+                    first, second = first[same], second[same]
+                    sums += added_up(np.r_[first, second], places[np.r_[second, first]], VOCABULARY)
     some = np.flatnonzero(n)
     yield pa.record_batch([pa.array(some), pa.array(n[some]), pa.array(list(sums[some]), pa.list_(pa.int64()))], ["b", "n", "v"])
 
@@ -173,13 +197,13 @@ def fitted(df: DataFrame, labels: DataFrame, max_fit: int) -> tuple[np.ndarray,
     """(context vectors, network): the vectors from every text of ``df`` (id, text), the network from at most max_fit rows of ``labels`` (id, label), each met once."""
     some = labels.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
     some = some.orderBy(F.xxhash64("id"), "id").limit(max_fit).select(F.col("id").alias("l_id"), "label")
-    sample = df.join(F.broadcast(some), F.col("id") == F.col("l_id")).select("id", "text", F.col("label").cast("int").alias("label"))
+    sample = df.join(F.broadcast(some), F.col("id") == F.col("l_id")).groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").cast("int").alias("label"))
     parts = df.select("text").mapInArrow(context_rows, "b long, n long, v array<long>")
     sums, n = np.zeros((VOCABULARY, DIM)), np.zeros(VOCABULARY)
     summed = parts.groupBy("b").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(DIM)])
     for r in summed.toPandas().itertuples(index=False):  # at most VOCABULARY rows
         n[r.b], sums[r.b] = r.n, r[2:]
-    context = (sums / np.maximum(n, 1)[:, None] / (8000 * REACH)).astype(np.float32)
+    context = (sums / np.maximum(n, 1)[:, None] / (8 * REACH * NONZERO**0.5)).astype(np.float32)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors(context)
@@ -187,8 +211,8 @@ def fitted(df: DataFrame, labels: DataFrame, max_fit: int) -> tuple[np.ndarray,
             x = vectors.pooled(batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], ["id", "x", "label"])
 
-    got = sample.mapInArrow(features, "id long, x array<double>, label int").toPandas()  # at most max_fit ids
-    got = got.drop_duplicates("id").sort_values("id", key=lambda s: s.map(lambda i: xxhash.xxh64_intdigest(str(i)))) if len(got) else got
+    got = sample.mapInArrow(features, "id long, x array<double>, label int").toPandas()  # at most max_fit rows
+    got = got.sort_values("id", key=lambda s: s.map(lambda i: xxhash.xxh64_intdigest(str(i)))) if len(got) else got
     x = np.array(got["x"].tolist()) if len(got) else np.zeros((0, FEATURES))
     return context, train(x, got["label"].to_numpy(int) if len(got) else np.zeros(0, int))
 
@@ -201,7 +225,8 @@ def quality_classifier(
     ``labels`` (id, label 0/1) teach only where crc32 of the id as text, mod 5, is not 0; the rest are held out. A score
     is made from the text alone. Nulls count as empty texts, which have the all-zero features and a score too. A null id
     is not held out (null). Without labels of both classes every score is the same. No rows: no rows. Other columns are
-    ignored, but for ``carry``, which is returned with its row; repeated rows are each returned and teach once.
+    ignored, but for ``carry``, which is returned with its row. Repeated rows are each returned; of the texts of one id the
+    least teaches, once. A very long text is looked at in parts of PART words, all of it.
     """
     rest = lambda c: F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(5))
     kept = [F.col(f"`{carry}`").alias("carried")] if carry else []
