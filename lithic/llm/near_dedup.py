@@ -1,9 +1,15 @@
-"""Near-dedup of the pipeline: texts whose sets of word shingles have a Jaccard similarity of a threshold or more.
-
-Candidates come from MinHash bands: of BANDS groups of ROWS least hashes, one must be equal, which two texts with similarity J
-miss with probability (1 - J**ROWS)**BANDS. (A SimHash radius that covers 0.8 is too wide for an index of blocks.)
-Candidates are joined into loose components by ids alone; then each loose component's texts meet in one task, which compares the
-shingle sets themselves (by 64-bit hash), so a candidate that is not similar enough is never linked.
+"""Operator 3 by similarity: texts whose sets of word shingles have a Jaccard similarity of a threshold or more.
+
+Two texts with a similarity of 0.8 differ in 9.7 of the 64 bits of their SimHash on average, and an index whose masks
+allow so many has nodes that grow with the corpus. So the whole-text fingerprints, linked within a few bits by operator
+3's Gray-order index, find the closest copies only, and FAMILIES fingerprints of samples find the others: each is the SimHash
+of the SAMPLE shingles that have the least hashes in its family, and links texts where it is equal. Two texts with
+similarity J are missed with a probability of (1 - J**SAMPLE)**FAMILIES at most.
+
+Every candidate is confirmed by the shingle sets themselves. In rounds, each group of candidates has a pivot, and all other
+members that are not yet connected with it are compared with it, as rows of a join; a group whose members are all connected
+is done. What is open after ROUNDS rounds, groups of texts that share samples but are not similar, is compared in one
+task for each connected set of such groups.
 """
 
 from __future__ import annotations
@@ -18,10 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import settled
 from .components import components
+from .simhash import links, majority
 
-BANDS, ROWS, CHUNK = 24, 6, 1024
+FAMILIES, SAMPLE, ROUNDS, CHUNK = 20, 5, 3, 1024
 _RNG = np.random.default_rng(42)
-FACTORS, SHIFTS = _RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1), _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+FACTORS, SHIFTS = _RNG.integers(0, 1 << 31, FAMILIES * SAMPLE, np.uint32) * np.uint32(2) + np.uint32(1), _RNG.integers(0, 1 << 32, FAMILIES * SAMPLE, np.uint32)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,16 +42,14 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(np.array([digest(join(s), 42) for s in parts], np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """BANDS longs, one for each band of least hashes."""
-    least, low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32), hashes.astype(np.uint32)
+def sampled(hashes: np.ndarray) -> np.ndarray:
+    """FAMILIES longs, the SimHash of each family's sample."""
+    least, low = np.full(FAMILIES * SAMPLE, 0xFFFFFFFF, np.uint32), hashes.astype(np.uint32)
     for k in range(0, len(low), CHUNK):
         np.minimum(least, (low[k : k + CHUNK, None] * FACTORS + SHIFTS).min(0), out=least)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * MIX
-    for column in least.reshape(BANDS, ROWS).T:
-        keys = (keys ^ column) * MIX
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
+    mixed = least.astype(np.uint64) * MIX
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * MIX
+    return majority(mixed.reshape(FAMILIES, SAMPLE)).view(np.int64)
 
 
 def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -82,37 +87,91 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return out
 
 
+def similar(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Of ``pairs`` (a, b), those whose texts (u, text) are similar enough."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, y = None, np.empty(0, np.uint64)
+        for batch in batches:
+            keep = []
+            for b, s, t in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                x = shingles(s, shingle)
+                if b != last:
+                    last, y = b, shingles(t, shingle)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(den * shared >= num * (len(x) + len(y) - shared))
+            yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    first, second = (texts.select(F.col("u").alias(f"u_{c}"), F.col("text").alias(f"text_{c}")) for c in "ab")
+    both = pairs.join(first, F.col("a") == F.col("u_a")).join(second, F.col("b") == F.col("u_b"))
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(each, "a long, b long")
+
+
+def named(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """``groups`` (key, u) with each member's root so far, for the groups that have several."""
+    known = groups.join(roots, F.col("u") == F.col("node"), "left").select("key", "u", F.coalesce("root", "u").alias("root"))
+    ends = known.groupBy("key").agg(F.min(F.struct("root", "u")).alias("low"), F.max(F.struct("root", "u")).alias("high")).where("low.root < high.root")
+    return known.join(ends.select(F.col("key").alias("of"), "low", "high"), F.col("key") == F.col("of")).drop("of")
+
+
+def confirmed_in_tasks(groups: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect the similar texts of ``groups`` (key, u), each connected set of groups in one task."""
+    star = groups.groupBy("key").agg(F.min("u").alias("b")).withColumnRenamed("key", "of")
+    sets = components(groups.join(star, F.col("key") == F.col("of")).select(F.col("u").alias("a"), "b"))
+    sets = sets.union(sets.select(F.col("root").alias("node"), "root").distinct())
+
+    def one(group: pa.Table) -> pa.Table:
+        u = group.column("u").to_numpy()
+        tree = linked([shingles(t, shingle) for t in group.column("text").to_pylist()], num, den)
+        return pa.table({"a": pa.array(u), "b": pa.array(u[tree])})
+
+    return texts.join(sets, F.col("u") == F.col("node")).select("root", "u", "text").groupBy("root").applyInArrow(one, "a long, b long").where("a <> b")
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row per input row: id, component_id (the smallest id reachable by links of similarity num / den or more).
 
-    Nulls count as empty texts; texts without words have equal, empty sets. A null id keeps its row and never names a component,
-    unless its component has no other: then component_id is null. Repeated rows are each returned. Other columns are ignored.
+    Nulls count as empty texts; texts without words have equal, empty sets; of a very long text every shingle counts. A null id
+    keeps its row and never names a component, unless its component has no other: then component_id is null. Repeated rows are
+    each returned. No rows: no rows. Other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = pa.array([band_keys(shingles(t, shingle)) for t in batch.column(2).to_pylist()], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column(0), batch.column(1), keys], ["id", "digest", "keys"])
-
-    rows = settled(docs.mapInArrow(each, "id long, digest binary, keys array<long>"))
-    # Nodes are hashes of digests: a clash only makes a loose component larger.
-    reps = settled(rows.groupBy("digest").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")).withColumn("u", F.xxhash64("digest")))
-    bands = reps.select("u", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("u").alias("b"), F.max("u").alias("most")).where("b < most").select(F.col("key").alias("of"), "b")
-    roots = components(bands.join(shared, F.col("key") == F.col("of")).select(F.col("u").alias("a"), "b"))
-    roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    loose = settled(reps.join(roots, F.col("u") == F.col("node")).select("root", "rep", F.col("digest").alias("of")))
-    texts = docs.select("digest", "text").join(loose, F.col("digest") == F.col("of")).groupBy("digest").agg(F.first("root").alias("root"), F.first("rep").alias("rep"), F.first("text").alias("text"))
-
-    def confirmed(group: pa.Table) -> pa.Table:
-        tree, ids = linked([shingles(t, shingle) for t in group.column("text").to_pylist()], num, den), group.column("rep").to_pylist()
-        least: dict = {}
-        for t, i in zip(tree.tolist(), ids, strict=True):
-            least[t] = min((x for x in (least.get(t), i) if x is not None), default=None)
-        return pa.table({"of": group.column("digest"), "least": pa.array([least[t] for t in tree.tolist()], pa.int64())})
-
-    found = settled(texts.groupBy("root").applyInArrow(confirmed, "of binary, least long"))
-    named = reps.join(found, F.col("digest") == F.col("of"), "left").select(F.col("digest").alias("of"), F.coalesce("least", "rep").alias("component_id"))
-    return rows.join(named, F.col("digest") == F.col("of")).select(F.col("id").alias(id_col), "component_id")
+            whole, keys = [], []
+            for t in batch.column(2).to_pylist():
+                h = shingles(t, shingle)
+                whole.append(int(majority(h[None, :])[0]) if len(h) else 0)
+                keys.append(sampled(h))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "fp", "keys"])
+
+    rows = settled(docs.mapInArrow(each, "id long, digest binary, fp long, keys array<long>"))
+    reps = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    reps = settled(reps.withColumn("u", F.monotonically_increasing_id()))
+    keys = F.concat(F.transform("keys", lambda k, j: F.xxhash64(j, k)), F.array(F.xxhash64("fp")))
+    groups = reps.select("u", F.explode(keys).alias("key"))
+    shared = groups.groupBy("key").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low < high").select(F.col("key").alias("of"))
+    groups = settled(groups.join(shared, F.col("key") == F.col("of"), "left_semi"))
+    close = settled(links(reps.groupBy("fp").agg(F.min("u").alias("rep")), 2, 8))
+    some = groups.select("u").union(close.select("a")).union(close.select("b")).distinct()
+    some = reps.join(some.withColumnRenamed("u", "w"), F.col("u") == F.col("w"), "left_semi").select("u", F.col("digest").alias("of"))
+    texts = settled(docs.select("digest", "text").join(some, F.col("digest") == F.col("of")).groupBy("u").agg(F.first("text").alias("text")))
+
+    sure, pairs = None, close.select("a", "b")
+    for k in range(ROUNDS):
+        roots = components(sure) if sure is not None else close.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+        open_ = settled(named(groups, roots))
+        pivot = F.col("low" if k == 0 else "high")
+        pairs = pairs.union(open_.where(F.col("root") != pivot["root"]).select(F.greatest("u", pivot["u"]), F.least("u", pivot["u"]))).distinct()
+        found = similar(pairs, texts, shingle, num, den)
+        sure = settled(found if sure is None else sure.union(found))
+        groups, pairs = open_.where(F.col("u") != pivot["u"]).select("key", "u"), pairs.limit(0)
+    left = settled(named(groups, components(sure)).select("key", "u"))
+    sure = settled(sure.union(confirmed_in_tasks(left, texts, shingle, num, den)))
+    roots = components(sure)
+    named_ = reps.join(roots, F.col("u") == F.col("node"), "left").select("digest", "rep", F.coalesce("root", "u").alias("root"))
+    least = named_.groupBy("root").agg(F.min("rep").alias("component_id")).withColumnRenamed("root", "r")
+    found = named_.join(least, F.col("root") == F.col("r")).select(F.col("digest").alias("of"), "component_id")
+    return rows.join(found, F.col("digest") == F.col("of")).select(F.col("id").alias(id_col), "component_id")

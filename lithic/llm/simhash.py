@@ -26,35 +26,37 @@ from .components import components
 FANOUT, CHUNK = 16, 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int) -> tuple[int, int]:
-    """Unsigned 64 bits: those set in over half the XXH64 hashes (seed 42) of the text's word shingles; and 64 more, of the hashes mixed once more."""
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """(rows, n) unsigned hashes -> for each row 64 bits: those set in over half of its n hashes."""
+    ones = np.unpackbits(np.ascontiguousarray(hashes).astype(">u8").view(np.uint8).reshape(*hashes.shape, 8), axis=2).sum(1, dtype=np.int64)
+    return np.packbits(2 * ones > hashes.shape[1], axis=1).view(">u8").astype(np.uint64).ravel()
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Unsigned 64 bits: those set in over half the XXH64 hashes (seed 42) of the text's word shingles."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0, 0
+        return 0
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    ones, n = np.zeros((2, 64), np.int64), max(1, len(words) - shingle + 1)
+    ones, n = np.zeros(64, np.int64), max(1, len(words) - shingle + 1)
     for i in range(0, n, CHUNK):
         part = words[i : min(i + CHUNK, n) + shingle - 1]
         shingles = zip(*[part[k:] for k in range(shingle)], strict=False) if len(words) > shingle else [words]
         hashes = np.array([digest(join(s), 42) for s in shingles], np.uint64)
-        again = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        for k, h in enumerate((hashes, again ^ (again >> np.uint64(27)))):
-            ones[k] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    first, second = np.packbits(2 * ones > n, axis=1)
-    return int.from_bytes(first.tobytes(), "big"), int.from_bytes(second.tobytes(), "big")
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, second: bool) -> DataFrame:
-    """(id long, fp long, fp2 long): the fingerprint's bits as signed longs; fp2 is 0 unless it is asked for."""
+def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id long, fp long): the fingerprint's bits as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, 2)
-            fps[:, 1] *= np.uint64(second)
-            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in (0, 1))], ["id", "fp", "fp2"])
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
+            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(each, "id long, fp long, fp2 long")
+    return rows.mapInArrow(each, "id long, fp long")
 
 
 def masks(max_distance: int, blocks: int) -> list[int]:
@@ -91,8 +93,8 @@ class Forest:
 class GrayIndex:
     """The inner levels over codes sorted by (group, Gray rank). Level 0 are the codes; a node never spans two groups."""
 
-    def __init__(self, group: np.ndarray, codes: np.ndarray, second: np.ndarray | None = None) -> None:
-        self.codes, self.second, self.first, self.owner = codes, np.zeros_like(codes) if second is None else second, [], [group]
+    def __init__(self, group: np.ndarray, codes: np.ndarray) -> None:
+        self.codes, self.first, self.owner = codes, [], [group]
         self.ones, self.zeros = [codes], [~codes]  # bits that all below have as 1, as 0
         while len(self.owner[-1]) > len(np.unique(self.owner[-1])):
             own = self.owner[-1]
@@ -116,16 +118,14 @@ class GrayIndex:
             out.append(np.where((low == high) & (low >= 0), low, -1 - np.arange(len(low))))
         return out
 
-    def _link(self, a: np.ndarray, b: np.ndarray, limit: int, total: int) -> np.ndarray:
-        first = np.bitwise_count(self.codes[a] ^ self.codes[b]).astype(np.int64)
-        return (first <= limit) & (first + np.bitwise_count(self.second[a] ^ self.second[b]) <= total)
+    def _near(self, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+        return np.bitwise_count(self.codes[a] ^ self.codes[b]) <= limit
 
-    def connect(self, limit: int, total: int | None = None) -> Forest:
-        """All codes of one group at most ``limit`` bits apart, and ``total`` with their second halves, directly or by way of others."""
-        total = limit if total is None else total
+    def connect(self, limit: int) -> Forest:
+        """All codes of one group at most ``limit`` bits apart, directly or by way of others."""
         forest, top = Forest(len(self.codes)), len(self.first)
         near = np.flatnonzero(self.owner[0][1:] == self.owner[0][:-1])
-        near = near[self._link(near, near + 1, limit, total)]
+        near = near[self._near(near, near + 1, limit)]
         forest.unite(near, near + 1)
         trees = self._one_tree(forest)
         roots = np.arange(len(self.owner[top]))
@@ -138,7 +138,7 @@ class GrayIndex:
             fresh = (trees[level][a] != trees[level][b]) | (trees[level][a] < 0)
             a, b, known, apart = (x[fresh] for x in (a, b, known, apart))
             if not level:
-                fits = self._link(a, b, limit, total)
+                fits = self._near(a, b, limit)
                 a, b = a[fits], b[fits]
                 if len(a):
                     forest.unite(a, b)
@@ -156,26 +156,26 @@ class GrayIndex:
         return forest
 
 
-def links_within(limit: int, total: int):
-    """A mapInArrow function over rows (node, fp, fp2, rep) sorted by node: spanning links (a, b) between reps."""
+def links_within(limit: int):
+    """A mapInArrow function over rows (node, fp, rep) sorted by node: spanning links (a, b) between reps."""
 
-    def linked(node: np.ndarray, codes: np.ndarray, second: np.ndarray, rep: np.ndarray) -> pa.RecordBatch | None:
+    def linked(node: np.ndarray, codes: np.ndarray, rep: np.ndarray) -> pa.RecordBatch | None:
         same = node[1:] == node[:-1]
         shared = np.r_[same, False] | np.r_[False, same]
         if not shared.any():
             return None
-        node, codes, second, rep = node[shared], codes[shared].view(np.uint64), second[shared].view(np.uint64), rep[shared]
+        node, codes, rep = node[shared], codes[shared].view(np.uint64), rep[shared]
         group = np.cumsum(np.r_[True, node[1:] != node[:-1]])
         order = np.lexsort((gray_rank(codes), group))
-        group, codes, second, rep = group[order], codes[order], second[order], rep[order]
-        root = GrayIndex(group, codes, second).connect(limit, total).root
+        group, codes, rep = group[order], codes[order], rep[order]
+        root = GrayIndex(group, codes).connect(limit).root
         least = rep.copy()
         np.minimum.at(least, root, rep)
         b = least[root]
         return pa.record_batch([pa.array(rep[rep != b]), pa.array(b[rep != b])], ["a", "b"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 4
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
         for batch in batches:
             held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
             if len(held[0]) < CHUNK or held[0][0] == held[0][-1]:
@@ -190,24 +190,27 @@ def links_within(limit: int, total: int):
     return each
 
 
-def simhash_neardup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = 2, blocks: int = 8, max_total: int | None = None
-) -> DataFrame:
+def links(reps: DataFrame, max_distance: int, blocks: int) -> DataFrame:
+    """From (fp, rep), a row for each different fingerprint: links (a, b) between reps that connect all fingerprints at most ``max_distance`` bits apart.
+
+    A node's key has the bits of ``blocks - max_distance`` blocks, 48 of 64 for 2 of 8: random fingerprints share one only
+    where a corpus has some 2**24 of them, and then by twos.
+    """
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(j), F.col("fp").bitwiseAND(F.lit(m))) for j, m in enumerate(masks(max_distance, blocks))]))
+    dealt = reps.select(keys.alias("node"), "fp", "rep").repartition("node").sortWithinPartitions("node")
+    return dealt.mapInArrow(links_within(max_distance), "a long, b long")
+
+
+def simhash_neardup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = 2, blocks: int = 8) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (the smallest id reachable by links).
 
-    Fingerprints at most ``max_distance`` bits apart are linked. With ``max_total``, 64 bits more are made, and a link
-    may differ in at most so many of the 128: that keeps a wide ``max_distance`` from linking unrelated texts. Nulls count
-    as empty texts; texts without words have fingerprint zero, linked like any other. A null id keeps its row and never
+    Fingerprints at most ``max_distance`` bits apart are linked. Nulls count as empty texts; texts without words have
+    fingerprint zero, linked like any other; of a very long text every shingle counts. A null id keeps its row and never
     names a component, unless its component has no other: then component_id is null. Repeated rows are each returned.
-    No rows: no rows. Other columns are ignored.
+    No rows: no rows. Other columns are ignored, whatever their names.
     """
-    rows = settled(fingerprints(df, id_col, text_col, shingle, max_total is not None))
-    reps = rows.where("id IS NOT NULL").groupBy("fp", "fp2").agg(F.min("id").alias("rep"))
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(j), F.col("fp").bitwiseAND(F.lit(m))) for j, m in enumerate(masks(max_distance, blocks))]))
-    nodes = reps.select(keys.alias("node"), "fp", "fp2", "rep")
-    dealt = nodes.repartition("node").sortWithinPartitions("node")
-    roots = components(dealt.mapInArrow(links_within(max_distance, max_distance if max_total is None else max_total), "a long, b long"))
-    found = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.col("fp2").alias("of2"), F.coalesce("root", "rep").alias("component_id"))
-    return rows.join(found, (F.col("fp") == F.col("of")) & (F.col("fp2") == F.col("of2")), "left").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    rows = settled(fingerprints(df, id_col, text_col, shingle))
+    reps = rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"))
+    roots = components(links(reps, max_distance, blocks))
+    found = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "rep").alias("component_id"))
+    return rows.join(found, F.col("fp") == F.col("of"), "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
