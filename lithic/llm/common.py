@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +24,41 @@ def ascii_lower(text: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a folder of our own only where none is set."""
+    """The shared folder that the session names. Where none is set, a folder of our own, but only with everything on one machine."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return named or tempfile.mkdtemp(prefix="lithic-checkpoints-")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with row_key, different for each row and repeated by every read of the same files: file (by hash) and place. Rows of other sources are numbered and settled."""
+    try:
+        return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias("row_key"))
+    except AnalysisException:
+        return settled(docs.select("*", F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("r")).alias("row_key")))
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: its lineage ends there, so a lost executor repeats little."""
+    """``df`` written to the shared checkpoint folder: its lineage ends there, so a lost executor repeats little. Its exchanges are given up, and their files go with the next collection of the driver's heap."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    sc._jvm.System.gc()
+    return out
+
+
+def dealt_out(df: DataFrame, key: str) -> DataFrame:
+    """``df`` partitioned by ``key`` and settled so: what is grouped by the key later needs no exchange of it.
+
+    The adaptive planner hides a plan's partitioning from the checkpoint, so it rests meanwhile; there is no join here.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return settled(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)

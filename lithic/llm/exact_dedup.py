@@ -3,10 +3,10 @@
 Three stages, each of which groups by the full content and not by its digest alone:
 
 1. every map task combines its own rows (Spark's partial aggregation),
-2. the partial groups of one digest meet in ``salts`` salted groups,
+2. what the tasks made of one digest meets in ``salts`` groups, salted by task,
 3. the winners of the salted groups are combined over all rows.
 
-A text with a third of all rows therefore reaches the last stage as at most
+A text with a third of all rows therefore leaves a task as one row, and reaches the last stage as at most
 ``salts`` rows. The winners go back to the rows by digest, a second hash and the
 length of the confirmed content; that join may be split by the adaptive planner.
 """
@@ -24,14 +24,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Texts are equal when they are identical after lower-casing A-Z; the largest id of a group stays.
     A null text counts as empty. A null id never wins against another id; in a group of null ids only,
-    keep_id is null and every row is kept. Repeated rows with the winning id are all kept. No rows: no rows.
+    keep_id is null and every row is kept. Repeated rows with the winning id are all kept. Very long texts are compared whole. No rows: no rows.
     Other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), ascii_lower(text).alias("norm"))
-    rows = rows.select("id", "norm", F.sha2("norm", 256).alias("sha"))
-    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")
-    salted = rows.groupBy("sha", salt, "norm").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))
+    rows = rows.select("id", "norm", F.sha2("norm", 256).alias("sha"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"))
+    salted = rows.groupBy("sha", "salt", "norm").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))
     winners = salted.groupBy("sha", "norm").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"))
     confirmed = [F.xxhash64("norm").alias("hash2"), F.length("norm").alias("len")]
     winners = winners.select(F.col("sha").alias("w_sha"), *[c.alias(f"w_{n}") for c, n in zip(confirmed, ("hash2", "len"), strict=True)], "keep_id", "group_size")

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import settled
 from .components import components
@@ -129,14 +130,14 @@ def confirmed_in_tasks(groups: DataFrame, texts: DataFrame, shingle: int, num: i
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """One row per input row: id, component_id (the smallest id reachable by links of similarity num / den or more).
+    """One row per input row: id (of any ordered type), component_id (the smallest id reachable by links of similarity num / den or more).
 
     Nulls count as empty texts; texts without words have equal, empty sets; of a very long text every shingle counts. A null id
     keeps its row and never names a component, unless its component has no other: then component_id is null. Repeated rows are
     each returned. No rows: no rows. Other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +148,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 keys.append(sampled(h))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "fp", "keys"])
 
-    rows = settled(docs.mapInArrow(each, "id long, digest binary, fp long, keys array<long>"))
+    made = StructType.fromDDL("digest binary, fp long, keys array<long>")
+    rows = settled(docs.mapInArrow(each, StructType([StructField("id", docs.schema["id"].dataType), *made.fields])))
     reps = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     reps = settled(reps.withColumn("u", F.monotonically_increasing_id()))
     keys = F.concat(F.transform("keys", lambda k, j: F.xxhash64(j, k)), F.array(F.xxhash64("fp")))

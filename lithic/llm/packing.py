@@ -94,12 +94,14 @@ def pack(
     without words (or with a null text) is one piece of 0 words. ``cluster_col`` names duplicate clusters; without it,
     texts equal after lower-casing A-Z are one cluster. A null source is a source of its own, rows with a null id are
     packed like others. Repeated rows are duplicates of each other. No rows: no rows. Other columns are ignored.
+    Rows are dealt into shards by their place and id, so that rows without an id, or with one id, spread like all others;
+    a shard holds sizes and sources, never texts. Which bin a row gets may change with the table's layout.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     cluster = F.col(f"`{cluster_col}`") if cluster_col else ascii_lower(text)
     n_shards = max(1, -(-df.count() // shard_rows))
     rows = df.select(
-        F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long")), F.lit(n_shards)).alias("shard"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.col(f"`{id_col}`").cast("long")), F.lit(n_shards)).alias("shard"),
         F.col(f"`{id_col}`").cast("long").alias("id"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("n"),
         F.col(f"`{source_col}`").cast("string").alias("source"),

@@ -1,18 +1,20 @@
 """Operator 4, substring dedup with repeated-phrase automata.
 
 A window of ``width`` words holds ``width - PHRASE + 1`` phrases of PHRASE words; the one with the least hash is its
-anchor, so equal windows have equal anchors at equal places.
-
-1. Anchors are counted over all documents by hash; those found once cannot lie in a recurring window.
-2. Documents are dealt into shards of bounded size, each with the recurring anchors that its documents hold. A shard
-   compiles these phrases, word by word, into one Aho-Corasick automaton and streams its documents through it.
-   Every located phrase gives the run of windows that it anchors, with one hash for the run's words.
-3. Runs equal to another run recur as a whole. The windows of the other runs, and of one run of each equal class, are
-   compared one by one by hash.
-4. The words covered by recurring windows are taken out of the text.
-
-Counting is done by partial aggregation and joins that may be split, so a passage in a third of all documents meets in
-no single task. A window is known by 128 bits: its own 64-bit hash and that of its anchor.
+anchor, so equal windows have equal anchors at equal places. The windows of one anchor in a row are a run.
+
+1. Runs are counted by hash over all documents, in classes of equal runs. Runs whose anchor is found once cannot recur.
+2. A class with several copies recurs as a whole. Where an anchor has several classes, their windows are counted one by one.
+   Each class keeps the place of one copy.
+3. The words of the recurring passages are read at these places, and go to every shard of documents that has a run of the class.
+4. Each shard compiles its passages, word by word, into one Aho-Corasick automaton and streams all its documents through it.
+   The words under its hits are taken out: nothing else decides.
+
+Hashes choose what is worth compiling; another document loses words only where the automaton found the very same words. That
+a passage recurs at all rests on 128 bits of hash (a window's own 64 and its anchor's).
+
+Counting is done by partial aggregation, first by shard, and by joins that may be split, so a passage in a third of all
+documents meets in no single task. The texts are dealt into shards once.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cached_property
 from hashlib import sha256
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -27,10 +30,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import settled
+from .common import dealt_out, keyed, settled
 
-PHRASE, SHARD_ROWS, TOGETHER = 12, 2048, 400_000
+PHRASE, SHARD_ROWS, TOGETHER = 12, 1024, 400_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,14 +81,6 @@ def least_within(x: np.ndarray, k: int) -> np.ndarray:
     return place
 
 
-class Ids(dict):
-    """A number for each word, given at first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = len(self)
-        return out
-
-
 class Texts:
     """Some documents' words in one row, with windows and anchors. ``words``: a list for each document."""
 
@@ -111,8 +107,18 @@ class Texts:
     def anchor(self) -> np.ndarray:
         return least_within(self.phrase, self.width - PHRASE + 1)
 
-    def anchors(self) -> np.ndarray:
-        return np.unique(self.anchor[self.whole])
+    def runs(self) -> tuple[np.ndarray, ...]:
+        """Of every run: document, anchor's hash, its own hash, place of its first window in the document, number of windows."""
+        mine = np.flatnonzero(self.whole)
+        if not len(mine):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        anchor = self.anchor[mine]
+        lo = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (np.diff(mine) > 1)])
+        n = np.diff(np.r_[lo, len(mine)])
+        begin, last, anchor = mine[lo], mine[lo + n - 1], anchor[lo]
+        own = mixed(self.window[begin] * ODD + mixed(self.window[last] + n.astype(np.uint64)) + (anchor - begin).astype(np.uint64))
+        doc = self.doc_of(begin)
+        return doc, self.phrase[anchor], own, (begin - (self.ends - self.lengths)[doc]).astype(np.int32), n.astype(np.int32)
 
     def doc_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, places, side="right")
@@ -139,185 +145,151 @@ def longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def anchor_rows(width: int):
-    """(shard, text) -> (h, shard) for every anchor."""
+def run_rows(width: int):
+    """(f, r, shard, text) -> (g, h, f, r, shard, lo, n) for every run."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            shards = batch.column(0).to_numpy()
-            for first, words in chunks(batch.column(1).to_pylist()):
-                t = Texts(words, hashes, width)
-                at = t.anchors()
-                yield pa.record_batch([longs(t.phrase[at]), pa.array(shards[first + t.doc_of(at)])], ["h", "shard"])
+            f, r, shard = (batch.column(k).to_numpy() for k in range(3))
+            for first, words in chunks(batch.column(3).to_pylist()):
+                doc, g, h, lo, n = Texts(words, hashes, width).runs()
+                doc = doc + first
+                yield pa.record_batch([longs(g), longs(h), pa.array(f[doc]), pa.array(r[doc]), pa.array(shard[doc]), pa.array(lo), pa.array(n)], ["g", "h", "f", "r", "shard", "lo", "n"])
 
     return each
 
 
-LOCATED = "doc_id long, n_words long, sha string, text binary, runs array<struct<g:long,h:long,lo:int,n:int>>"
-
-
-def locate(words: list[list[bytes]], recurring: np.ndarray, width: int) -> dict[str, np.ndarray]:
-    """The runs of a shard's documents, found by the automaton of its recurring phrases: doc, g, h, lo and n of each, in order."""
-    hashes, ids, phrases, kept = WordHashes(), Ids(), set(), []
-    number = lambda ws: tuple(map(ids.__getitem__, ws))
-    for first, some in chunks(words):
-        t = Texts(some, hashes, width)
-        at = t.anchors()
-        at = at[np.isin(t.phrase[at], recurring)]
-        if len(at):
-            phrases.update(number(t.flat[p : p + PHRASE]) for p in at.tolist())
-            kept.append((first, some, t, np.unique(t.doc_of(at)).tolist()))
-    none = {"doc": np.int64, "g": np.int64, "h": np.int64, "lo": np.int32, "n": np.int32}
-    parts = [{k: np.zeros(0, kind) for k, kind in none.items()}]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for p in phrases:
-        automaton.add_word(p, 1)
-    automaton.make_automaton()
-    for first, some, t, docs in kept:
-        found = np.zeros(len(t.x), bool)
-        for k in docs:  # the others have no recurring anchor
-            begin = int(t.ends[k]) - len(some[k]) - PHRASE + 1
-            hits = [end for end, _ in automaton.iter(number(some[k]))]
-            found[np.array(hits, np.int64) + begin] = True
-        mine = np.flatnonzero(t.whole & found[t.anchor])
-        if not len(mine):
-            continue
-        anchor = t.anchor[mine]
-        lo = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (np.diff(mine) > 1)])
-        n = np.diff(np.r_[lo, len(mine)])
-        begin, last, anchor = mine[lo], mine[lo + n - 1], anchor[lo]
-        run = mixed(t.window[begin] * ODD + mixed(t.window[last] + n.astype(np.uint64)) + (anchor - begin).astype(np.uint64))
-        doc = t.doc_of(begin)
-        parts.append({"doc": doc + first, "g": t.phrase[anchor].view(np.int64), "h": run.view(np.int64), "lo": (begin - (t.ends - t.lengths)[doc]).astype(np.int32), "n": n.astype(np.int32)})
-    return {k: np.concatenate([p[k] for p in parts]) for k in none}
-
-
-def locate_rows(width: int):
-    """Rows (shard, kind, h, doc_id, text) sorted by shard and kind; kind 0: a recurring anchor, kind 1: a document."""
-
-    def flush(recurring: list[np.ndarray], ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        words = [t.split() for t in texts]
-        runs = locate(words, np.unique(np.concatenate([np.zeros(0, np.uint64), *recurring])), width)
-        cuts = np.searchsorted(runs["doc"], np.arange(len(ids) + 1))
-        values = pa.StructArray.from_arrays([pa.array(runs[k]) for k in ("g", "h", "lo", "n")], ["g", "h", "lo", "n"])
-        for i in range(0, len(ids), 256):
-            part = range(i, min(i + 256, len(ids)))
-            of = cuts[i : part.stop + 1]
-            yield pa.record_batch(
-                [
-                    pa.array([ids[k] for k in part], pa.int64()),
-                    pa.array([len(words[k]) for k in part], pa.int64()),
-                    pa.array([sha256(b" ".join(words[k])).hexdigest() for k in part], pa.string()),
-                    pa.array([texts[k] if cuts[k + 1] > cuts[k] else None for k in part], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array((of - of[0]).astype(np.int32)), values.slice(of[0], of[-1] - of[0])),
-                ],
-                ["doc_id", "n_words", "sha", "text", "runs"],
-            )
+def documents_of(docs: pa.Table, wanted: pa.Table) -> tuple[list[list[bytes]], np.ndarray]:
+    """Both of one shard: the words of the wanted documents, and for each row of ``wanted`` the place of its document among them."""
+    place = {key: k for k, key in enumerate(zip(docs.column("f").to_pylist(), docs.column("r").to_pylist(), strict=True))}
+    at = np.array([place[key] for key in zip(wanted.column("f").to_pylist(), wanted.column("r").to_pylist(), strict=True)], np.int64)
+    some, of = np.unique(at, return_inverse=True)
+    return [split(t) for t in docs.column("text").take(pa.array(some)).to_pylist()], of
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, recurring, ids, texts = None, [], [], []
-        for batch in batches:
-            shards, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(shards)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if shards[a] != now:
-                    if ids:
-                        yield from flush(recurring, ids, texts)
-                    now, recurring, ids, texts = shards[a], [], [], []
-                part = batch.slice(a, b - a)
-                if kinds[a] == 0:
-                    recurring.append(part.column(2).to_numpy().view(np.uint64))
-                else:
-                    ids += part.column(3).to_pylist()
-                    texts += [(t or "").encode("utf-8", "replace") for t in part.column(4).to_pylist()]
-        if ids:
-            yield from flush(recurring, ids, texts)
+
+def window_rows(width: int):
+    """A shard's documents and runs (g, h, f, r, lo, n, copies) -> (w, g, h, s, copies) for the windows of these runs, s the place in the run."""
+
+    def each(docs: pa.Table, runs: pa.Table) -> pa.Table:
+        names, kinds = ["w", "g", "h", "s", "copies"], [pa.int64()] * 3 + [pa.int32(), pa.int64()]
+        if not docs.num_rows or not runs.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names)
+        words, doc = documents_of(docs, runs)
+        t = Texts(words, WordHashes(), width)
+        g, h, lo, n, copies = (runs.column(c).to_numpy() for c in ("g", "h", "lo", "n", "copies"))
+        begin = lo + (t.ends - t.lengths)[doc]
+        run = np.repeat(np.arange(len(n)), n)
+        s = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        return pa.table([longs(t.window[begin[run] + s]), pa.array(g[run]), pa.array(h[run]), pa.array(s.astype(np.int32)), pa.array(copies[run])], names)
 
     return each
 
 
-def window_rows(width: int):
-    """(uid, text, runs(g, lo, n, copies)) -> (w, g, uid, s, copies) for the windows of the given runs."""
+def passage_rows(width: int):
+    """A shard's documents and runs (g, h, f, r, lo, s) with the places s of their recurring windows -> (g, h, words), a row for windows next to each other."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            uids, runs = batch.column(0).to_numpy(), batch.column(2)
-            for first, words in chunks([t.split() for t in batch.column(1).to_pylist()]):
-                t = Texts(words, hashes, width)
-                some = runs.slice(first, len(words))
-                doc = np.repeat(np.arange(len(words)), some.value_lengths().to_numpy())
-                g, lo, n, copies = (some.flatten().field(k).to_numpy() for k in ("g", "lo", "n", "copies"))
-                begin = lo + (t.ends - t.lengths)[doc]
-                each_run = np.repeat(np.arange(len(n)), n)
-                nth = np.arange(len(each_run)) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.record_batch(
-                    [longs(t.window[begin[each_run] + nth]), pa.array(g[each_run]), pa.array(uids[first + doc[each_run]]), pa.array((lo[each_run] + nth).astype(np.int32)), pa.array(copies[each_run])],
-                    ["w", "g", "uid", "s", "copies"],
-                )
+    def each(docs: pa.Table, runs: pa.Table) -> pa.Table:
+        g, h, found = [], [], []
+        if docs.num_rows and runs.num_rows:
+            words, doc = documents_of(docs, runs)
+            for k, a, b, lo, places in zip(doc.tolist(), *(runs.column(c).to_pylist() for c in ("g", "h", "lo", "s")), strict=True):
+                places = np.unique(places)
+                for part in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
+                    g.append(a)
+                    h.append(b)
+                    found.append(b" ".join(words[k][lo + part[0] : lo + part[-1] + width]))
+        return pa.table([pa.array(g, pa.int64()), pa.array(h, pa.int64()), pa.array(found, pa.binary())], ["g", "h", "words"])
 
     return each
 
 
-def kept_words(words: list[bytes], spans: list[tuple[int, int]], width: int) -> list[bytes]:
-    """Without the words of the windows that begin at lo .. lo + n - 1, for every (lo, n)."""
-    change = np.zeros(len(words) + 1, np.int64)
-    for lo, n in spans:
-        change[lo] += 1
-        change[min(lo + n - 1 + width, len(words))] -= 1
-    gone = np.cumsum(change[:-1]) > 0
-    return [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-
-
-def remove_rows(width: int, out: list[str]):
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, n, sha, text, spans in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                kept = None if spans is None else kept_words(text.split(), [(s["lo"], s["n"]) for s in spans], width)
-                rows.append((doc, n, 0, sha, None) if kept is None else (doc, n, n - len(kept), sha256(b" ".join(kept)).hexdigest(), b" ".join(kept).decode("utf-8", "replace")))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], out)
+class Automaton:
+    """The passages of a shard, over word numbers; a word of no passage is 0."""
+
+    def __init__(self, passages: list[bytes]) -> None:
+        self.ids: dict[bytes, int] = {}
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for p in passages:
+            words = p.split()
+            self.found.add_word(tuple([self.ids.setdefault(w, len(self.ids) + 1) for w in words]), len(words))
+        if passages:
+            self.found.make_automaton()
+
+    def kept(self, words: list[bytes]) -> list[bytes]:
+        """Without the words under any hit."""
+        if not self.ids:
+            return words
+        change, some = [0] * (len(words) + 1), False
+        for end, n in self.found.iter(tuple(map(self.ids.get, words, repeat(0)))):
+            change[end + 1 - n] += 1
+            change[end + 1] -= 1
+            some = True
+        if not some:
+            return words
+        return [w for w, c in zip(words, np.cumsum(change[:-1]).tolist(), strict=True) if not c]
+
+
+def removed_rows(out: list[str], carry: str | None):
+    """A shard's documents and passages (words) -> the rows of substring_dedup."""
+
+    def each(docs: pa.Table, passages: pa.Table) -> pa.Table:
+        automaton = Automaton(passages.column("words").to_pylist())
+        n, gone, sha, text = [], [], [], []
+        for t in docs.column("text").to_pylist():
+            words = split(t)
+            kept = automaton.kept(words)
+            whole = b" ".join(kept)
+            n.append(len(words))
+            gone.append(len(words) - len(kept))
+            sha.append(sha256(whole).hexdigest())
+            text.append(whole.decode("utf-8", "replace") if gone[-1] else None)
+        made = [docs.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())]
+        return pa.table([*made, *([docs.column("carried")] if carry else [])], out)
 
     return each
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def substring_dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, shard_rows: int = SHARD_ROWS, carry: str | None = None
+) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256, kept_text (null where nothing is removed).
 
     A word goes if a window over it recurs anywhere, in its own document too; windows are judged on the input. Nulls
-    count as texts without words; texts shorter than ``width`` words lose nothing. Repeated rows are copies of each
-    other. A null id stays null. No rows: no rows. Other columns are ignored.
+    count as texts without words; texts shorter than ``width`` words lose nothing, very long ones are read whole. Repeated
+    rows are copies of each other. A null id stays null. No rows: no rows. Other columns are ignored, but for ``carry``,
+    which is returned with its row. Rows are told apart by file and place, never by id.
     """
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    kept = [F.col(f"`{carry}`").alias("carried")] if carry else []
+    rows = keyed(df).select(F.col("row_key.f").alias("f"), F.col("row_key.r").alias("r"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *kept)
     n_shards = max(1, -(-rows.count() // shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int"))
-    anchors = rows.select("shard", "text").mapInArrow(anchor_rows(width), "h long, shard int")
-    anchors = anchors.groupBy("h", "shard").agg(F.count(F.lit(1)).alias("n"))  # a very common one: a row for each shard at most
-    recurring = anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("h").alias("again"))
-    # Both sides need n, so that they are one exchange and the texts are read once for it.
-    wanted = anchors.where("n > 0").join(recurring, F.col("h") == F.col("again"), "left_semi")
-    dealt = wanted.select("shard", F.lit(0).alias("kind"), "h", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    dealt = dealt.union(rows.select("shard", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("h"), "doc_id", "text"))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "kind")
-    docs = settled(dealt.mapInArrow(locate_rows(width), LOCATED).withColumn("uid", F.monotonically_increasing_id()))
-
-    runs = docs.select("uid", F.explode("runs").alias("r")).select("uid", "r.*")
-    classes = runs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("uid", "lo")).alias("first"))
-    several = classes.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("g").alias("g2"))
-    counted = runs.join(classes.select(F.col("g").alias("cg"), F.col("h").alias("ch"), "copies", "first"), (F.col("g") == F.col("cg")) & (F.col("h") == F.col("ch")))
-    counted = settled(counted.select("uid", "g", "lo", "n", "copies", (F.col("first") == F.struct("uid", "lo")).alias("is_first")))
-    compare = counted.where("copies = 1 OR is_first").join(several, F.col("g") == F.col("g2"), "left_semi")
-    compare = compare.groupBy("uid").agg(F.collect_list(F.struct("g", "lo", "n", "copies")).alias("todo"))
-    texts = docs.where("text IS NOT NULL").select(F.col("uid").alias("u"), "text")
-    windows = settled(texts.join(compare, F.col("u") == F.col("uid")).select("uid", "text", "todo").mapInArrow(window_rows(width), "w long, g long, uid long, s int, copies long"))
-    again = windows.groupBy(F.col("w").alias("w2"), F.col("g").alias("wg")).agg(F.sum("copies").alias("c")).where("c > 1")
-    single = windows.where("copies = 1").join(again, (F.col("w") == F.col("w2")) & (F.col("g") == F.col("wg")), "left_semi")
-    spans = counted.where("copies > 1").select("uid", "lo", "n").union(single.select("uid", F.col("s").alias("lo"), F.lit(1).alias("n")))
-    spans = spans.groupBy("uid").agg(F.collect_list(F.struct("lo", "n")).alias("spans")).select(F.col("uid").alias("u"), "spans")
-    whole = docs.select("uid", "doc_id", "n_words", "sha", "text").join(spans, F.col("uid") == F.col("u"), "left")
-    out = [id_col, "n_words", "n_removed", "kept_sha256", "kept_text"]
-    return whole.select("doc_id", "n_words", "sha", "text", "spans").mapInArrow(remove_rows(width, out), f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("f", "r"), F.lit(n_shards)).cast("int"))
+    # Dealt out once: what is settled stays partitioned by shard, so the steps below move passages to the texts and never texts.
+    rows = dealt_out(rows, "shard")
+
+    def dealt(other: DataFrame, each, schema) -> DataFrame:
+        return rows.groupBy("shard").cogroup(other.groupBy("shard")).applyInArrow(each, schema)
+
+    place = [F.first(c).alias(c) for c in ("f", "r", "lo", "n")]
+    runs = rows.select("f", "r", "shard", "text").mapInArrow(run_rows(width), "g long, h long, f long, r long, shard int, lo int, n int")
+    by_shard = runs.groupBy("g", "h", "shard").agg(F.count(F.lit(1)).alias("c"), *place)
+    several = by_shard.groupBy("g").agg(F.sum("c").alias("c")).where("c > 1").select(F.col("g").alias("g2"))
+    # Every column is asked for on both sides, so that they are one exchange and the texts are read once for it.
+    by_shard = settled(by_shard.join(several, F.col("g") == F.col("g2"), "left_semi"))
+    classes = by_shard.groupBy("g", "h").agg(F.sum("c").alias("copies"), F.first("shard").alias("shard"), *place)
+    mixed_ = classes.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("g").alias("g2"))
+    compare = settled(classes.join(mixed_, F.col("g") == F.col("g2"), "left_semi"))
+    windows = settled(dealt(compare, window_rows(width), "w long, g long, h long, s int, copies long"))
+    again = windows.groupBy(F.col("w").alias("w2"), F.col("g").alias("g2")).agg(F.sum("copies").alias("c")).where("c > 1")
+    single = windows.where("copies = 1").join(again, (F.col("w") == F.col("w2")) & (F.col("g") == F.col("g2")), "left_semi")
+    single = single.groupBy(F.col("g").alias("g2"), F.col("h").alias("h2")).agg(F.collect_set("s").alias("s"))
+    in_part = compare.where("copies = 1").join(single, (F.col("g") == F.col("g2")) & (F.col("h") == F.col("h2")))
+    whole = classes.where("copies > 1").select("shard", "g", "h", "f", "r", "lo", F.sequence(F.lit(0), F.col("n") - 1).alias("s"))
+    found = whole.union(in_part.select("shard", "g", "h", "f", "r", "lo", "s"))
+    passages = settled(dealt(found, passage_rows(width), "g long, h long, words binary"))
+    where = by_shard.select(F.col("g").alias("g2"), F.col("h").alias("h2"), "shard")
+    routed = passages.join(where, (F.col("g") == F.col("g2")) & (F.col("h") == F.col("h2"))).select("shard", "words")
+    out = StructType.fromDDL(f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    if carry:
+        out = StructType([*out.fields, StructField(carry, df.schema[carry].dataType)])
+    return dealt(routed, removed_rows(out.names, carry), out)
