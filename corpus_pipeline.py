@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm.common import checkpoint_dir, settled, table
+from lithic.llm.common import checkpoint_dir, keyed, table
 from lithic.llm.exact_dedup import exact_dedup
 from lithic.llm.near_dedup import near_dedup
 from lithic.llm.packing import pack
@@ -16,14 +15,6 @@ from lithic.llm.quality_classifier import quality_classifier
 from lithic.llm.substring_dedup import substring_dedup
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with row_key, a long for each row that every read of the same files repeats (a hash of file and place); rows of other sources are numbered and settled."""
-    try:
-        return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row_key"))
-    except AnalysisException:
-        return settled(docs.select("*", F.monotonically_increasing_id().alias("row_key")))
-
-
 def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of keyed ``docs`` with one of the row keys of ``rows``, in the columns of the documents."""
     return docs.join(rows.select("row_key"), "row_key", "left_semi").drop("row_key")
@@ -52,12 +43,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring passages are taken out of the texts; every row stays."""
-    columns, docs = docs.columns, keyed(docs)
-    found = substring_dedup(docs, id_col="row_key").where("n_removed > 0").select("row_key", "kept_text")
-    joined = docs.join(found, "row_key", "left")
-    text = F.coalesce("kept_text", "text")
-    new = {"text": text, "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text")).otherwise(F.col("n_chars")).cast("long")}
-    return joined.select([new.get(c, F.col(c)).alias(c) for c in columns])
+    found = substring_dedup(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), carry="row")
+    cut = F.col("kept_text").isNotNull()
+    new = {"text": F.coalesce("kept_text", "row.text"), "n_chars": F.when(cut, F.length("kept_text")).otherwise(F.col("row.n_chars")).cast("long")}
+    return found.select([new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +57,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality),
     ("exact dedup", exact),
-    ("near-dedup", near),
+    ("SimHash near-dedup", near),
     ("substring dedup", substring),
     ("best-fit packing", packing),
 ]
@@ -76,10 +65,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES in turn over ``documents``."""
+    """STAGES in turn over ``documents``. Each stage's table stays until the next one is written; the last one's is returned."""
     docs, home = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{k}")
         docs = spark.read.parquet(f"{home}/{k}")
+        if k:
+            _removed(spark, f"{home}/{k - 1}")
     return docs
