@@ -40,25 +40,25 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: its lineage ends there, so a lost executor repeats little. Its exchanges are given up, and their files go with the next collection of the driver's heap."""
+    """``df`` written to the shared checkpoint folder: its lineage ends there, so a lost executor repeats little."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    out = df.checkpoint()
-    del df
-    sc._jvm.System.gc()
-    return out
+    return df.checkpoint()
 
 
 def dealt_out(df: DataFrame, key: str) -> DataFrame:
     """``df`` partitioned by ``key`` and settled so: what is grouped by the key later needs no exchange of it.
 
     The adaptive planner hides a plan's partitioning from the checkpoint, so it rests meanwhile; there is no join here.
+    The exchange's files go with the driver's next collection of its heap, which is asked for: they are as large as ``df``.
     """
-    conf = df.sparkSession.conf
+    spark, conf = df.sparkSession, df.sparkSession.conf
     before = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return settled(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
+        out = settled(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
     finally:
         conf.set("spark.sql.adaptive.enabled", before)
+    spark.sparkContext._jvm.System.gc()
+    return out

@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cached_property
 from hashlib import sha256
-from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -34,19 +33,21 @@ from pyspark.sql.types import StructField, StructType
 
 from .common import dealt_out, keyed, settled
 
-PHRASE, SHARD_ROWS, TOGETHER = 12, 1024, 400_000
-ODD = np.uint64(0x9E3779B97F4A7C15)
+PHRASE, SHARD_ROWS, TOGETHER = 12, 1024, 1 << 21
+ODD, BASE = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
+BYTES = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+BLOCK = 1 << 16
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return out
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 500_000:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+#: Powers of BASE, and of its inverse, by a byte's place in a block.
+FORWARD, BACK = powers(BASE, 2 * BLOCK), powers(pow(BASE, -1, 1 << 64), BLOCK)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -54,19 +55,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every word of the bytes ``data``: its first place, and its hash: random numbers of its bytes, each times a power of BASE by its place in the word.
+
+    They are summed up once for a block of bytes; a word's part of the sum is set back to the block's beginning.
+    """
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = SPACE[data]
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    out = np.empty(len(starts), np.uint64)
+    for at in range(0, len(data), BLOCK):
+        lo, hi = np.searchsorted(starts, [at, at + BLOCK])
+        if lo == hi:
+            continue
+        first, last = starts[lo:hi] - at, ends[lo:hi] - at
+        part = data[at : at + min(int(last[-1]), 2 * BLOCK)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTES[part] * FORWARD[: len(part)], out=sums[1:])
+        out[lo:hi] = (sums[np.minimum(last, len(part))] - sums[first]) * BACK[first]
+    for k in np.flatnonzero(ends - starts > BLOCK):  # longer than a block: by itself
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), 7)
+    return starts, mixed(out + (ends - starts).astype(np.uint64))
+
+
 def rolling(x: np.ndarray, k: int) -> np.ndarray:
     """At each place the hash of k words from there on, put together from spans of 1, 2, 4, ... words; the last k - 1 are of no use."""
     span, power, out, taken, factor = x.copy(), ODD, np.zeros(len(x), np.uint64), 0, np.uint64(1)
     size = 1
-    while size <= k:
-        if k & size:  # this span follows what is taken
-            rest = len(x) - taken
-            if rest > 0:
-                out[:rest] = out[:rest] + span[taken:] * factor
-            taken, factor = taken + size, factor * power
-        if len(x) > size:
-            span[:-size] += span[size:] * power
-        size, power = 2 * size, power * power
+    with np.errstate(over="ignore"):  # modulo 2**64
+        while size <= k:
+            if k & size:  # this span follows what is taken
+                rest = len(x) - taken
+                if rest > 0:
+                    out[:rest] = out[:rest] + span[taken:] * factor
+                taken, factor = taken + size, factor * power
+            if len(x) > size:
+                span[:-size] += span[size:] * power
+            size, power = 2 * size, power * power
     return mixed(out)
 
 
@@ -82,13 +107,14 @@ def least_within(x: np.ndarray, k: int) -> np.ndarray:
 
 
 class Texts:
-    """Some documents' words in one row, with windows and anchors. ``words``: a list for each document."""
+    """Some documents' words in one row, by hash, with windows and anchors."""
 
-    def __init__(self, words: list[list[bytes]], hashes: WordHashes, width: int) -> None:
-        self.width, self.flat = width, [w for ws in words for w in ws]
-        self.lengths = np.array([len(w) for w in words], np.int64)
-        self.ends = np.cumsum(self.lengths)
-        self.x = hashes.of(self.flat)
+    def __init__(self, texts: list[bytes], width: int) -> None:
+        self.width = width
+        starts, self.x = word_hashes(np.frombuffer(b"\n".join(texts), np.uint8))
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        self.ends = np.searchsorted(starts, np.cumsum(sizes))
+        self.lengths = np.diff(np.r_[0, self.ends])
 
     @cached_property
     def whole(self) -> np.ndarray:
@@ -124,15 +150,15 @@ class Texts:
         return np.searchsorted(self.ends, places, side="right")
 
 
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").split()
+def encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace")
 
 
-def chunks(texts: list) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(index of the first, word lists) for about TOGETHER words at a time."""
+def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first, whole texts) for about TOGETHER bytes at a time."""
     held, size, first = [], 0, 0
     for k, t in enumerate(texts):
-        held.append(split(t) if not isinstance(t, list) else t)
+        held.append(encoded(t))
         size += len(held[-1])
         if size >= TOGETHER:
             yield first, held
@@ -149,23 +175,22 @@ def run_rows(width: int):
     """(f, r, shard, text) -> (g, h, f, r, shard, lo, n) for every run."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             f, r, shard = (batch.column(k).to_numpy() for k in range(3))
-            for first, words in chunks(batch.column(3).to_pylist()):
-                doc, g, h, lo, n = Texts(words, hashes, width).runs()
+            for first, texts in chunks(batch.column(3).to_pylist()):
+                doc, g, h, lo, n = Texts(texts, width).runs()
                 doc = doc + first
                 yield pa.record_batch([longs(g), longs(h), pa.array(f[doc]), pa.array(r[doc]), pa.array(shard[doc]), pa.array(lo), pa.array(n)], ["g", "h", "f", "r", "shard", "lo", "n"])
 
     return each
 
 
-def documents_of(docs: pa.Table, wanted: pa.Table) -> tuple[list[list[bytes]], np.ndarray]:
-    """Both of one shard: the words of the wanted documents, and for each row of ``wanted`` the place of its document among them."""
+def documents_of(docs: pa.Table, wanted: pa.Table) -> tuple[list[bytes], np.ndarray]:
+    """Both of one shard: the wanted documents' texts, and for each row of ``wanted`` the place of its document among them."""
     place = {key: k for k, key in enumerate(zip(docs.column("f").to_pylist(), docs.column("r").to_pylist(), strict=True))}
     at = np.array([place[key] for key in zip(wanted.column("f").to_pylist(), wanted.column("r").to_pylist(), strict=True)], np.int64)
     some, of = np.unique(at, return_inverse=True)
-    return [split(t) for t in docs.column("text").take(pa.array(some)).to_pylist()], of
+    return [encoded(t) for t in docs.column("text").take(pa.array(some)).to_pylist()], of
 
 
 def window_rows(width: int):
@@ -175,8 +200,8 @@ def window_rows(width: int):
         names, kinds = ["w", "g", "h", "s", "copies"], [pa.int64()] * 3 + [pa.int32(), pa.int64()]
         if not docs.num_rows or not runs.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
-        words, doc = documents_of(docs, runs)
-        t = Texts(words, WordHashes(), width)
+        texts, doc = documents_of(docs, runs)
+        t = Texts(texts, width)
         g, h, lo, n, copies = (runs.column(c).to_numpy() for c in ("g", "h", "lo", "n", "copies"))
         begin = lo + (t.ends - t.lengths)[doc]
         run = np.repeat(np.arange(len(n)), n)
@@ -192,7 +217,8 @@ def passage_rows(width: int):
     def each(docs: pa.Table, runs: pa.Table) -> pa.Table:
         g, h, found = [], [], []
         if docs.num_rows and runs.num_rows:
-            words, doc = documents_of(docs, runs)
+            texts, doc = documents_of(docs, runs)
+            words = [t.split() for t in texts]
             for k, a, b, lo, places in zip(doc.tolist(), *(runs.column(c).to_pylist() for c in ("g", "h", "lo", "s")), strict=True):
                 places = np.unique(places)
                 for part in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
@@ -205,28 +231,27 @@ def passage_rows(width: int):
 
 
 class Automaton:
-    """The passages of a shard, over word numbers; a word of no passage is 0."""
+    """The passages of a shard: words with one space between them, and one before and after."""
 
     def __init__(self, passages: list[bytes]) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p in passages:
-            words = p.split()
-            self.found.add_word(tuple([self.ids.setdefault(w, len(self.ids) + 1) for w in words]), len(words))
-        if passages:
-            self.found.make_automaton()
+            key = f" {p.decode('utf-8', 'replace')} "
+            self.found.add_word(key, len(key))
+        self.found.make_automaton()
 
     def kept(self, words: list[bytes]) -> list[bytes]:
         """Without the words under any hit."""
-        if not self.ids:
+        if not len(self.found) or not words:
             return words
-        change, some = [0] * (len(words) + 1), False
-        for end, n in self.found.iter(tuple(map(self.ids.get, words, repeat(0)))):
-            change[end + 1 - n] += 1
-            change[end + 1] -= 1
-            some = True
-        if not some:
+        hits = list(self.found.iter(f" {b' '.join(words).decode('utf-8', 'replace')} "))
+        if not hits:
             return words
+        place = np.cumsum([0, *[len(w.decode("utf-8", "replace")) + 1 for w in words]])  # of the space before each word, and of the last one
+        ends, sizes = np.array(hits, np.int64).T
+        change = np.zeros(len(words) + 1, np.int64)
+        np.add.at(change, np.searchsorted(place, ends + 1 - sizes), 1)
+        np.add.at(change, np.searchsorted(place, ends), -1)
         return [w for w, c in zip(words, np.cumsum(change[:-1]).tolist(), strict=True) if not c]
 
 
@@ -237,7 +262,7 @@ def removed_rows(out: list[str], carry: str | None):
         automaton = Automaton(passages.column("words").to_pylist())
         n, gone, sha, text = [], [], [], []
         for t in docs.column("text").to_pylist():
-            words = split(t)
+            words = encoded(t).split()
             kept = automaton.kept(words)
             whole = b" ".join(kept)
             n.append(len(words))
@@ -273,8 +298,8 @@ def substring_dedup(
     place = [F.first(c).alias(c) for c in ("f", "r", "lo", "n")]
     runs = rows.select("f", "r", "shard", "text").mapInArrow(run_rows(width), "g long, h long, f long, r long, shard int, lo int, n int")
     by_shard = runs.groupBy("g", "h", "shard").agg(F.count(F.lit(1)).alias("c"), *place)
-    several = by_shard.groupBy("g").agg(F.sum("c").alias("c")).where("c > 1").select(F.col("g").alias("g2"))
     # Every column is asked for on both sides, so that they are one exchange and the texts are read once for it.
+    several = by_shard.where(F.coalesce("f", "r", "lo", "n").isNotNull()).groupBy("g").agg(F.sum("c").alias("c")).where("c > 1").select(F.col("g").alias("g2"))
     by_shard = settled(by_shard.join(several, F.col("g") == F.col("g2"), "left_semi"))
     classes = by_shard.groupBy("g", "h").agg(F.sum("c").alias("copies"), F.first("shard").alias("shard"), *place)
     mixed_ = classes.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("g").alias("g2"))
