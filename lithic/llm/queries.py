@@ -38,10 +38,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's revalidation: the full response it belongs to and its merged headers, sorted and written out."""
+    """Every revisit of a crawl of the pages: the full response it belongs to and its merged headers, sorted and written out."""
     headers = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
     found = warc_revisits.resolve_revisits(warc_revisits.capture_log(table(spark, sf_dir, "pages")))
-    return found.select(F.col("record_id").alias("page_id"), "canonical", "resolved_id", "status", F.array_join(headers, "\n").alias("headers"))
+    return found.select("record_id", "canonical", F.col("resolved_id").cast("string").alias("resolved_id"), "status", F.array_join(headers, "\n").alias("headers"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

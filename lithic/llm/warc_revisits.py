@@ -78,13 +78,13 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     record_id, canonical, resolved_id, status, headers.
 
     kind is "response" (full) or "revisit"; others are passed over. A revisit belongs to the latest full response of its
-    canonical URL with an earlier ts (at one ts, responses come first, then by record_id). status: "resolved" with merged
+    canonical URL with an earlier ts; of several at one ts, the one with the largest record_id. status: "resolved" with merged
     headers; "validator_mismatch" if a named validator differs or none is named; "no_response" if nothing precedes it.
     Unresolved revisits keep their own headers, and resolved_id is null. A null url is the empty URL, a null ts the
     earliest; null headers are none; header names compare in lower case. Repeated rows are each resolved. Other columns
-    are ignored.
+    are ignored, whatever their names. Very long URLs and headers are kept whole. No rows: no rows.
     """
-    order = F.when(F.col("kind") == "response", 0).otherwise(1)
+    order = F.when(F.col("kind") == "response", 1).otherwise(0)  # at one ts, a response comes after the revisits
     rows = records.where(F.col("kind").isin("response", "revisit")).select(
         canonical_url(F.col("url")).alias("canonical"), F.coalesce(F.col("ts"), F.lit(-(1 << 62))).alias("ts"), order.alias("o"), F.col("record_id").cast("long").alias("record_id"), "kind", "headers"
     )
@@ -123,40 +123,58 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def capture_log(pages: DataFrame) -> DataFrame:
-    """A crawl of ``pages`` with a revalidation for every page: records for resolve_revisits.
+    """A crawl of ``pages``: records for resolve_revisits, two with each page's own URL and one with a URL that eight pages share.
 
-    Page p is fetched in full at 2p, with an ETag of its content, and asked for again at 2p + 1 + 2 (length of p's URL mod 64);
-    the answer is "not modified", for the content first seen. Where URLs with one canonical form had other content in
-    between, the validators differ.
+    Page p is fetched in full at 10p, with an ETag of its content, and asked for again later; the answer is "not modified",
+    for the content first seen. The section of page p, one URL for eight pages but for a tracking parameter, is asked for at
+    10p + 5: first by a revisit that nothing precedes, then it is fetched in full, met again unchanged and with another
+    validator, fetched anew, and met again with the old, with the new (weak) and without a validator. Rows without an id
+    are passed over.
     """
-    etag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary")), 1, 16), F.lit('"'))
-    again = 2 * F.col("page_id") + 1 + 2 * (F.length(F.coalesce(F.col("url"), F.lit(""))) % 64)
-    pages = pages.select("page_id", "url", etag.alias("etag"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string").alias("size"), again.alias("again"))
     text = lambda c: c.cast("string")
-    full = F.struct(
-        F.col("page_id").alias("record_id"), F.col("url").alias("url"), (2 * F.col("page_id")).alias("ts"), F.lit("response").alias("kind"),
-        F.create_map(F.lit("ETag"), F.col("etag"), F.lit("Content-Length"), F.col("size"), F.lit("Date"), text(2 * F.col("page_id"))).alias("headers"),
-    )
-    revisit = F.struct(
-        F.col("page_id").alias("record_id"), F.col("url").alias("url"), F.col("again").alias("ts"), F.lit("revisit").alias("kind"),
-        F.create_map(F.lit("ETag"), F.col("etag"), F.lit("Content-Length"), F.lit("0"), F.lit("Date"), text(F.col("again"))).alias("headers"),
-    )
-    return pages.select(F.explode(F.array(full, revisit)).alias("r")).select("r.*")
+    place = F.pmod(F.col("page_id"), F.lit(8))
+    group = ((F.col("page_id") - place) / 8).cast("long")
+    version = lambda n: F.concat(F.lit('"s'), text(group), F.lit(f'-{n}"'))
+    etag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary")), 1, 16), F.lit('"'))
+    again = 10 * F.col("page_id") + 1 + 20 * (F.length(F.coalesce(F.col("url"), F.lit(""))) % 64)
+    size = text(F.octet_length(F.coalesce("html", F.lit(""))))
+
+    def record(k: int, url, ts, kind, tag, length):
+        headers = F.map_filter(F.create_map(F.lit("ETag"), tag, F.lit("Content-Length"), length, F.lit("Date"), text(ts)), lambda _, v: v.isNotNull())
+        return F.struct((4 * F.col("page_id") + k).alias("record_id"), url.alias("url"), ts.alias("ts"), kind.alias("kind"), headers.alias("headers"))
+
+    full = place.isin(1, 4)
+    tag = F.when(place.isin(0, 1, 2, 5), version(1)).when(place == 3, version(0)).when(place == 4, version(2)).when(place == 6, F.concat(F.lit("W/"), version(2)))
+    section = F.concat(F.lit("https://www.example.org/section/"), text(group), F.lit("?ref="), text(F.col("page_id")))
+    records = F.array(
+        record(0, F.col("url"), 10 * F.col("page_id"), F.lit("response"), etag, size),
+        record(1, F.col("url"), again, F.lit("revisit"), etag, F.lit("0")),
+        record(2, section, 10 * F.col("page_id") + 5, F.when(full, "response").otherwise("revisit"), tag, F.when(full, size).otherwise("0")),
+    )
+    return pages.where("page_id IS NOT NULL").select(F.explode(records).alias("r")).select("r.*")
 
 
 SQL = r"""
 WITH p AS (
   SELECT page_id, regexp_replace(regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS rest,
-         '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS etag, strlen(coalesce(html, '')) AS size, 2 * page_id + 1 + 2 * (length(coalesce(url, '')) % 64) AS ts
-  FROM pages),
+         '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS etag, strlen(coalesce(html, '')) AS size, 10 * page_id + 1 + 20 * (length(coalesce(url, '')) % 64) AS ts
+  FROM pages WHERE page_id IS NOT NULL),
 q AS (
   SELECT page_id, etag, size, ts, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^(www|m)\.', ''), ':(80|443)$', '') AS host,
          regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/$', '') AS path,
          list_sort([x FOR x IN string_split(regexp_extract(rest, '\?(.*)$', 1), '&') IF x <> '' AND NOT regexp_matches(x, '^(ref|fbclid|gclid|utm_[a-z]+)(=.*)?$')]) AS params
   FROM p),
-c AS (SELECT page_id, etag, size, ts, host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical FROM q)
-SELECT r.page_id, r.canonical, CASE WHEN f.etag = r.etag THEN f.page_id END AS resolved_id,
-       CASE WHEN f.page_id IS NULL THEN 'no_response' WHEN f.etag = r.etag THEN 'resolved' ELSE 'validator_mismatch' END AS status,
-       'content-length: ' || CASE WHEN f.etag = r.etag THEN f.size ELSE 0 END || chr(10) || 'date: ' || r.ts || chr(10) || 'etag: ' || r.etag AS headers
-FROM (SELECT * FROM c) r ASOF LEFT JOIN (SELECT page_id, canonical, etag, size, 2 * page_id AS ts FROM c) f ON r.canonical = f.canonical AND f.ts <= r.ts
+c AS (SELECT page_id, etag, size, ts, host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical,
+             'example.org/section/' || (page_id // 8) AS section, '"s' || (page_id // 8) || '-' AS of FROM q),
+f AS (
+  SELECT 4 * page_id AS record_id, canonical, 10 * page_id AS ts, etag, size FROM c
+  UNION ALL SELECT 4 * page_id + 2, section, 10 * page_id + 5, of || CASE page_id % 8 WHEN 1 THEN '1"' ELSE '2"' END, size FROM c WHERE page_id % 8 IN (1, 4)),
+r AS (
+  SELECT 4 * page_id + 1 AS record_id, canonical, ts, etag FROM c
+  UNION ALL SELECT 4 * page_id + 2, section, 10 * page_id + 5, CASE page_id % 8 WHEN 3 THEN of || '0"' WHEN 6 THEN 'W/' || of || '2"' WHEN 7 THEN NULL ELSE of || '1"' END
+  FROM c WHERE page_id % 8 NOT IN (1, 4)),
+j AS (SELECT r.*, f.record_id AS found, f.size, coalesce(f.etag = replace(r.etag, 'W/', ''), FALSE) AS fits FROM r ASOF LEFT JOIN f ON r.canonical = f.canonical AND f.ts < r.ts)
+SELECT record_id, canonical, CASE WHEN fits THEN CAST(found AS STRING) END AS resolved_id, CASE WHEN found IS NULL THEN 'no_response' WHEN fits THEN 'resolved' ELSE 'validator_mismatch' END AS status,
+       'content-length: ' || CASE WHEN fits THEN size ELSE 0 END || chr(10) || 'date: ' || ts || coalesce(chr(10) || 'etag: ' || etag, '') AS headers
+FROM j
 """

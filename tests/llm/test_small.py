@@ -145,6 +145,26 @@ def test_substring(docs):
     assert got(substring_dedup.substring_dedup(docs, shard_rows=10), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
 
 
+def test_word_hashes():
+    """Equal words have equal hashes wherever they stand, different ones different hashes; words of more than a block too."""
+    r = random.Random(9)
+    pool = [bytes(r.choices(b"abc\xc3\xa4", k=r.randrange(1, 9))) for _ in range(3000)] + [b"x" * 70_000, b"x" * 70_001, b"y" * 200_000]
+    words_ = r.choices(pool, k=60_000) + pool
+    data = b"".join(w + r.choice([b" ", b"\n", b" \t\r", b"\x0b\x0c"]) for w in words_)
+    starts, h = substring_dedup.word_hashes(np.frombuffer(data, np.uint8))
+    found = {}
+    assert len(h) == len(words_) and [data[s : s + len(w)] for s, w in zip(starts.tolist(), words_)] == words_
+    for w, x in zip(words_, h.tolist()):
+        assert found.setdefault(w, x) == x
+    assert len(set(found.values())) == len(found)
+
+
+def test_substring_needs_its_automata(docs, monkeypatch):
+    """Every removed word lies under a hit of an automaton: without passages nothing goes."""
+    monkeypatch.setattr(substring_dedup, "passage_rows", lambda width: lambda d, r: __import__("pyarrow").table({"g": [], "h": [], "words": []}, schema=__import__("pyarrow").schema([("g", "int64"), ("h", "int64"), ("words", "binary")])))
+    assert {r.n_removed for r in substring_dedup.substring_dedup(docs, shard_rows=10).collect()} == {0}
+
+
 def test_quality_rules(docs):
     trusted = docs.where("doc_id > 16").select("doc_id")
     out = {r.doc_id: r for r in quality_rules.quality_rules(docs, trusted, buckets=512).collect()}
@@ -188,6 +208,64 @@ def test_html():
     assert html_text.main_text("<article>" + "<p>a</p>" * 3000 + "</article>").count("\n") == 2999
 
 
+ARTICLE = " ".join(f"Sentence {k} of the article, with some words." for k in range(8))
+
+
+@pytest.mark.parametrize("attribute", [
+    'aria-hidden="false"', "title='the hidden gem'", "data-id='social-7'", "class='post has-sidebar'", "class='content with-sidebar'", "class='post header-image'", "id='related-work'",
+    "class='entry no-comments'", 'data-x="class=ad"', "class='article-header'",
+])
+def test_html_attributes_that_only_mention_boilerplate(attribute):
+    page = f"<body><nav><a href=/>Home</a></nav><div {attribute}><p>{ARTICLE}</p></div><footer>us</footer></body>"
+    assert html_text.main_text(page) == ARTICLE
+
+
+@pytest.mark.parametrize("attribute", ["class='ad'", "class='cookie-notice'", "id=sidebar-left", "role='navigation'", "class=' x commentList'", "hidden", "style='color:red; display : none'", "class='share-buttons'", "class='site-footer'", "itemprop=comment"])
+def test_html_marked_boilerplate_goes(attribute):
+    assert html_text.main_text(f"<body><article><p>{ARTICLE}</p></article><div {attribute}><p>{ARTICLE[::-1]}</p></div></body>") == ARTICLE
+
+
+def test_html_reader_comments_below_their_heading():
+    page = f"<article><h1>Head</h1><p>{ARTICLE}</p><section class='x9'><h3>2 Comments</h3><div><p>{ARTICLE} I say.</p></div><p>{ARTICLE} Me too.</p></section><p>An end, of the article.</p></article>"
+    assert html_text.main_text(page) == f"Head\n{ARTICLE}\nAn end, of the article."
+    assert html_text.main_text(f"<article><p>{ARTICLE}</p><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p></article>") == f"{ARTICLE}\nLet x=2 hold."
+
+
+def test_html_is_read_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for tail in ("<a " + " ".join(f"b{k}='c'" for k in range(200)), "<a " * 50_000, "<" * 100_000, "<a b=\"" * 30_000, "<a ='" * 30_001, "<!--" * 50_000, "<script>" * 20_000, "</script" * 20_000, "<p " + "=" * 100_000, "<div>" * 3000, "&" * 50_000):
+        assert html_text.main_text(f"<article><p>{ARTICLE}</p>{tail}").startswith(ARTICLE)
+    assert time.perf_counter() - began < 20
+
+
+def test_html_weights_are_fitted(spark):
+    page = lambda k: f"<body><nav><ul><li><a href=/>Link {k}</a></li><li><a href=/>Other</a></li></ul></nav><article><h1>Title {k}</h1><p>{ARTICLE} {k}.</p><p>More of it, {k}.</p></article><footer>us</footer></body>"
+    df = spark.createDataFrame([(page(k % 60),) for k in range(80)], "html string")
+    weights = html_text.taught(df, 50)
+    assert weights is not None and weights[2] < 0 < weights[3] and (html_text.taught(df.repartition(7), 50) == weights).all()
+    plain = f"<body><div><a href=/>Home</a> <a href=/>News</a></div><div><p>{ARTICLE}</p><p>More of it, too.</p></div></body>"
+    assert html_text.main_text(plain, weights) == f"{ARTICLE}\nMore of it, too."
+    assert html_text.taught(df.limit(0), 50) is None and html_text.taught(df.limit(3), 50) is None
+
+
+def test_html_planted_pages(spark):
+    """Whole pages with known main text, in several dresses, against what was planted."""
+    r, rows = random.Random(3), []
+    dresses = [("<main>", "</main>"), ("<article>", "</article>"), ("<div class='post-content'>", "</div>"), ("<div id=content><section>", "</section></div>"), ("<div>", "</div>")]
+    for k in range(100):
+        paragraphs = [" ".join(r.choices(WORDS, k=r.randrange(25, 60))) + "." for _ in range(r.randrange(2, 9))]
+        a, b = dresses[k % 5]
+        menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in r.choices(WORDS, k=6))
+        body = "".join(f"<p>{p.replace(' ', ' <b>', 1).replace(' ', '</b>  ', 2) if k % 3 == 0 else p}</p>" for p in paragraphs)
+        page = f"<html><head><title>t</title></head><body><nav><ul>{menu}</ul></nav><div class='ad'>Buy {k}</div>{a}<h1>Head {k}</h1>{body}{b}<aside><p>{' '.join(r.choices(WORDS, k=20))}</p></aside><footer>&copy; {k}</footer></body></html>"
+        rows.append((k, page, "\n".join([f"Head {k}", *paragraphs])))
+    out = {x.page_id: x.text for x in html_text.html_main_text(spark.createDataFrame(rows, "page_id long, html string, want string").withColumn("url", F.lit("u"))).collect()}
+    clean = lambda t: " ".join(t.replace("<b>", "").split())
+    assert [k for k, _, want in rows if clean(out[k]) != clean(want)] == []
+
+
 def test_minimum_cut():
     for _ in range(150):
         n = R.randrange(1, 8)
@@ -263,6 +341,22 @@ def test_revisits(spark):
     assert out[6].headers["x-a"] == "5" and out[6].headers["date"] == "6" and out[6].canonical == "hot.org/a?a=1&b=2"
 
 
+def test_capture_log_has_every_case(spark):
+    pages = spark.createDataFrame([(k, f"http://www.h{k}.org/{k}/", f"<p>{k}</p>") for k in range(16)] + [(None, "u", None)], "page_id long, url string, html string")
+    out = {r.record_id: r for r in warc_revisits.resolve_revisits(warc_revisits.capture_log(pages)).collect()}
+    assert len(out) == 28 and all((out[4 * k + 1].status, out[4 * k + 1].resolved_id) == ("resolved", 4 * k) for k in range(16))
+    for first in (0, 32):
+        section = [out[first + 4 * k + 2] for k in (0, 2, 3, 5, 6, 7)]
+        assert [r.status for r in section] == ["no_response", "resolved", "validator_mismatch", "validator_mismatch", "resolved", "validator_mismatch"]
+        assert [r.resolved_id for r in section] == [None, first + 6, None, None, first + 18, None]
+
+
+def test_a_response_of_the_same_time_is_not_earlier(spark):
+    rows = [(1, "u", 5, "response", {"etag": "a"}), (2, "u", 5, "revisit", {"etag": "a"}), (3, "u", 6, "revisit", {"etag": "a"}), (3, "u", 6, "revisit", {"etag": "a"}), (4, "u", None, "revisit", None)]
+    out = warc_revisits.resolve_revisits(spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, headers map<string,string>")).collect()
+    assert sorted((r.record_id, r.status, r.resolved_id) for r in out) == [(2, "no_response", None), (3, "resolved", 1), (3, "resolved", 1), (4, "no_response", None)]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int")
