@@ -40,11 +40,16 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: its lineage ends there, so a lost executor repeats little."""
+    """``df`` written to the shared checkpoint folder: its lineage ends there, so a lost executor repeats little.
+
+    Files of exchanges and checkpoints that nothing refers to any more go when the driver collects its heap, which is asked for here.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
+    out = df.checkpoint()
+    sc._jvm.System.gc()
+    return out
 
 
 def dealt_out(df: DataFrame, key: str) -> DataFrame:
