@@ -290,17 +290,18 @@ def substring_dedup(
     n_shards = max(1, -(-rows.count() // shard_rows))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("f", "r"), F.lit(n_shards)).cast("int"))
     # Dealt out once: what is settled stays partitioned by shard, so the steps below move passages to the texts and never texts.
-    rows = dealt_out(rows, "shard")
+    undealt, rows = rows, dealt_out(rows, "shard")
 
     def dealt(other: DataFrame, each, schema) -> DataFrame:
         return rows.groupBy("shard").cogroup(other.groupBy("shard")).applyInArrow(each, schema)
 
     place = [F.first(c).alias(c) for c in ("f", "r", "lo", "n")]
-    runs = rows.select("f", "r", "shard", "text").mapInArrow(run_rows(width), "g long, h long, f long, r long, shard int, lo int, n int")
+    # From the table itself: what is partitioned can't be told to be the same twice, and the exchange below is for two.
+    runs = undealt.select("f", "r", "shard", "text").mapInArrow(run_rows(width), "g long, h long, f long, r long, shard int, lo int, n int")
     by_shard = runs.groupBy("g", "h", "shard").agg(F.count(F.lit(1)).alias("c"), *place)
     # Every column is asked for on both sides, so that they are one exchange and the texts are read once for it.
     several = by_shard.where(F.coalesce("f", "r", "lo", "n").isNotNull()).groupBy("g").agg(F.sum("c").alias("c")).where("c > 1").select(F.col("g").alias("g2"))
-    by_shard = settled(by_shard.join(several, F.col("g") == F.col("g2"), "left_semi"))
+    by_shard = settled(by_shard.join(several, F.col("g") == F.col("g2")).drop("g2"))  # a semi join would go below the exchange
     classes = by_shard.groupBy("g", "h").agg(F.sum("c").alias("copies"), F.first("shard").alias("shard"), *place)
     mixed_ = classes.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("g").alias("g2"))
     compare = settled(classes.join(mixed_, F.col("g") == F.col("g2"), "left_semi"))
