@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -39,31 +40,29 @@ def keyed(docs: DataFrame) -> DataFrame:
         return settled(docs.select("*", F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("r")).alias("row_key")))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: its lineage ends there, so a lost executor repeats little.
+def tidied(spark: SparkSession) -> None:
+    """Asks Python and the driver's heap for a collection: files of exchanges and checkpoints that nothing refers to any more go with it, and not hours later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    Files of exchanges and checkpoints that nothing refers to any more go when the driver collects its heap, which is asked for here.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    out = df.checkpoint()
-    sc._jvm.System.gc()
-    return out
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder: its lineage ends there, so a lost executor repeats little."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    return df.checkpoint()
 
 
 def dealt_out(df: DataFrame, key: str) -> DataFrame:
     """``df`` partitioned by ``key`` and settled so: what is grouped by the key later needs no exchange of it.
 
     The adaptive planner hides a plan's partitioning from the checkpoint, so it rests meanwhile; there is no join here.
-    The exchange's files go with the driver's next collection of its heap, which is asked for: they are as large as ``df``.
     """
-    spark, conf = df.sparkSession, df.sparkSession.conf
+    conf = df.sparkSession.conf
     before = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        out = settled(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
+        return settled(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
     finally:
         conf.set("spark.sql.adaptive.enabled", before)
-    spark.sparkContext._jvm.System.gc()
-    return out

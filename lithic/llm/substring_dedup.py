@@ -27,11 +27,12 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .common import dealt_out, keyed, settled
+from .common import dealt_out, keyed, settled, tidied
 
 PHRASE, SHARD_ROWS, TOGETHER = 12, 1024, 1 << 21
 ODD, BASE = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
@@ -185,12 +186,25 @@ def run_rows(width: int):
     return each
 
 
+def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (the last column) compressed one by one: they are dealt out and settled."""
+    z = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        texts = [None if t is None else z.compress(t.encode("utf-8", "replace")) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        yield batch.set_column(batch.num_columns - 1, "text", pa.array(texts, pa.binary()))
+
+
+def texts_of(column: pa.ChunkedArray) -> list[bytes]:
+    z = zstandard.ZstdDecompressor()
+    return [b"" if t is None else z.decompress(t) for t in column.to_pylist()]
+
+
 def documents_of(docs: pa.Table, wanted: pa.Table) -> tuple[list[bytes], np.ndarray]:
     """Both of one shard: the wanted documents' texts, and for each row of ``wanted`` the place of its document among them."""
     place = {key: k for k, key in enumerate(zip(docs.column("f").to_pylist(), docs.column("r").to_pylist(), strict=True))}
     at = np.array([place[key] for key in zip(wanted.column("f").to_pylist(), wanted.column("r").to_pylist(), strict=True)], np.int64)
     some, of = np.unique(at, return_inverse=True)
-    return [encoded(t) for t in docs.column("text").take(pa.array(some)).to_pylist()], of
+    return texts_of(docs.column("text").take(pa.array(some))), of
 
 
 def window_rows(width: int):
@@ -261,8 +275,9 @@ def removed_rows(out: list[str], carry: str | None):
     def each(docs: pa.Table, passages: pa.Table) -> pa.Table:
         automaton = Automaton(passages.column("words").to_pylist())
         n, gone, sha, text = [], [], [], []
-        for t in docs.column("text").to_pylist():
-            words = encoded(t).split()
+        texts = texts_of(docs.column("text"))
+        for t in texts:
+            words = t.split()
             kept = automaton.kept(words)
             whole = b" ".join(kept)
             n.append(len(words))
@@ -270,7 +285,9 @@ def removed_rows(out: list[str], carry: str | None):
             sha.append(sha256(whole).hexdigest())
             text.append(whole.decode("utf-8", "replace") if gone[-1] else None)
         made = [docs.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())]
-        return pa.table([*made, *([docs.column("carried")] if carry else [])], out)
+        if carry:
+            made += [docs.column("carried"), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())]
+        return pa.table(made, out)
 
     return each
 
@@ -283,14 +300,19 @@ def substring_dedup(
     A word goes if a window over it recurs anywhere, in its own document too; windows are judged on the input. Nulls
     count as texts without words; texts shorter than ``width`` words lose nothing, very long ones are read whole. Repeated
     rows are copies of each other. A null id stays null. No rows: no rows. Other columns are ignored, but for ``carry``,
-    which is returned with its row. Rows are told apart by file and place, never by id.
+    which is returned with its row, and then whole_text, the text as it was (empty for null). Rows are told apart by file and
+    place, never by id.
     """
     kept = [F.col(f"`{carry}`").alias("carried")] if carry else []
-    rows = keyed(df).select(F.col("row_key.f").alias("f"), F.col("row_key.r").alias("r"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *kept)
+    rows = keyed(df).select(F.col("row_key.f").alias("f"), F.col("row_key.r").alias("r"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), *kept, F.col(f"`{text_col}`").cast("string").alias("text"))
     n_shards = max(1, -(-rows.count() // shard_rows))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("f", "r"), F.lit(n_shards)).cast("int"))
     # Dealt out once: what is settled stays partitioned by shard, so the steps below move passages to the texts and never texts.
-    undealt, rows = rows, dealt_out(rows, "shard")
+    spark, undealt = df.sparkSession, rows
+    rows = rows.select("f", "r", "doc_id", *["carried"] * bool(carry), "shard", "text")
+    rows = rows.mapInArrow(squeezed, StructType([*rows.schema.fields[:-1], StructField("text", BinaryType())]))
+    rows = dealt_out(rows, "shard")
+    tidied(spark)
 
     def dealt(other: DataFrame, each, schema) -> DataFrame:
         return rows.groupBy("shard").cogroup(other.groupBy("shard")).applyInArrow(each, schema)
@@ -302,6 +324,7 @@ def substring_dedup(
     # Every column is asked for on both sides, so that they are one exchange and the texts are read once for it.
     several = by_shard.where(F.coalesce("f", "r", "lo", "n").isNotNull()).groupBy("g").agg(F.sum("c").alias("c")).where("c > 1").select(F.col("g").alias("g2"))
     by_shard = settled(by_shard.join(several, F.col("g") == F.col("g2")).drop("g2"))  # a semi join would go below the exchange
+    tidied(spark)
     classes = by_shard.groupBy("g", "h").agg(F.sum("c").alias("copies"), F.first("shard").alias("shard"), *place)
     mixed_ = classes.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("g").alias("g2"))
     compare = settled(classes.join(mixed_, F.col("g") == F.col("g2"), "left_semi"))
@@ -317,5 +340,5 @@ def substring_dedup(
     routed = passages.join(where, (F.col("g") == F.col("g2")) & (F.col("h") == F.col("h2"))).select("shard", "words")
     out = StructType.fromDDL(f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     if carry:
-        out = StructType([*out.fields, StructField(carry, df.schema[carry].dataType)])
+        out = StructType([*out.fields, StructField(carry, df.schema[carry].dataType), StructField("whole_text", StringType())])
     return dealt(routed, removed_rows(out.names, carry), out)
