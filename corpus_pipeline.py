@@ -42,10 +42,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring passages are taken out of the texts; every row stays."""
-    found = substring_dedup(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), carry="row")
+    """Recurring passages are taken out of the texts; every row stays. A null text becomes an empty one."""
+    found = substring_dedup(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row")), carry="row")
     cut = F.col("kept_text").isNotNull()
-    new = {"text": F.coalesce("kept_text", "row.text"), "n_chars": F.when(cut, F.length("kept_text")).otherwise(F.col("row.n_chars")).cast("long")}
+    new = {"text": F.coalesce("kept_text", "whole_text"), "n_chars": F.when(cut, F.length("kept_text")).otherwise(F.col("row.n_chars")).cast("long")}
     return found.select([new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
