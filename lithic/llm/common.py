@@ -43,6 +43,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def tidied(spark: SparkSession) -> None:
     """Asks Python and the driver's heap for a collection: files of exchanges and checkpoints that nothing refers to any more go with it, and not hours later."""
     gc.collect()
+    settled(spark.range(2).repartition(2))  # Spark holds on to the last exchange that was settled; now that is this one
     spark.sparkContext._jvm.System.gc()
 
 

@@ -329,6 +329,7 @@ def substring_dedup(
     mixed_ = classes.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("g").alias("g2"))
     compare = settled(classes.join(mixed_, F.col("g") == F.col("g2"), "left_semi"))
     windows = settled(dealt(compare, window_rows(width), "w long, g long, h long, s int, copies long"))
+    tidied(spark)
     again = windows.groupBy(F.col("w").alias("w2"), F.col("g").alias("g2")).agg(F.sum("copies").alias("c")).where("c > 1")
     single = windows.where("copies = 1").join(again, (F.col("w") == F.col("w2")) & (F.col("g") == F.col("g2")), "left_semi")
     single = single.groupBy(F.col("g").alias("g2"), F.col("h").alias("h2")).agg(F.collect_set("s").alias("s"))
@@ -336,6 +337,7 @@ def substring_dedup(
     whole = classes.where("copies > 1").select("shard", "g", "h", "f", "r", "lo", F.sequence(F.lit(0), F.col("n") - 1).alias("s"))
     found = whole.union(in_part.select("shard", "g", "h", "f", "r", "lo", "s"))
     passages = settled(dealt(found, passage_rows(width), "g long, h long, words binary"))
+    tidied(spark)
     where = by_shard.select(F.col("g").alias("g2"), F.col("h").alias("h2"), "shard")
     routed = passages.join(where, (F.col("g") == F.col("g2")) & (F.col("h") == F.col("h2"))).select("shard", "words")
     out = StructType.fromDDL(f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string, kept_text string")
