@@ -59,3 +59,23 @@ def numbered(names: DataFrame, base: str, order: str) -> DataFrame:
     """WIN-6. The first object of a base name has it bare, later ones with 1, 2, ... behind."""
     n = F.row_number().over(Window.partitionBy(base).orderBy(order)) - 1
     return names.select(order, base, F.concat(F.col(base), F.when(n == 0, "").otherwise(n.cast("string"))).alias("unique_name"))
+
+
+def extension_differences(expected: DataFrame, actual: DataFrame, preinstalled: list[str]) -> DataFrame:
+    """JN-3. (name, finding) for extensions (name, version): missing, unexpected, or of another version; those installed beforehand are no finding unless their version differs."""
+    a = actual.select(F.col("name").alias("a_name"), F.col("version").alias("a_version"))
+    both = expected.join(a, F.col("name") == F.col("a_name"), "full_outer")
+    known = F.coalesce("name", "a_name").isin(preinstalled)
+    finding = F.when(F.col("name").isNull(), F.when(~known, "unexpected")).when(F.col("a_name").isNull(), F.when(~known, "missing")).when(~F.col("version").eqNullSafe(F.col("a_version")), "version")
+    return both.select(F.coalesce("name", "a_name").alias("name"), finding.alias("finding")).where("finding IS NOT NULL")
+
+
+#: FLT-8. Kinds that belong to a server and not to a schema's definition.
+ENVIRONMENT = ["ROLE", "DATABASE", "TABLESPACE", "PRIVILEGES", "OWNER"]
+
+
+def in_scope(objects: DataFrame, schemas: list[str] | None = None, privileges: bool = False) -> DataFrame:
+    """FLT-8. Catalog objects (kind, schema, ...) that are compared: those of the environment only with ``privileges``, and PRIVILEGES alone then; of a list of schemas, if there is one."""
+    left_out = [k for k in ENVIRONMENT if not (privileges and k == "PRIVILEGES")]
+    kept = objects.where(~F.col("kind").isin(left_out))
+    return kept.where(F.col("schema").isin(schemas)) if schemas is not None else kept

@@ -37,8 +37,12 @@ def append_only(alters: Column) -> Column:
 def column_fold(log: DataFrame) -> DataFrame:
     """AGG-9. Each column's end over (table, column, pos, action, value): type, nullability, default, status and how often it changed.
 
-    Actions: ADD, DROP, TYPE, DEFAULT, NOT_NULL, NULLABLE. status is active, dropped or readded; a DROP ends all before it.
+    Actions: ADD, DROP, TYPE, DEFAULT, NOT_NULL, NULLABLE, and GONE, of no column, for a dropped table. status is active, dropped
+    or readded; a DROP ends all before it. Others are passed over.
     """
+    known = log.where(F.col("column") != "").select("table", "column").distinct()
+    gone = log.where(F.col("action") == "GONE").select("table", "pos").join(known, "table").select("table", "column", "pos", F.lit("DROP").alias("action"), F.lit("").alias("value"))
+    log = log.where(F.col("action").isin("ADD", "DROP", "TYPE", "DEFAULT", "NOT_NULL", "NULLABLE")).select("table", "column", "pos", "action", "value").union(gone)
     w = Window.partitionBy("table", "column").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     lives = log.select("*", F.coalesce(F.sum((F.col("action") == "DROP").cast("int")).over(w), F.lit(0)).alias("life"))
     by = lives.groupBy("table", "column", "life")
@@ -113,6 +117,40 @@ def bulk_grants(lives: DataFrame, grants: DataFrame) -> DataFrame:
     return lives.join(g, alive).select("k", "pos")
 
 
+def role_at(log: DataFrame, switches: DataFrame, within: str = "file") -> DataFrame:
+    """ACL-8. Every statement (within, pos) with the role that SET ROLE (within, pos, role) has put in force before it; RESET is the role null."""
+    found = as_of(log.select(within, "pos"), switches.select(within, "pos", F.coalesce("role", F.lit("")).alias("role")), within, "role")
+    return found.select(within, "pos", F.nullif("role", F.lit("")).alias("role"))
+
+
+def column_revokes(revokes: DataFrame, columns: DataFrame) -> DataFrame:
+    """ACL-3. A table's REVOKE (table, grantee, privilege, pos) takes the privilege on its columns too, of those (table, column, born, died) that exist then."""
+    c = columns.select(F.col("table").alias("t"), "column", "born", "died")
+    alive = (F.col("table") == F.col("t")) & (F.col("born") < F.col("pos")) & (F.col("died").isNull() | (F.col("died") > F.col("pos")))
+    return revokes.join(c, alive).select("table", "column", "grantee", "privilege", "pos")
+
+
+def owner_merged(entries: DataFrame, owners: DataFrame) -> DataFrame:
+    """ACL-4, SET-3. ACL entries (k, grantee, grant_option) after a change of owner (k, old, new): the old owner's are the new one's, equal ones are one."""
+    moved = entries.join(owners, "k", "left").select("k", F.when(F.col("grantee") == F.col("old"), F.col("new")).otherwise(F.col("grantee")).alias("grantee"), "grant_option")
+    return moved.groupBy("k", "grantee").agg(F.bool_or("grant_option").alias("grant_option"), F.count(F.lit(1)).alias("n"))
+
+
+def initial_acl(created: DataFrame, defaults: DataFrame) -> DataFrame:
+    """JN-12, ACL-7. What a new object (k, object_type, schema, pos) is given by the default privileges (object_type, schema, grantee, privilege, pos) in force."""
+    d = defaults.groupBy(F.col("object_type").alias("t"), F.col("schema").alias("s"), "grantee", "privilege").agg(F.min("pos").alias("since"))
+    return created.join(d, (F.col("object_type") == F.col("t")) & (F.col("schema") == F.col("s")) & (F.col("pos") > F.col("since"))).select("k", "pos", "grantee", "privilege")
+
+
+def column_lives(columns: DataFrame) -> DataFrame:
+    """(table, column, born, died) from column events (table, column, pos, action): every ADD until the next DROP of the column or its table."""
+    known = columns.where(F.col("column") != "").select("table", "column").distinct()
+    gone = columns.where(F.col("action") == "GONE").select("table", "pos").join(known, "table").select("table", "column", "pos", F.lit("DROP").alias("action"))
+    ends = columns.where(F.col("action").isin("ADD", "DROP")).select("table", "column", "pos", "action").union(gone)
+    w = Window.partitionBy("table", "column").orderBy("pos")
+    return ends.select("table", "column", "action", F.col("pos").alias("born"), F.lead("pos").over(w).alias("died")).where("action = 'ADD'").drop("action")
+
+
 def as_of(points: DataFrame, changes: DataFrame, key: str, value: str) -> DataFrame:
     """ACL-7, JN-9. For each point (key, pos) the value of the latest change (key, pos, value) before it, by one ordered pass over both."""
     both = points.select(key, "pos", F.lit(1).alias("is_point"), F.lit(None).alias(value)).unionByName(changes.select(key, "pos", F.lit(0).alias("is_point"), F.col(value)))

@@ -43,30 +43,79 @@ def levels(edges: DataFrame) -> DataFrame:
     return done if done is not None else nodes.select("node", F.lit(0).cast("long").alias("level"))
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those of nodes that nothing leads to, or that lead nowhere: these lie on no cycle."""
+    before, now = -1, edges.count()
+    while before != now:
+        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        edges = settled(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, now = now, edges.count()
+    return edges
+
+
+def _spread(edges: DataFrame, colours: DataFrame) -> DataFrame:
+    """The least colour (node, colour) that reaches each node along edges (src, dst)."""
+    while True:
+        pushed = edges.join(colours.select(F.col("node").alias("src"), "colour"), "src").select(F.col("dst").alias("node"), "colour")
+        after = settled(colours.union(pushed).groupBy("node").agg(F.min("colour").alias("colour")))
+        if after.join(colours.withColumnRenamed("colour", "old"), "node").where("colour <> old").isEmpty():
+            return after
+        colours = after
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """GR-6. (node, component): nodes that reach each other, named by their smallest; a node on no cycle is alone."""
-    reach = reachability(edges)
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["src", "dst"]).groupBy("src").agg(F.min("dst").alias("least"))
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst"))).where("node IS NOT NULL").distinct()
-    return nodes.join(mutual, F.col("node") == F.col("src"), "left").select("node", F.least("node", "least").alias("component"))
+    """GR-6. (node, component): nodes that reach each other, named by their smallest; a node on no cycle is alone.
+
+    By forward and backward colouring: the least node that reaches a node is its colour; of one colour, those that reach the
+    node that gave it are its component. Only edges and one colour a node are kept, never pairs that reach each other. Rounds
+    grow with the longest path among nodes on cycles and between them; all others are trimmed first.
+    """
+    edges = settled(edge_set(edges))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    left, found = _trimmed(edges.where("src <> dst")), None
+    while not left.isEmpty():
+        some = left.select(F.col("src").alias("node")).distinct()
+        forward = _spread(left, some.select("node", F.col("node").alias("colour")))
+        c = lambda n, m: forward.select(F.col("node").alias(n), F.col("colour").alias(m))  # noqa: B023, E731
+        inside = settled(left.join(c("src", "c1"), "src").join(c("dst", "c2"), "dst").where("c1 = c2").select("src", "dst", "c1"))
+        roots = forward.where("node = colour")
+        reached = settled(roots.select("node", "colour"))
+        while True:  # backwards from each colour's own node, within the colour
+            more = inside.join(reached.select(F.col("node").alias("dst"), F.col("colour").alias("r")), "dst").where("c1 = r").select(F.col("src").alias("node"), F.col("r").alias("colour"))
+            after = settled(reached.union(more).distinct())
+            if after.count() == reached.count():
+                break
+            reached = after
+        part = reached.select("node", F.col("colour").alias("component"))
+        found = part if found is None else found.union(part)
+        rest = left.join(reached.select(F.col("node").alias("src")), "src", "left_anti").join(reached.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left = _trimmed(settled(rest.select("src", "dst")))
+    if found is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    least = settled(found)
+    return nodes.join(least, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """GR-2. The nodes on a cycle, self-references included."""
-    return reachability(edges).where("src = dst").select(F.col("src").alias("node"))
+    c = settled(strong_components(edges))
+    several = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    return c.join(several, "component", "left_semi").select("node").union(edges.where("src = dst").select(F.col("src").alias("node"))).distinct()
 
 
 def deferred_edges(edges: DataFrame) -> DataFrame:
     """GR-7. Foreign keys within a component of several tables, or to the own table: they are added after the tables."""
-    c = strong_components(edges)
+    c = settled(strong_components(edges))
     a, b = c.select(F.col("node").alias("src"), F.col("component").alias("c1")), c.select(F.col("node").alias("dst"), F.col("component").alias("c2"))
     return edge_set(edges).join(a, "src").join(b, "dst").where("c1 = c2").select("src", "dst")
 
 
 def cycle_breakers(edges: DataFrame, positions: DataFrame) -> DataFrame:
     """GR-8. For each component on a cycle, the member with the earliest position (node, position) comes first."""
-    c = strong_components(edges).join(cyclic_nodes(edges), "node", "left_semi").join(positions, "node")
+    c = settled(strong_components(edges))
+    several = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    own = edges.where("src = dst").select(F.col("src").alias("component"))
+    c = c.join(several.union(own).distinct(), "component", "left_semi").join(positions, "node")
     return c.groupBy("component").agg(F.min_by("node", F.struct("position", "node")).alias("first"))
 
 

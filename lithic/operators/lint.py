@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from lithic.functions.sqltext import bare, split_statements
+from lithic.functions.sqltext import bare, split_statements, tokens
 
 #: The rules' codes, and for each what the statement (upper case, single spaces) must and must not match.
 RULES = {
-    "BREAKING.DROP_COLUMN": (r"^ALTER TABLE .*\bDROP COLUMN\b", None),
+    "BREAKING.DROP_COLUMN": (r"^ALTER TABLE .*\bDROP (?!CONSTRAINT\b|DEFAULT\b|NOT NULL\b|EXPRESSION\b|IDENTITY\b)(COLUMN )?(IF EXISTS )?\S+", None),
     "BREAKING.DROP_TABLE": (r"^DROP TABLE\b", None),
     "BREAKING.RENAME_COLUMN": (r"^ALTER TABLE .*\bRENAME (COLUMN )?\S+ TO\b", r"\bRENAME CONSTRAINT\b"),
     "BREAKING.RENAME_TABLE": (r"^ALTER TABLE (IF EXISTS )?\S+ RENAME TO\b", None),
@@ -26,39 +30,123 @@ STATEFUL, UNUSED = "SAFETY.CONSTRAINT_VALIDATE_FLOW", "META.UNUSED_IGNORE_DIRECT
 DIRECTIVE = re.compile(r"lithic:ignore(?P<scope>-file|-next)?(?:\s+(?P<codes>[A-Z_.,\s]+))?", re.I)
 
 
+#: The lock that a statement takes, by operation, kind of object and modifier; the first row that fits. None: any.
+LOCKS = [
+    ("INSERT", None, None, "ROW_EXCLUSIVE"),
+    ("UPDATE", None, None, "ROW_EXCLUSIVE"),
+    ("DELETE", None, None, "ROW_EXCLUSIVE"),
+    ("REFRESH", None, "concurrent", "EXCLUSIVE"),
+    ("CREATE", "INDEX", "concurrent", "SHARE_UPDATE_EXCLUSIVE"),
+    ("CREATE", "INDEX", None, "SHARE"),
+    ("CREATE", "TABLE", None, "NONE"),
+    ("CREATE", "VIEW", None, "NONE"),
+    ("CREATE", "FUNCTION", None, "NONE"),
+    ("CREATE", "TRIGGER", None, "NONE"),
+    ("CREATE", "SEQUENCE", None, "NONE"),
+    ("CREATE", "SCHEMA", None, "NONE"),
+    ("CREATE", "EXTENSION", None, "NONE"),
+    ("CREATE", "TYPE", None, "NONE"),
+    ("CREATE", "ENUM", None, "NONE"),
+    ("CREATE", "DOMAIN", None, "NONE"),
+    ("ALTER", "TABLE", "not valid", "SHARE_UPDATE_EXCLUSIVE"),
+    ("ALTER", "ENUM", "add value", "SHARE_UPDATE_EXCLUSIVE"),
+    ("ALTER", "TYPE", "add value", "SHARE_UPDATE_EXCLUSIVE"),
+    ("DROP", "INDEX", "concurrent", "SHARE_UPDATE_EXCLUSIVE"),
+    ("UNKNOWN", None, "vacuum", "SHARE_UPDATE_EXCLUSIVE"),
+    (None, None, None, "ACCESS_EXCLUSIVE"),
+]
+#: How long a statement is expected to take, in seconds at most, by class.
+DURATIONS = {"FAST": 1, "MEDIUM": 60, "SLOW": 3600}
+
+
+def modifiers(sql: Column) -> dict[str, Column]:
+    """What a statement's text (upper case) says about how it is run."""
+    word = lambda p: sql.rlike(p)
+    return {
+        "concurrent": word(r"\bCONCURRENTLY\b"),
+        "not valid": word(r"\bADD CONSTRAINT\b") & word(r"\bNOT VALID\b") & ~word(r"\bSET NOT NULL\b"),
+        "add value": word(r"\bADD VALUE\b"),
+        "vacuum": word(r"^\s*VACUUM\b") & ~word(r"\bFULL\b"),
+    }
+
+
 def lock_level(sql: Column, object_type: Column, operation: Column) -> Column:
-    """PRJ-13. The lock that a statement takes, from its text in upper case, its object's type and its operation."""
-    has = lambda s: sql.contains(s)
-    concurrent = has("CONCURRENTLY")
-    create = (
-        F.when(object_type == "INDEX", F.when(concurrent, "SHARE_UPDATE_EXCLUSIVE").otherwise("SHARE"))
-        .when(object_type.isin("TABLE", "VIEW", "FUNCTION", "TRIGGER", "SEQUENCE", "SCHEMA", "EXTENSION", "TYPE", "ENUM", "DOMAIN", "COMPOSITE"), "NONE")
-        .otherwise("ACCESS_EXCLUSIVE")
-    )
-    alter = F.when(object_type.isin("ENUM", "TYPE") & has("ADD VALUE") | (object_type == "TABLE") & has("ADD CONSTRAINT") & has("NOT VALID") & ~has("SET NOT NULL"), "SHARE_UPDATE_EXCLUSIVE").otherwise("ACCESS_EXCLUSIVE")
-    return (
-        F.when(operation.isin("INSERT", "UPDATE", "DELETE"), "ROW_EXCLUSIVE")
-        .when(concurrent & has("REFRESH MATERIALIZED VIEW"), "EXCLUSIVE")
-        .when(operation == "CREATE", create).when(operation == "ALTER", alter)
-        .when((operation == "DROP") & (object_type == "INDEX") & concurrent, "SHARE_UPDATE_EXCLUSIVE")
-        .when(has("VACUUM") & ~has("FULL"), "SHARE_UPDATE_EXCLUSIVE").otherwise("ACCESS_EXCLUSIVE")
-    )
+    """PRJ-13. The lock that a statement takes, looked up by its text's modifiers (upper case), its object's type and its operation."""
+    said, out = modifiers(sql), F
+    for op, kind, modifier, lock in LOCKS:
+        fits = [operation == op] * bool(op) + [object_type == kind] * bool(kind) + ([said[modifier]] if modifier else [])
+        out = out.when(reduce(Column.__and__, fits, F.lit(True)), F.lit(lock))
+    return out
 
 
 def no_transaction(sql: Column) -> Column:
-    return sql.contains("CONCURRENTLY") | sql.contains("VACUUM") | sql.contains("CREATE DATABASE")
+    return sql.rlike(r"\bCONCURRENTLY\b|^\s*VACUUM\b|\bCREATE DATABASE\b")
 
 
-def version_gate(sql: Column, object_type: Column) -> Column:
-    enum = object_type.isin("ENUM", "TYPE") & sql.contains("ADD VALUE")
+def version_gate(sql: Column, object_type: Column, server: int = 0) -> Column:
+    """PRJ-13. What a statement asks of the server's version; with ``server``, an enum's ADD VALUE is no matter from 12 on."""
+    enum = object_type.isin("ENUM", "TYPE") & sql.contains("ADD VALUE") & F.lit(server < 12)
     return F.when(enum, "PG<12: Cannot run in transaction").when(sql.contains("GENERATED ALWAYS"), "PG>=12").when(object_type.isin("SUBSCRIPTION", "STATISTIC"), "PG>=10").otherwise("")
 
 
+def duration_class(sql: Column, object_type: Column, operation: Column) -> Column:
+    """PRJ-13. FAST, MEDIUM or SLOW: what rewrites or reads a whole table, what changes rows, and the rest."""
+    slow = (operation == "CREATE") & (object_type == "INDEX") | (operation == "REFRESH") | sql.rlike(r"\b(SET DATA )?TYPE\b.*|\bVACUUM\b|\bVALIDATE CONSTRAINT\b") & (operation.isin("ALTER", "UNKNOWN")) & (object_type != "ENUM") & (object_type != "TYPE")
+    return F.when(slow, "SLOW").when(operation.isin("INSERT", "UPDATE", "DELETE", "COPY") | sql.rlike(r"\bADD CONSTRAINT\b") & ~sql.rlike(r"\bNOT VALID\b"), "MEDIUM").otherwise("FAST")
+
+
 def violations(statements: DataFrame, rules: list[str] | None = None) -> DataFrame:
-    """LNT-1..8, 10, 11. (id, code) for every rule that a statement (id, sql in upper case with single spaces) breaks."""
-    hit = lambda code: F.col("sql").rlike(RULES[code][0]) & (~F.col("sql").rlike(RULES[code][1]) if RULES[code][1] else F.lit(True))
+    """LNT-1..8, 10, 11. (id, code) for every rule that a statement (id, sql) breaks. Strings and comments count for nothing."""
+    flat = F.upper(F.trim(F.regexp_replace(F.regexp_replace("sql", r"(?s)'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", "''"), r"\s+", " ")))
+    hit = lambda code: F.col("flat").rlike(RULES[code][0]) & (~F.col("outer").rlike(RULES[code][1]) if RULES[code][1] else F.lit(True))
     found = F.array_compact(F.array(*[F.when(hit(c), F.lit(c)) for c in rules or RULES]))
-    return statements.select("id", F.explode(found).alias("code"))
+    # What must not be found is looked for outside brackets: a subquery's WHERE is not the statement's.
+    outer = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.col("flat"), lambda s, _: F.regexp_replace(s, r"\([^()]*\)", " "))
+    return statements.select("id", flat.alias("flat")).select("id", "flat", outer.alias("outer")).select("id", F.explode(found).alias("code"))
+
+
+def suppressed(found: DataFrame, directives: DataFrame) -> DataFrame:
+    """FLT-7, LNT-12. Violations (file, line, code) that no directive (file, low, high, code) silences, and every directive that silences none, as a violation at its first line."""
+    d = directives.select(F.col("file").alias("d_file"), "low", "high", F.col("code").alias("d_code"))
+    silences = (F.col("file") == F.col("d_file")) & (F.col("code") == F.col("d_code")) & F.col("line").between(F.col("low"), F.col("high"))
+    unused = d.join(found, silences, "left_anti").select(F.col("d_file").alias("file"), F.col("low").alias("line"), F.lit(UNUSED).alias("code"))
+    return found.join(d, silences, "left_anti").select("file", "line", "code").union(unused)
+
+
+# The rules that can be mended by replacing text: a pattern, and what stands in its place.
+FIXES = {
+    "SAFETY.CONSTRAINT_NOT_VALID": (r"(\bADD CONSTRAINT \S+ (?:CHECK|FOREIGN KEY)\b.*?)(\s*;?\s*)$", r"\1 NOT VALID\2"),
+    "HYGIENE.PREFER_TEXT": (r"\b(?:VARCHAR|CHARACTER VARYING|CHAR) ?\(\s*\d+\s*\)", "text"),
+    "HYGIENE.PREFER_BIGINT": (r"(?<=[\s,(])(?:INTEGER|INT4|INT2|INT|SMALLINT)\b", "bigint"),
+}
+
+
+def fixes(sql: str, code: str) -> list[tuple[int, int, str]]:
+    """LNT-8, 10, 11. Replacements (start, end, text) that mend a statement which breaks a rule; none for rules that need a decision. Text in quotes stays."""
+    if code not in FIXES:
+        return []
+    pattern, new = FIXES[code]
+    same = "".join(t if k not in ("string", "dollar", "comment", "quoted") else t[0] + " " * (len(t) - 2) + t[-1:] for k, t, _ in tokens(sql))
+    out = []
+    for m in re.finditer(pattern, same, re.I | re.S):
+        if code == "SAFETY.CONSTRAINT_NOT_VALID":
+            if not re.search(r"\bNOT VALID\b", same, re.I):
+                out.append((m.end(1), m.end(1), " NOT VALID"))
+        else:
+            out.append((m.start(), m.end(), new))
+    return out
+
+
+def mended(statements: DataFrame) -> DataFrame:
+    """LNT-8, 10, 11, SRT-6. (id, sql) of the statements that a fix changes, all fixes applied from the highest offset down; an Arrow-batched map over the violations."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [apply_fixes(s, [f for c in codes for f in fixes(s, c)]) for s, codes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(new, pa.string())], ["id", "sql"])
+
+    broken = violations(statements, list(FIXES)).groupBy("id").agg(F.sort_array(F.collect_set("code")).alias("codes"))
+    return statements.select("id", "sql").join(broken, "id").mapInArrow(each, StructType([statements.schema["id"], StructField("sql", StringType())]))
 
 
 def enabled(base: list[str], enable: list[str] = (), disable: list[str] = ()) -> list[str]:
@@ -74,8 +162,15 @@ def check(sql: str) -> list[dict]:
     found, pending, directives = [], {}, []
     for s in split_statements(sql):
         flat = re.sub(r"\s+", " ", bare(s["sql"])).strip().upper()
-        codes = [c for c, (yes, no) in RULES.items() if re.search(yes, flat) and not (no and re.search(no, flat))]
-        found += [{"code": c, "line": s["line"]} for c in codes]
+        outer = flat
+        while (less := re.sub(r"\([^()]*\)", " ", outer)) != outer:
+            outer = less
+        for c, (yes, no) in RULES.items():
+            try:  # a rule that fails does not stop the others
+                if re.search(yes, flat) and not (no and re.search(no, outer)):
+                    found.append({"code": c, "line": s["line"]})
+            except re.error as e:
+                found.append({"code": "META.RULE_FAILED", "line": s["line"], "rule": c, "reason": str(e)})
         if m := re.match(r"ALTER TABLE (?:ONLY )?(\S+) .*?ADD CONSTRAINT (\S+) .*NOT VALID", flat):
             pending[m[1], m[2]] = s["line"]
         elif m := re.match(r"ALTER TABLE (?:ONLY )?(\S+) (?:VALIDATE|DROP) CONSTRAINT (?:IF EXISTS )?(\S+)", flat):

@@ -8,13 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.functions.sqltext import classify, split_statements, static_ddl
+from lithic.functions.sqltext import classify, singles, split_statements, static_ddl, uses
 
-from .lint import lock_level, no_transaction, version_gate
+from .lint import duration_class, lock_level, no_transaction, version_gate
 
 SCHEMA = (
-    "seq long, filename string, stmt_idx int, line int, offset int, sql string, object_type string, operation string, schema_name string, object_name string, category string,"
-    " is_data_op boolean, if_not_exists boolean, function_signature string, dependencies array<string>, grantees array<string>, privileges array<string>, comments array<string>"
+    "seq long, filename string, stmt_idx int, part int, line int, offset int, sql string, object_type string, operation string, schema_name string, object_name string, category string,"
+    " is_data_op boolean, if_not_exists boolean, function_signature string, dependencies array<string>, grantees array<string>, privileges array<string>, comments array<string>, uses array<string>"
 )
 ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
@@ -22,7 +22,8 @@ ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean"
 def statement_log(files: DataFrame) -> DataFrame:
     """PRJ-1..18 over (seq, filename, content): the log with locks, transaction needs and pragmas as a metadata struct.
 
-    A text that is null or holds no statement gives no row. Statements that are not known are kept as VERBATIM.
+    A text that is null or holds no statement gives no row; a statement on a list of objects gives one for each (``part``).
+    Statements that are not known are kept as VERBATIM.
     """
     names = [p.strip().split(" ", 1) for p in SCHEMA.split(",") if p.strip()]
 
@@ -31,7 +32,8 @@ def statement_log(files: DataFrame) -> DataFrame:
             rows = []
             for seq, filename, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 for k, s in enumerate(split_statements(content or "")):
-                    rows.append({"seq": seq, "filename": filename, "stmt_idx": k, **s, **classify(s["sql"])})
+                    for part, one in enumerate(singles(s["sql"])):
+                        rows.append({"seq": seq, "filename": filename, "stmt_idx": k, "part": part, **s, "sql": one, **classify(one), "uses": uses(one)})
             yield pa.record_batch([pa.array([r[n] for r in rows], ARROW[t]) for n, t in names], [n for n, _ in names])
 
     log = files.select("seq", "filename", "content").mapInArrow(each, SCHEMA)
@@ -39,7 +41,7 @@ def statement_log(files: DataFrame) -> DataFrame:
     pragma = F.exists("comments", lambda c: F.lower(c).rlike(r"\b(ignore|no-merge)\b"))
     meta = F.struct(
         lock_level(upper, F.col("object_type"), F.col("operation")).alias("lock_level"), no_transaction(upper).alias("requires_no_transaction"), version_gate(upper, F.col("object_type")).alias("version_gate"),
-        upper.contains("CONCURRENTLY").alias("concurrent"), (pragma | (F.col("object_type") == "VERBATIM")).alias("preserve_verbatim"), (F.col("if_not_exists") | upper.contains("OR REPLACE")).alias("idempotent"),
+        duration_class(upper, F.col("object_type"), F.col("operation")).alias("execution_time"), upper.contains("CONCURRENTLY").alias("concurrent"), (pragma | (F.col("object_type") == "VERBATIM")).alias("preserve_verbatim"), (F.col("if_not_exists") | upper.contains("OR REPLACE")).alias("idempotent"),
     )
     return log.withColumn("metadata", meta)
 
@@ -59,6 +61,32 @@ def naming_warnings(log: DataFrame) -> DataFrame:
 
 
 def do_block_ddl(log: DataFrame) -> DataFrame:
-    """PRJ-12. The static DDL of every DO block, as a log of its own."""
-    block = F.udf(lambda s: ";\n".join(static_ddl(s)), "string")
-    return statement_log(log.where("object_type = 'DO_BLOCK'").select("seq", "filename", block("sql").alias("content")))
+    """PRJ-12, CR-14, CR-15. The static DDL of every DO block, as a log of its own."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(2, "content", pa.array([";\n".join(static_ddl(s)) for s in batch.column(2).to_pylist()], pa.string()))
+
+    blocks = log.where("object_type = 'DO_BLOCK'").select("seq", "filename", F.col("sql").alias("content"))
+    return statement_log(blocks.mapInArrow(each, "seq long, filename string, content string"))
+
+
+def again(log: DataFrame, rewritten: DataFrame) -> DataFrame:
+    """PRJ-15. The log with some statements replaced by (seq, stmt_idx, part, sql): classified anew, with their own place, file and comments. An empty text takes its statement out."""
+    key = ["seq", "stmt_idx", "part"]
+    origin = log.join(rewritten.select(*key, F.col("sql").alias("new")), key, "left")
+    same = origin.where("new IS NULL").drop("new")
+    columns = [*key, "filename", "line", "offset", "comments"]
+    other = origin.where("new <> ''").select(F.to_json(F.struct(*columns)).alias("filename"), F.lit(0).cast("long").alias("seq"), F.col("new").alias("content"))
+    made = statement_log(other).withColumn("o", F.from_json("filename", log.select(*columns).schema))
+    return same.unionByName(made.select([F.col(f"o.{c}").alias(c) if c in columns else F.col(c) for c in log.columns]))
+
+
+def errors(log: DataFrame) -> DataFrame:
+    """PRJ-18. Statements that are not known, with a severity, a category and a suggestion."""
+    first = F.upper(F.regexp_extract("sql", r"^\s*(\w+)", 1))
+    open_ = F.size(F.split("sql", "'")) % 2 == 0
+    category = F.when(open_, "UNTERMINATED").when(first.isin("SELECT", "SHOW", "EXPLAIN"), "QUERY").when(first.isin("BEGIN", "COMMIT", "ROLLBACK", "SAVEPOINT", "SET", "RESET"), "SESSION").otherwise("UNKNOWN")
+    severity = F.when(category == "UNTERMINATED", "ERROR").when(category == "UNKNOWN", "WARNING").otherwise("INFO")
+    advice = F.when(category == "UNTERMINATED", "close the quote").when(category == "QUERY", "leave queries out of a history").when(category == "SESSION", "the statement has no place in a baseline").otherwise("kept verbatim; check it by hand")
+    return log.where("object_type = 'VERBATIM'").select("seq", "stmt_idx", "line", severity.alias("severity"), category.alias("category"), advice.alias("suggestion"))

@@ -1,4 +1,4 @@
-"""How plans are registered: a SQL text for both engines, or a DataFrame function with a DuckDB text."""
+"""How plans are registered: a DataFrame function over tables or histories, with a DuckDB text."""
 
 from __future__ import annotations
 
@@ -7,25 +7,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithic.sources.log import LOG_SQL
+from . import histories
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def for_spark(sql: str, sf_dir: str) -> str:
-    sql = sql.replace("{log}", LOG_SQL).replace("{sha}(definition)", "sha2(definition, 256)")
+    sql = sql.replace("{sha}(definition)", "sha2(definition, 256)")
     return re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`" if m[1] in TABLES else m[0], sql)
 
 
 def for_duckdb(sql: str) -> str:
-    sql = sql.replace("{log}", LOG_SQL).replace("{sha}", "sha256")
+    sql = sql.replace("{columns}", histories.COLUMN_LOG).replace("{log}", histories.EVENT_LOG).replace("{sha}", "sha256")
     sql = re.sub(r"listagg\((.*?), '(.*?)'\) WITHIN GROUP \(ORDER BY (.*?)\)", r"string_agg(\1, '\2' ORDER BY \3)", sql)
     return re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in TABLES else m[0], sql)
 
 
-def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A DataFrame of ``{log}``, ``{table}`` or a query over them."""
-    return spark.sql(for_spark(sql if " " in sql else f"SELECT * FROM {sql}", sf_dir))
+def frame(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """A DataFrame of a history, a ``{table}`` or a query over tables."""
+    if source in histories.SOURCES:
+        return histories.SOURCES[source](spark, sf_dir)
+    return spark.sql(for_spark(source if " " in source else f"SELECT * FROM {source}", sf_dir))
 
 
 class Plans:
@@ -33,10 +35,10 @@ class Plans:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.oracle: dict[str, str] = {}
 
-    def sql(self, name: str, text: str) -> None:
-        """One text that both engines run."""
+    def sql(self, name: str, text: str, oracle: str | None = None) -> None:
+        """A SQL text over tables; the oracle is the same text unless there is one of its own."""
         self.queries[name] = lambda spark, d: spark.sql(for_spark(text, d))
-        self.oracle[name] = for_duckdb(text)
+        self.oracle[name] = for_duckdb(oracle or text)
 
     def frame(self, name: str, build: Callable[..., DataFrame], sources: tuple[str, ...] = ("{log}",), oracle: str | None = None) -> None:
         """``build`` over the DataFrames of ``sources``."""

@@ -1,8 +1,10 @@
-"""Graph plans over dependency edges."""
+"""Plans over dependencies: graphs of keys, and what parsed histories use, provide and drop."""
 
 from __future__ import annotations
 
-from lithic.operators import graph
+from pyspark.sql import functions as F
+
+from lithic.operators import dependencies, evolution, extras, graph, lifecycle, parse, rules
 
 from .base import Plans
 
@@ -26,28 +28,52 @@ P.frame("deferred_fks", graph.deferred_edges, (CYCLIC,), f"{REACH}, {COMPONENTS}
 P.frame("cycle_breakers", graph.cycle_breakers, (CYCLIC, "SELECT s_suppkey AS node, -s_suppkey AS position FROM {supplier}"), f"""
 {REACH}, {COMPONENTS}, p AS (SELECT s_suppkey AS node, -s_suppkey AS position FROM supplier)
 SELECT component, arg_min(c.node, (position, c.node)) AS first FROM c JOIN p ON c.node = p.node WHERE c.node IN (SELECT src FROM r WHERE src = dst) GROUP BY component""")
-P.sql("ddl_cycles", """
-SELECT k, CASE WHEN creates > 1 AND drops > 1 THEN 'complex' WHEN creates > 0 AND drops > 0 AND alters = 0 THEN 'transient' WHEN drops > 0 THEN 'simple' WHEN creates > 1 THEN 'versioning' ELSE 'none' END AS kind,
-  CASE WHEN creates > 1 AND drops > 1 THEN 'HIGH' WHEN drops > 0 THEN 'MEDIUM' ELSE 'LOW' END AS severity, drops > 0 AND grants = 0 AS optimisable
-FROM (SELECT k, sum(CASE WHEN op = 'CREATE' THEN 1 ELSE 0 END) AS creates, sum(CASE WHEN op = 'DROP' THEN 1 ELSE 0 END) AS drops, sum(CASE WHEN op = 'ALTER' THEN 1 ELSE 0 END) AS alters, sum(CASE WHEN op = 'GRANT' THEN 1 ELSE 0 END) AS grants FROM {log} GROUP BY k) c""")
-P.sql("orphan_dependencies", "SELECT DISTINCT l.l_suppkey AS missing FROM {lineitem} l WHERE NOT EXISTS (SELECT 1 FROM {supplier} s WHERE s.s_suppkey = l.l_suppkey AND s.s_nationkey % 3 <> 0)")
-P.sql("dropped_tables_filter", """
-SELECT o.o_orderpriority, count(*) AS kept FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {customer} c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal < 0) GROUP BY o.o_orderpriority""")
-P.sql("fk_unique_index", """
-SELECT f.t, f.cols, count(i.name) AS indexes FROM (SELECT t, listagg(c, ',') WITHIN GROUP (ORDER BY c) AS cols FROM (VALUES ('orders', 'code', 1), ('orders', 'region', 1), ('lines', 'sku', 2), ('lines', 'id', 3)) f(t, c, fk) GROUP BY t, fk) f
-LEFT JOIN (SELECT name, t, listagg(c, ',') WITHIN GROUP (ORDER BY c) AS cols FROM (VALUES ('u1', 'orders', 'region'), ('u1', 'orders', 'code'), ('u2', 'lines', 'sku'), ('u3', 'lines', 'name')) i(name, t, c) GROUP BY name, t) i ON f.t = i.t AND f.cols = i.cols GROUP BY f.t, f.cols""")
-P.sql("duplicate_enums", """
-WITH e AS (SELECT * FROM (VALUES ('s', 'status', 'a,b'), ('s', 'status_enum', 'a,b'), ('s', 'status_type', 'a,c'), ('s', 'mood', 'x'), ('t', 'mood_enum', 'x'), ('t', 'mood', 'x')) e(sch, name, labels)),
-p AS (SELECT a.sch, a.name AS x, b.name AS y FROM e a JOIN e b ON a.sch = b.sch AND a.labels = b.labels AND a.name < b.name AND (b.name LIKE concat(a.name, '%') OR regexp_replace(a.name, '_(enum|type|status)$', '') = regexp_replace(b.name, '_(enum|type|status)$', '')))
-SELECT sch, x AS kept, y AS merged FROM p""")
-P.sql("dependency_match", """
-SELECT d.id, count(p.name) AS providers FROM (VALUES (1, 'table', 'public.users'), (2, 'type', 'mood'), (3, 'column', 'users.email'), (4, 'function', 'f')) d(id, class, ref)
-LEFT JOIN (VALUES ('table', 'users'), ('type', 'mood'), ('type', 'public.mood'), ('table', 'posts')) p(class, name)
-ON (d.class = p.class OR d.class = 'column' AND p.class = 'table') AND CASE WHEN d.class = 'column' THEN regexp_replace(d.ref, '[.][^.]*$', '') ELSE regexp_replace(d.ref, '^.*[.]', '') END = regexp_replace(p.name, '^.*[.]', '') GROUP BY d.id""")
-P.sql("orphaned_index", """
-SELECT i.name FROM (VALUES ('i1', 'email'), ('i1', 'id'), ('i2', 'id'), ('i3', 'old')) i(name, col) WHERE EXISTS (SELECT 1 FROM (VALUES ('old'), ('email')) d(col) WHERE d.col = i.col) GROUP BY i.name""")
-P.sql("extension_order", """
-SELECT name, row_number() OVER (ORDER BY coalesce(rank, 1000), name) AS place FROM (VALUES ('pgcrypto'), ('postgis'), ('uuid-ossp'), ('hstore'), ('citext')) e(name)
-LEFT JOIN (VALUES ('uuid-ossp', 1), ('pgcrypto', 2)) r(known, rank) ON e.name = r.known""")
+
+#: What the graph's history means: customers are tables app.c_, orders tables app.o_ with an index each and views app.v_ of every fifth.
+BORN = """c AS (SELECT 'app.c_' || c_custkey AS t, c_acctbal < 0 AS gone FROM {customer}), o AS (SELECT o_orderkey AS id, 'app.c_' || o_custkey AS t, o_orderkey % 5 = 0 AS view FROM {orders})"""
+P.frame("dropped_tables_filter", lambda log: dependencies.without_dropped(log).select("k", "op"), ("{graph_log}",), f"""
+WITH {BORN}, d AS (SELECT t FROM c WHERE gone) SELECT t || '::TABLE' AS k, 'CREATE' AS op FROM c WHERE NOT gone UNION ALL SELECT 'app.o_' || id || '::TABLE', 'CREATE' FROM o UNION ALL
+SELECT 'app.i_' || id || '::INDEX', 'CREATE' FROM o WHERE t NOT IN (SELECT t FROM d) UNION ALL SELECT 'app.v_' || id || '::VIEW', 'CREATE' FROM o WHERE view AND t NOT IN (SELECT t FROM d)""")
+P.frame("dropped_references", lambda log: dependencies.without_dropped_references(log).where("startswith(name, 'o_')").select("k", F.regexp_extract("sql", r"REFERENCES (\S+?)[ (]", 1).alias("refers_to")), ("{graph_log}",), f"""
+WITH {BORN} SELECT 'app.o_' || id || '::TABLE' AS k, CASE WHEN c.gone THEN '' ELSE o.t END AS refers_to FROM o JOIN c ON o.t = c.t""")
+P.frame("dependency_edges", dependencies.edges, ("{graph_log}",), f"""
+WITH {BORN} SELECT 'app.o_' || id || '::TABLE' AS src, t || '::TABLE' AS dst FROM o UNION SELECT 'app.i_' || id || '::INDEX', t || '::TABLE' FROM o UNION SELECT 'app.v_' || id || '::VIEW', t || '::TABLE' FROM o WHERE view""")
+P.frame("dependency_match", lambda log: dependencies.matches(log).groupBy("class", "object_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("dst").alias("providers")), ("{graph_log}",), f"""
+WITH {BORN} SELECT 'table' AS class, 'TABLE' AS object_type, count(*) AS n, count(DISTINCT t) AS providers FROM o UNION ALL SELECT 'table', 'INDEX', count(*), count(DISTINCT t) FROM o UNION ALL SELECT 'table', 'VIEW', count(*), count(DISTINCT t) FROM o WHERE view""")
+P.frame("fk_unique_index", lambda log: evolution.unique_targets(evolution.keys(log)), ("{graph_log}",), """
+SELECT 'app.o_' || o_orderkey AS "table", 'c' AS columns, 'app.c_' || o_custkey AS ref_table, CASE o_orderkey % 2 WHEN 0 THEN 'id' ELSE 'code' END AS ref_columns, 1 AS targets FROM {orders}""")
+#: Some customers' tables are never created.
+PARTIAL = """SELECT c_custkey AS seq, 'customer' AS filename, concat('CREATE TABLE c_', c_custkey, ' (id bigint)') AS content FROM {customer} WHERE c_nationkey % 3 <> 0 UNION ALL
+  SELECT 1000000000 + o_orderkey, 'orders', concat('CREATE VIEW v_', o_orderkey, ' AS SELECT id, auth.uid() AS u FROM c_', o_custkey, ' JOIN auth.users ON TRUE') FROM {orders}"""
+P.frame("orphan_dependencies", lambda files: dependencies.never_created(lifecycle.typed(parse.statement_log(files))), (PARTIAL,), """
+SELECT DISTINCT 'table' AS class, 'public.c_' || o_custkey AS full FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE c_nationkey % 3 = 0""")
+P.frame("orphan_functions", lambda log: dependencies.without_orphans(log).select("k", "pos"), oracle="""
+SELECT k, pos FROM {log} WHERE object_type <> 'FUNCTION' OR k IN (SELECT k FROM {log} WHERE op = 'CREATE')""")
+P.frame("privilege_split", lambda log: log.select("pos", dependencies.privilege_owned(F.col("sql"), F.col("op"), F.col("object_type")).alias("privilege_owned")), oracle="""
+SELECT pos, op IN ('GRANT', 'REVOKE') OR object_type = 'FUNCTION' AND op = 'ALTER' AS privilege_owned FROM {log}""")
+P.frame("orphaned_index", lambda log: dependencies.orphaned_indexes(log, evolution.column_events(log).withColumn("pos", F.floor(F.col("pos") / 1000))), oracle="""
+SELECT DISTINCT i.k, i.col AS "column" FROM {log} i JOIN {log} d ON i.user_id = d.user_id AND i.col = d.col AND d.pos > i.pos WHERE i.object_type = 'INDEX' AND d.action = 'DROP'""")
+#: Every supplier is a table whose ids come from its own sequence or from its predecessor's.
+SEQUENCES = """SELECT s_suppkey AS seq, 'supplier' AS filename, concat('CREATE SEQUENCE app.q_', s_suppkey, '; CREATE TABLE app.t_', s_suppkey, ' (id bigint DEFAULT nextval(''app.q_', CASE WHEN s_nationkey % 2 = 0 THEN s_suppkey ELSE s_suppkey - 1 END,
+  '''::regclass)); ALTER SEQUENCE app.q_', s_suppkey, ' OWNED BY app.t_', s_suppkey, '.id') AS content FROM {supplier}"""
+P.frame("sequence_dependencies", lambda files: dependencies.edges(lifecycle.typed(parse.statement_log(files))), (SEQUENCES,), """
+WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_nationkey % 2 = 0 THEN s_suppkey ELSE s_suppkey - 1 END AS q FROM {supplier})
+SELECT 'app.t_' || k || '::TABLE' AS src, 'app.q_' || q || '::SEQUENCE' AS dst FROM s WHERE q IN (SELECT k FROM s) UNION ALL SELECT 'app.q_' || k || '::SEQUENCE', 'app.t_' || k || '::TABLE' FROM s""")
+#: Nations are enums, some of them alike.
+ENUMS = """SELECT n_nationkey AS seq, 'nation' AS filename, concat('CREATE TYPE s', n_regionkey % 2, '.mood_', n_nationkey % 4, CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN '_enum' ELSE '_status' END, ' AS ENUM (''a'', ''b', n_nationkey % 2, ''')') AS content FROM {nation}"""
+E_ROWS = """e AS (SELECT sch, name, arg_max(labels, pos) AS labels FROM (SELECT 's' || (n_regionkey % 2) AS sch, 'mood_' || (n_nationkey % 4) || CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN '_enum' ELSE '_status' END AS name, n_nationkey % 2 AS labels, n_nationkey AS pos FROM {nation}) GROUP BY sch, name),
+s AS (SELECT *, regexp_replace(name, '_(enum|type|status)$', '') AS stem FROM e), p AS (SELECT a.sch AS schema, a.name AS kept, b.name AS merged FROM s a JOIN s b ON a.sch = b.sch AND a.labels = b.labels AND (a.stem <> a.name, a.name) < (b.stem <> b.name, b.name)
+  AND (starts_with(a.name, b.name) OR starts_with(b.name, a.name) OR a.stem = b.stem))"""
+P.frame("duplicate_enums", lambda files: evolution.similar_enums(evolution.enums(lifecycle.typed(parse.statement_log(files)))), (ENUMS,), f"WITH {E_ROWS} SELECT * FROM p")
+P.frame("merged_enums", lambda files: evolution.merged_enums(lifecycle.typed(parse.statement_log(files)), "aggressive"), (ENUMS,), f"WITH {E_ROWS} SELECT *, TRUE AS done FROM p")
+EXTENSIONS = "SELECT CASE n_nationkey WHEN 1 THEN 'postgis' WHEN 2 THEN 'pgcrypto' WHEN 3 THEN 'cube' ELSE lower(n_name) END AS extension FROM {nation}"
+P.frame("extension_order", extras.extension_order, (EXTENSIONS,), f"SELECT extension, CASE extension WHEN 'postgis' THEN 3 WHEN 'pgcrypto' THEN 8 WHEN 'cube' THEN 1 ELSE 1000 END AS place FROM ({EXTENSIONS})")
+P.frame("consolidation", lambda log: rules.consolidate(log).select("k", "rule", "n_before"), oracle="""
+WITH g AS (SELECT k, user_id, max(pos) AS gone_at FROM {log} WHERE op IN ('CREATE', 'DROP') AND object_type = 'TABLE' GROUP BY k, user_id HAVING arg_max(op, pos) = 'DROP'),
+l AS (SELECT l.* FROM {log} l LEFT JOIN g ON l.k = g.k WHERE NOT is_data AND (g.k IS NULL OR l.pos > gone_at)),
+i AS (SELECT l.* FROM l LEFT JOIN g ON l.user_id = g.user_id AND l.object_type = 'INDEX' AND l.pos < gone_at WHERE g.k IS NULL),
+f AS (SELECT * FROM i WHERE (object_type <> 'FUNCTION' OR k IN (SELECT k FROM i WHERE op = 'CREATE')) AND op NOT IN ('GRANT', 'REVOKE')),
+s AS (SELECT k, any_value(object_type) AS t, count(*) AS n_before, coalesce(max(pos) FILTER (op = 'DROP'), -1) AS d, coalesce(max(pos) FILTER (op = 'CREATE'), -1) AS c FROM f GROUP BY k)
+SELECT k, CASE WHEN t = 'TABLE' AND c > d THEN 'create_alter' WHEN t = 'FUNCTION' AND c > d THEN 'replaced' ELSE 'default' END AS rule, n_before FROM s WHERE NOT (d >= 0 AND c < d)""")
 
 QUERIES, ORACLE_SQL = P.queries, P.oracle

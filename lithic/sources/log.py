@@ -1,22 +1,10 @@
-"""The statement log: histories from files or maps, and the log that stands in for one over the driver's tables."""
+"""Histories from files or maps, provenance, and catalog snapshots."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ``events`` seen as a log: object k, place pos in migration file, operation, risk, lock and so on. Valid in Spark and DuckDB.
-LOG_SQL = """(SELECT user_id AS k, event_id AS pos, CAST(CAST(ts AS DATE) AS STRING) AS file, event_type, value,
-  CASE event_type WHEN 'signup' THEN 'CREATE' WHEN 'click' THEN 'ALTER' WHEN 'purchase' THEN 'GRANT' WHEN 'view' THEN 'COMMENT' ELSE 'DROP' END AS op,
-  CASE WHEN user_id % 4 = 3 THEN 'FUNCTION' ELSE 'TABLE' END AS object_type,
-  CASE WHEN event_type = 'view' AND user_id % 5 = 0 THEN TRUE ELSE FALSE END AS is_data,
-  CASE WHEN value > 90 THEN 'CRITICAL' WHEN value > 50 THEN 'HIGH' WHEN value > 10 THEN 'MEDIUM' ELSE 'LOW' END AS risk,
-  CASE event_type WHEN 'signup' THEN 'NONE' WHEN 'click' THEN 'ACCESS_EXCLUSIVE' WHEN 'purchase' THEN 'SHARE' WHEN 'view' THEN 'ROW_EXCLUSIVE' ELSE 'SHARE_UPDATE_EXCLUSIVE' END AS lock,
-  event_type = 'error' AS no_txn,
-  CAST(floor(value) AS BIGINT) % 7 AS grantee
-  FROM {events})"""
-
-
 def read_history(spark: SparkSession, folder: str) -> DataFrame:
     """(seq, filename, content): every ``*.sql`` of a folder, the number at the head of its name as its place; others are skipped."""
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
