@@ -1,88 +1,57 @@
-"""Catalog queries over snapshot tables (pg_namespace, pg_class, ...), in SQL that both engines run.
-
-The snapshot here is a small inline one; a stored snapshot with the same columns takes its place by name.
-"""
+"""Catalog queries over a snapshot made from the driver's tables: customers are relations, orders their columns and constraints, parts indexes and policies, suppliers routines."""
 
 from __future__ import annotations
 
-from .base import Plans
-
-P = Plans()
-
+from lithic.sources import catalog
 
-def values(name: str, columns: str, *rows: tuple) -> str:
-    lit = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"{name} AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({columns}))"
+from .base import Plans, for_duckdb, frame
 
+P = Plans()
 
 SNAPSHOT = {
-    "pg_namespace": values("pg_namespace", "oid, nspname", (1, "public"), (2, "app"), (3, "pg_catalog"), (4, "information_schema"), (5, "pg_toast"), (6, "ext")),
-    "pg_extension": values("pg_extension", "oid, extname, extversion, extnamespace", (90, "pgcrypto", "1.3", 6), (91, "hstore", "1.8", None)),
-    "pg_depend": values("pg_depend", "objid, deptype, refobjid", (6, "e", 90), (16, "e", 91), (45, "a", 10)),
-    "pg_class": values("pg_class", "oid, relname, relkind, relnamespace, relrowsecurity, relforcerowsecurity", (10, "users", "r", 1, True, False), (11, "posts", "r", 1, False, False), (12, "v_users", "v", 1, False, False), (13, "mv", "m", 2, False, False), (14, "seq", "S", 1, False, False), (15, "parts", "p", 2, True, True), (16, "hs", "r", 6, False, False), (20, "users_pkey", "i", 1, False, False), (21, "posts_title", "i", 1, False, False)),
-    "pg_attribute": values("pg_attribute", "attrelid, attnum, attname, atttypid, attnotnull, attidentity, attgenerated, dropped", (10, 1, "id", 30, True, "d", "", False), (10, 2, "email", 31, False, "", "", False), (10, 3, "old", 31, False, "", "", True), (11, 1, "id", 30, True, "", "", False), (11, 2, "user_id", 30, True, "", "", False), (11, 3, "title", 31, False, "", "s", False), (15, 1, "k", 32, False, "", "", False), (20, 1, "id", 30, False, "", "", False), (21, 1, "title", 31, False, "", "", False), (21, 2, "user_id", 30, False, "", "", False)),
-    "pg_attrdef": values("pg_attrdef", "adrelid, adnum, adsrc", (11, 3, "upper('x')"), (10, 2, "''::text")),
-    "pg_type": values("pg_type", "oid, typname, typtype, typnamespace, typbasetype", (30, "int8", "b", 3, None), (31, "text", "b", 3, None), (32, "mood", "e", 1, None), (33, "score", "d", 1, 30), (34, "pair", "c", 2, None)),
-    "pg_enum": values("pg_enum", "enumtypid, enumsortorder, enumlabel", (32, 2, "ok"), (32, 1, "sad"), (32, 3, "happy")),
-    "pg_constraint": values("pg_constraint", "oid, conname, contype, conrelid, confrelid, confupdtype, confdeltype, convalidated", (40, "users_pkey", "p", 10, None, None, None, True), (41, "posts_user_fk", "f", 11, 10, "a", "c", False), (42, "posts_check", "c", 11, None, None, None, True), (43, "posts_pair_key", "u", 11, None, None, None, True)),
-    "pg_constraint_key": values("pg_constraint_key", "conid, foreign_side, place, attnum", (40, False, 1, 1), (41, False, 1, 2), (41, True, 1, 1), (43, False, 1, 3), (43, False, 2, 2)),
-    "pg_index": values("pg_index", "indexrelid, indrelid, indisunique, indisprimary, indpred", (20, 10, True, True, None), (21, 11, False, False, "title IS NOT NULL")),
-    "pg_trigger": values("pg_trigger", "oid, tgrelid, tgname, tgtype, internal, def", (50, 10, "touch", 23, False, "EXECUTE FUNCTION touch()"), (51, 10, "fk", 5, True, "EXECUTE FUNCTION ri()"), (52, 11, "log", 12, False, "EXECUTE FUNCTION log()")),
-    "pg_policy": values("pg_policy", "oid, polrelid, polname, polcmd, polpermissive, qual", (60, 10, "own", "r", True, "id = 1"), (61, 15, "all", "*", False, None)),
-    "pg_policy_role": values("pg_policy_role", "polid, place, roleid", (60, 2, 70), (60, 1, 71), (61, 1, 0)),
-    "pg_roles": values("pg_roles", "oid, rolname", (70, "writer"), (71, "reader"), (72, "pg_monitor")),
-    "pg_proc": values("pg_proc", "oid, proname, pronamespace, prokind, provolatile, args, rettype, security", (80, "touch", 1, "f", "v", "", "trigger", False), (81, "fmt", 1, "f", "i", "integer", "text", True), (82, "fmt", 1, "f", "i", "text", "text", False), (83, "run", 2, "p", "v", "", None, False)),
-    "pg_sequence": values("pg_sequence", "seqrelid, seqstart, seqincrement, seqmax, owner_rel, owner_att", (14, 1, 1, 100, 10, 1)),
-    "pg_views": values("pg_views", "oid, definition", (12, "SELECT id FROM users"), (13, "SELECT count(*)  FROM posts")),
-    "pg_acl": values("pg_acl", "kind, oid, grantee, privilege, grantable", ("relation", 10, 71, "SELECT", False), ("relation", 10, 70, "UPDATE", True), ("relation", 10, 70, "SELECT", False), ("schema", 2, 0, "USAGE", False), ("routine", 81, 71, "EXECUTE", False)),
-    "pg_description": values("pg_description", "objoid, objsubid, description", (10, 0, "people"), (10, 2, "mail"), (81, 0, "formats"), (12, 0, None)),
+    "pg_namespace": "SELECT r_regionkey AS oid, CASE r_regionkey WHEN 3 THEN 'pg_catalog' WHEN 4 THEN 'pg_toast' WHEN 0 THEN 'public' ELSE lower(r_name) END AS nspname FROM {region}",
+    "pg_extension": "SELECT n_nationkey AS oid, lower(n_name) AS extname, concat('1.', n_nationkey) AS extversion, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_regionkey END AS extnamespace FROM {nation}",
+    "pg_depend": "SELECT c_custkey AS objid, CASE WHEN c_custkey % 2 = 0 THEN 'e' ELSE 'a' END AS deptype, 90 AS refobjid FROM {customer} WHERE c_custkey % 17 = 0",
+    "pg_class": """SELECT c_custkey AS oid, concat('t_', c_custkey) AS relname, CASE c_custkey % 8 WHEN 3 THEN 'p' WHEN 4 THEN 'v' WHEN 5 THEN 'm' WHEN 6 THEN 'S' WHEN 7 THEN 'i' ELSE 'r' END AS relkind, c_nationkey % 5 AS relnamespace,
+  c_custkey % 4 = 0 AS relrowsecurity, c_custkey % 16 = 0 AS relforcerowsecurity FROM {customer}""",
+    "pg_attribute": """SELECT o_custkey AS attrelid, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS attnum, concat('c_', o_orderkey) AS attname, o_orderkey % 25 AS atttypid, o_orderkey % 3 = 0 AS attnotnull,
+  CASE o_orderkey % 11 WHEN 0 THEN 'a' WHEN 1 THEN 'd' ELSE '' END AS attidentity, CASE WHEN o_orderkey % 13 = 0 THEN 's' ELSE '' END AS attgenerated, o_orderkey % 19 = 0 AS dropped FROM {orders}""",
+    "pg_attrdef": "SELECT o_custkey AS adrelid, 1 AS adnum, concat('d', min(o_orderkey)) AS adsrc FROM {orders} GROUP BY o_custkey",
+    "pg_type": "SELECT n_nationkey AS oid, concat('ty_', n_nationkey) AS typname, CASE n_nationkey % 4 WHEN 0 THEN 'b' WHEN 1 THEN 'e' WHEN 2 THEN 'd' ELSE 'c' END AS typtype, n_regionkey AS typnamespace, CASE WHEN n_nationkey % 4 = 2 THEN n_nationkey - 2 END AS typbasetype FROM {nation}",
+    "pg_enum": "SELECT s_nationkey AS enumtypid, s_suppkey AS enumsortorder, concat('l', s_suppkey) AS enumlabel FROM {supplier} WHERE s_nationkey % 4 = 1",
+    "pg_constraint": """SELECT o_orderkey AS oid, concat('k_', o_orderkey) AS conname, CASE o_orderkey % 4 WHEN 0 THEN 'p' WHEN 1 THEN 'f' WHEN 2 THEN 'u' ELSE 'c' END AS contype, o_custkey AS conrelid, CASE WHEN o_orderkey % 4 = 1 THEN o_custkey % 100 + 1 END AS confrelid,
+  'a' AS confupdtype, CASE WHEN o_orderkey % 4 = 1 THEN CASE o_orderkey % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'n' ELSE 'a' END END AS confdeltype, o_orderkey % 5 <> 0 AS convalidated FROM {orders}""",
+    "pg_constraint_key": "SELECT l_orderkey AS conid, l_linenumber % 2 = 0 AS foreign_side, min(l_linenumber) AS place, l_linenumber AS attnum FROM {lineitem} GROUP BY l_orderkey, l_linenumber",
+    "pg_index": "SELECT p_partkey AS indexrelid, p_partkey % 150 AS indrelid, p_partkey % 2 = 0 AS indisunique, p_partkey % 10 = 0 AS indisprimary, CASE WHEN p_partkey % 7 = 0 THEN 'x > 0' END AS indpred FROM {part}",
+    "pg_trigger": "SELECT event_id AS oid, user_id AS tgrelid, concat('tg_', event_id) AS tgname, event_id % 32 AS tgtype, event_id % 9 = 0 AS internal, concat('EXECUTE FUNCTION ', event_type, '()') AS def FROM {events}",
+    "pg_policy": "SELECT p_partkey AS oid, p_partkey % 150 AS polrelid, concat('po_', p_partkey) AS polname, CASE p_partkey % 3 WHEN 0 THEN 'r' WHEN 1 THEN '*' ELSE 'a' END AS polcmd, p_partkey % 2 = 0 AS polpermissive, CASE WHEN p_partkey % 5 <> 0 THEN concat('q', p_size) END AS qual FROM {part}",
+    "pg_policy_role": "SELECT l_partkey AS polid, l_suppkey % 12 AS roleid, min(l_orderkey * 8 + l_linenumber) * 12 + l_suppkey % 12 AS place FROM {lineitem} GROUP BY l_partkey, l_suppkey % 12",
+    "pg_roles": "SELECT n_nationkey AS oid, CASE WHEN n_nationkey % 6 = 5 THEN concat('pg_', lower(n_name)) ELSE lower(n_name) END AS rolname FROM {nation} WHERE n_nationkey > 0",
+    "pg_proc": """SELECT s_suppkey AS oid, concat('f_', s_suppkey % 20) AS proname, s_nationkey % 5 AS pronamespace, CASE WHEN s_suppkey % 5 = 0 THEN 'p' ELSE 'f' END AS prokind, CASE s_suppkey % 3 WHEN 0 THEN 'i' WHEN 1 THEN 's' ELSE 'v' END AS provolatile,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'integer' ELSE 'text' END AS args, CASE WHEN s_suppkey % 5 <> 0 THEN 'text' END AS rettype, s_suppkey % 4 = 0 AS security FROM {supplier}""",
+    "pg_sequence": "SELECT c_custkey AS seqrelid, 1 AS seqstart, c_custkey % 3 + 1 AS seqincrement, 1000 AS seqmax, c_custkey - 1 AS owner_rel, 1 AS owner_att FROM {customer} WHERE c_custkey % 8 = 6",
+    "pg_views": "SELECT c_custkey AS oid, concat('SELECT  ', c_name, ' FROM t') AS definition FROM {customer} WHERE c_custkey % 8 IN (4, 5)",
+    "pg_acl": """SELECT CASE o_orderkey % 3 WHEN 0 THEN 'relation' WHEN 1 THEN 'schema' ELSE 'routine' END AS kind, CASE o_orderkey % 3 WHEN 0 THEN o_custkey WHEN 1 THEN o_orderkey % 5 ELSE o_orderkey % 100 END AS oid, o_orderkey % 25 AS grantee,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'SELECT' ELSE 'UPDATE' END AS privilege, o_orderkey % 7 = 0 AS grantable FROM {orders}""",
+    "pg_default_acl": "SELECT s_nationkey AS owner, CASE WHEN s_suppkey % 2 = 0 THEN 'TABLES' ELSE 'FUNCTIONS' END AS kind, s_suppkey % 25 AS grantee FROM {supplier}",
+    "pg_description": "SELECT c_custkey AS objoid, 0 AS objsubid, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS description FROM {customer}",
+    "pg_settings": "SELECT CASE r_regionkey WHEN 0 THEN 'server_version' WHEN 1 THEN 'search_path' ELSE lower(r_name) END AS name, concat('v', r_regionkey) AS setting FROM {region}",
 }
 
 
-def catalog(name: str, *tables: str, sql: str) -> None:
-    P.sql(name, "WITH " + ", ".join(SNAPSHOT[t] for t in tables) + sql)
+def plan(name: str):
+    tables, _ = catalog.CATALOG[name]
+
+    def run(spark, sf_dir):
+        return catalog.query(spark, {t: frame(spark, sf_dir, SNAPSHOT[t]) for t in tables}, name)
 
+    sql = catalog.text(name)
+    own = sql.removeprefix("WITH ") if sql.startswith("WITH ") else None
+    ctes = ", ".join(f"{t} AS ({SNAPSHOT[t]})" for t in tables)
+    P.queries[name], P.oracle[name] = run, for_duckdb(f"WITH {ctes}, {own}" if own else f"WITH {ctes} {sql}")
 
-USER = "nspname NOT IN ('pg_catalog', 'information_schema') AND nspname NOT LIKE 'pg_%' AND NOT EXISTS (SELECT 1 FROM pg_depend d WHERE d.objid = n.oid AND d.deptype = 'e')"
-OWN = "NOT EXISTS (SELECT 1 FROM pg_depend d WHERE d.objid = c.oid AND d.deptype = 'e')"
-RELATIONS, COLUMNS = ("pg_namespace", "pg_depend", "pg_class"), ("pg_namespace", "pg_depend", "pg_class", "pg_attribute", "pg_attrdef", "pg_type")
 
-catalog("catalog_schemas", "pg_namespace", "pg_depend", sql=f" SELECT nspname FROM pg_namespace n WHERE {USER}")
-catalog("catalog_extensions", "pg_namespace", "pg_extension", sql=" SELECT extname, extversion, coalesce(nspname, '') AS schema_name FROM pg_extension e LEFT JOIN pg_namespace n ON n.oid = e.extnamespace")
-catalog("catalog_tables", *RELATIONS, sql=f" SELECT nspname, relname, relkind FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace WHERE relkind IN ('r', 'p') AND {OWN}")
-catalog("catalog_columns", *COLUMNS, sql=f""" SELECT nspname, relname, attname, attnum, typname, NOT attnotnull AS nullable, coalesce(adsrc, '') AS default_value,
-  CASE attidentity WHEN 'a' THEN 'ALWAYS' WHEN 'd' THEN 'BY DEFAULT' ELSE '' END AS identity, attgenerated <> '' AS generated
-FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace JOIN pg_attribute a ON a.attrelid = c.oid JOIN pg_type t ON t.oid = a.atttypid LEFT JOIN pg_attrdef d ON d.adrelid = a.attrelid AND d.adnum = a.attnum
-WHERE relkind IN ('r', 'p') AND NOT dropped AND {OWN}""")
-catalog("catalog_constraints", "pg_class", "pg_attribute", "pg_constraint", "pg_constraint_key", sql=""", keys AS (SELECT k.conid, k.foreign_side, listagg(a.attname, ',') WITHIN GROUP (ORDER BY k.place) AS cols
-  FROM pg_constraint_key k JOIN pg_constraint c ON c.oid = k.conid JOIN pg_attribute a ON a.attnum = k.attnum AND a.attrelid = CASE WHEN k.foreign_side THEN c.confrelid ELSE c.conrelid END GROUP BY k.conid, k.foreign_side)
-SELECT t.relname, conname, CASE contype WHEN 'p' THEN 'PRIMARY KEY' WHEN 'f' THEN 'FOREIGN KEY' WHEN 'u' THEN 'UNIQUE' WHEN 'c' THEN 'CHECK' ELSE contype END AS kind, coalesce(own.cols, '') AS cols, coalesce(f.relname, '') AS references_table,
-  coalesce(theirs.cols, '') AS references_cols, CASE confdeltype WHEN 'c' THEN 'CASCADE' WHEN 'n' THEN 'SET NULL' WHEN 'a' THEN 'NO ACTION' ELSE '' END AS on_delete, convalidated
-FROM pg_constraint c JOIN pg_class t ON t.oid = c.conrelid LEFT JOIN pg_class f ON f.oid = c.confrelid LEFT JOIN keys own ON own.conid = c.oid AND NOT own.foreign_side LEFT JOIN keys theirs ON theirs.conid = c.oid AND theirs.foreign_side""")
-catalog("catalog_indexes", "pg_class", "pg_attribute", "pg_index", sql=""" SELECT t.relname AS table_name, i.relname AS index_name, indisunique, indisprimary, coalesce(indpred, '') AS predicate, listagg(a.attname, ',') WITHIN GROUP (ORDER BY a.attnum) AS cols
-FROM pg_index x JOIN pg_class i ON i.oid = x.indexrelid JOIN pg_class t ON t.oid = x.indrelid LEFT JOIN pg_attribute a ON a.attrelid = x.indexrelid GROUP BY t.relname, i.relname, indisunique, indisprimary, indpred""")
-catalog("catalog_triggers", "pg_class", "pg_trigger", sql=r""" SELECT relname, tgname, CASE WHEN tgtype & 2 = 2 THEN 'BEFORE' ELSE 'AFTER' END AS timing, CASE WHEN tgtype & 1 = 1 THEN 'ROW' ELSE 'STATEMENT' END AS level,
-  concat(CASE WHEN tgtype & 4 = 4 THEN 'I' ELSE '' END, CASE WHEN tgtype & 8 = 8 THEN 'D' ELSE '' END, CASE WHEN tgtype & 16 = 16 THEN 'U' ELSE '' END) AS events, regexp_extract(def, 'FUNCTION ([a-z_]+)', 1) AS fn
-FROM pg_trigger g JOIN pg_class c ON c.oid = g.tgrelid WHERE NOT internal""")
-catalog("catalog_policies", "pg_class", "pg_policy", "pg_policy_role", "pg_roles", sql=""" SELECT relname, polname, CASE polcmd WHEN 'r' THEN 'SELECT' WHEN '*' THEN 'ALL' ELSE polcmd END AS command, polpermissive, coalesce(qual, '') AS qual, listagg(coalesce(rolname, 'public'), ',') WITHIN GROUP (ORDER BY place) AS roles
-FROM pg_policy p JOIN pg_class c ON c.oid = p.polrelid JOIN pg_policy_role x ON x.polid = p.oid LEFT JOIN pg_roles r ON r.oid = x.roleid GROUP BY relname, polname, polcmd, polpermissive, qual""")
-catalog("catalog_row_security", "pg_class", sql=" SELECT relname, coalesce(relrowsecurity, FALSE) AS enabled, coalesce(relforcerowsecurity, FALSE) AS forced FROM pg_class WHERE relkind IN ('r', 'p')")
-catalog("catalog_views", *RELATIONS, "pg_views", sql=f" SELECT nspname, relname, relkind = 'm' AS materialized, definition FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace JOIN pg_views v ON v.oid = c.oid WHERE {OWN}")
-catalog("catalog_functions", "pg_namespace", "pg_proc", sql=" SELECT nspname, concat(proname, '(', args, ')') AS signature, CASE prokind WHEN 'p' THEN 'PROCEDURE' ELSE 'FUNCTION' END AS kind, CASE provolatile WHEN 'i' THEN 'IMMUTABLE' WHEN 's' THEN 'STABLE' ELSE 'VOLATILE' END AS volatility, security, coalesce(rettype, '') AS returns FROM pg_proc p JOIN pg_namespace n ON n.oid = p.pronamespace")
-catalog("catalog_sequences", "pg_class", "pg_attribute", "pg_sequence", sql=" SELECT c.relname, seqstart, seqincrement, seqmax, concat(o.relname, '.', a.attname) AS owned_by FROM pg_sequence s JOIN pg_class c ON c.oid = s.seqrelid LEFT JOIN pg_class o ON o.oid = s.owner_rel LEFT JOIN pg_attribute a ON a.attrelid = s.owner_rel AND a.attnum = s.owner_att")
-catalog("catalog_types", "pg_namespace", "pg_type", "pg_enum", sql=""", labels AS (SELECT enumtypid, listagg(enumlabel, ',') WITHIN GROUP (ORDER BY enumsortorder) AS labels FROM pg_enum GROUP BY enumtypid)
-SELECT n.nspname, t.typname, CASE t.typtype WHEN 'e' THEN 'ENUM' WHEN 'd' THEN 'DOMAIN' WHEN 'c' THEN 'COMPOSITE' ELSE 'BASE' END AS kind, coalesce(labels, '') AS labels, coalesce(b.typname, '') AS base FROM pg_type t JOIN pg_namespace n ON n.oid = t.typnamespace LEFT JOIN labels l ON l.enumtypid = t.oid LEFT JOIN pg_type b ON b.oid = t.typbasetype WHERE n.nspname <> 'pg_catalog'""")
-catalog("catalog_comments", "pg_class", "pg_attribute", "pg_proc", "pg_description", sql=""", objects AS (SELECT 'relation' AS kind, oid, 0 AS sub, relname AS name FROM pg_class UNION ALL SELECT 'column', attrelid, attnum, attname FROM pg_attribute WHERE NOT dropped UNION ALL SELECT 'routine', oid, 0, proname FROM pg_proc)
-SELECT kind, name, description FROM objects o JOIN pg_description d ON d.objoid = o.oid AND d.objsubid = o.sub WHERE description IS NOT NULL""")
-catalog("catalog_privileges", "pg_namespace", "pg_class", "pg_proc", "pg_roles", "pg_acl", sql=""", named AS (SELECT 'relation' AS kind, oid, relname AS name FROM pg_class UNION ALL SELECT 'schema', oid, nspname FROM pg_namespace UNION ALL SELECT 'routine', oid, concat(proname, '(', args, ')') FROM pg_proc)
-SELECT n.kind, n.name, coalesce(rolname, 'PUBLIC') AS grantee, listagg(concat(privilege, CASE WHEN grantable THEN '*' ELSE '' END), ',') WITHIN GROUP (ORDER BY privilege) AS privileges
-FROM pg_acl a JOIN named n ON n.kind = a.kind AND n.oid = a.oid LEFT JOIN pg_roles r ON r.oid = a.grantee GROUP BY n.kind, n.name, coalesce(rolname, 'PUBLIC')""")
-catalog("catalog_signature", *COLUMNS, "pg_views", sql=""" SELECT concat('column|', nspname, '.', relname, '.', attname, '|', typname) AS line FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace JOIN pg_attribute a ON a.attrelid = c.oid JOIN pg_type t ON t.oid = a.atttypid WHERE relkind IN ('r', 'p') AND NOT dropped
-UNION ALL SELECT concat('view|', relname, '|sha256:', substr(sha2_hex, 1, 32)) FROM (SELECT relname, {sha}(definition) AS sha2_hex FROM pg_views v JOIN pg_class c ON c.oid = v.oid) s""")
-catalog("catalog_emptiness", *RELATIONS, "pg_type", "pg_proc", sql=f""" SELECT EXISTS (SELECT 1 FROM pg_class c WHERE {OWN}) OR EXISTS (SELECT 1 FROM pg_proc) OR EXISTS (SELECT 1 FROM pg_type WHERE typtype = 'e') AS has_objects""")
-catalog("catalog_roles", "pg_roles", sql=" SELECT rolname FROM pg_roles WHERE rolname NOT LIKE 'pg_%'")
-catalog("catalog_search", "pg_namespace", "pg_class", sql=" SELECT nspname, relname FROM (SELECT nspname, relname, row_number() OVER (PARTITION BY relname ORDER BY CASE nspname WHEN 'app' THEN 1 WHEN 'public' THEN 2 ELSE 3 END) AS rn FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace WHERE relname LIKE '%users%') s WHERE rn = 1")
-catalog("catalog_flat", "pg_namespace", "pg_class", "pg_proc", "pg_type", sql=""" SELECT CASE relkind WHEN 'r' THEN 'table' WHEN 'p' THEN 'table' WHEN 'v' THEN 'view' WHEN 'm' THEN 'materialized view' WHEN 'S' THEN 'sequence' ELSE 'index' END AS kind, concat(nspname, '.', relname) AS name FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace
-UNION ALL SELECT 'function', concat(nspname, '.', proname, '(', args, ')') FROM pg_proc p JOIN pg_namespace n ON n.oid = p.pronamespace UNION ALL SELECT 'type', concat(nspname, '.', typname) FROM pg_type t JOIN pg_namespace n ON n.oid = t.typnamespace WHERE nspname <> 'pg_catalog'""")
+for _name in catalog.CATALOG:
+    plan(_name)
 
 QUERIES, ORACLE_SQL = P.queries, P.oracle
