@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.operators import evolution, folds, lifecycle, parse
+from lithic.operators import evolution, folds, lifecycle, normalize, parse, validate
 
 from .base import Plans
 
@@ -115,4 +115,19 @@ P.frame("initial_acl", lambda log: folds.initial_acl(log.where("op = 'CREATE'").
 WITH d AS (SELECT schema, grantee, min(pos) AS since FROM {log} WHERE op = 'GRANT' AND object_type = 'FUNCTION' GROUP BY ALL)
 SELECT k, pos, d.grantee, 'EXECUTE' AS privilege FROM {log} l JOIN d ON l.schema = d.schema AND pos > since WHERE op = 'CREATE' AND object_type = 'FUNCTION'""")
 
+#: Every nation is a database; its customers' tables and a column of theirs are renamed, and one in three moves to another schema.
+RENAMES = """SELECT concat('n', c_nationkey) AS database, c_custkey * 8 + s.n AS seq, 0 AS stmt_idx, CASE s.n WHEN 0 THEN concat('CREATE TABLE t_', c_custkey, ' (id int, name text)') WHEN 1 THEN concat('CREATE VIEW v_', c_custkey, ' AS SELECT name FROM t_', c_custkey, ' WHERE name <> ''name''')
+  WHEN 2 THEN concat('ALTER TABLE t_', c_custkey, ' RENAME COLUMN name TO full_name') WHEN 3 THEN concat('ALTER TABLE t_', c_custkey, ' RENAME TO c_', c_custkey) WHEN 4 THEN CASE WHEN c_custkey % 3 = 0 THEN concat('ALTER TABLE c_', c_custkey, ' SET SCHEMA app') ELSE 'SELECT 1' END
+  ELSE concat('INSERT INTO ', CASE WHEN c_custkey % 3 = 0 THEN 'app.' ELSE '' END, 'c_', c_custkey, ' (full_name) SELECT x.name FROM t_x x') END AS sql FROM {customer}, (SELECT explode(array(0, 1, 2, 3, 4, 5)) AS n) s"""
+P.frame("normalised_history", normalize.normalised_log, (RENAMES,), """
+WITH c AS (SELECT c_custkey AS k, 'n' || c_nationkey AS database, CASE WHEN c_custkey % 3 = 0 THEN 'app.c_' ELSE 'c_' END || c_custkey AS t, c_custkey % 3 = 0 AS moved FROM {customer})
+SELECT database, k * 8 + n AS seq, 0 AS stmt_idx, CASE n WHEN 0 THEN 'CREATE TABLE ' || t || ' (id int, full_name text)' WHEN 1 THEN 'CREATE VIEW v_' || k || ' AS SELECT full_name AS name FROM ' || t || ' WHERE full_name <> ''name''' WHEN 2 THEN '' WHEN 3 THEN ''
+  WHEN 4 THEN CASE WHEN moved THEN '' ELSE 'SELECT 1' END ELSE 'INSERT INTO ' || t || ' (full_name) SELECT x.name FROM t_x x' END AS sql FROM c, (SELECT unnest(range(6)) AS n)""")
+P.frame("modernised_statements", validate.modernise, oracle="""
+SELECT k, pos, CASE WHEN object_type = 'FUNCTION' THEN 'CREATE ' || CASE WHEN v % 2 = 1 THEN 'OR REPLACE ' ELSE '' END || 'FUNCTION ' || schema || '.f_' || user_id || '(a int, b text DEFAULT ''x;'') RETURNS int LANGUAGE sql VOLATILE AS $f$ SELECT ' || v || '; $f$'
+  ELSE 'ALTER TABLE ' || schema || '.t_' || user_id || ' ALTER COLUMN ' || col || ' TYPE varchar(' || v || ') USING ' || col || '::varchar(' || v || ')' END AS sql FROM {log} WHERE object_type = 'FUNCTION' AND op = 'CREATE' OR action = 'TYPE'""")
+P.frame("structure_findings", validate.structure, ("{graph_log}",), """
+SELECT 'app.o_' || o_orderkey || '::TABLE' AS k, unnest(['NO_PRIMARY_KEY', 'FOREIGN_KEY_WITHOUT_INDEX']) AS finding FROM {orders}""")
+P.frame("postflight_findings", lambda log: validate.after(log.where("object_type = 'TABLE'")), oracle="SELECT k, 'DROPS' AS finding FROM {log} WHERE object_type = 'TABLE' AND op = 'DROP'")
+
 QUERIES, ORACLE_SQL = P.queries, P.oracle
