@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,17 +148,26 @@ def consolidate(log: DataFrame, level: str = "standard", rules: list[Rule] | Reg
     return out.where(F.size("made") > 0).select("k", "category", "object_type", "schema", "object_name", "rule", "n_before", F.size("made").alias("n_after"), F.array_join("made", ";\n").alias("sql"), "pos")
 
 
+def _sound(results: DataFrame) -> DataFrame:
+    """The keys of the results whose texts are sound."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0).filter(pa.array([sound(s or "") for s in batch.column(1).to_pylist()], pa.bool_()))], ["k"])
+
+    return results.select("k", "sql").mapInArrow(each, "k string")
+
+
 def recovered(log: DataFrame, results: DataFrame, attempts: int = 1) -> DataFrame:
-    """CR-16. Results whose text is not sound get the object's statements as they are, at the level with the fewest rules; ``attempts`` is the number of levels tried on the way."""
-    ok = F.udf(sound, "boolean")
-    marked = results.withColumn("sound", ok("sql"))
-    bad = marked.where(~F.col("sound")).select("k")
+    """CR-16. Results whose text is not sound are made again with fewer rules, ``attempts`` times at most, at last with the fewest."""
     log = log if "k" in log.columns else lifecycle.typed(log)
-    out = marked.where("sound").drop("sound")
+    good = _sound(results)
+    out, bad = results.join(good, "k", "left_semi"), results.select("k").join(good, "k", "left_anti")
     for level in LEVELS[: max(1, attempts)][::-1]:
         again = consolidate(log.join(bad, "k", "left_semi"), level)
-        out = out.unionByName(again.where(ok("sql")) if level != LEVELS[0] else again)
-        bad = bad.join(again.where(ok("sql")).select("k"), "k", "left_anti")
+        good = _sound(again)
+        out = out.unionByName(again.join(good, "k", "left_semi") if level != LEVELS[0] else again)
+        bad = bad.join(good, "k", "left_anti")
     return out
 
 

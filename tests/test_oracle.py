@@ -10,7 +10,6 @@ from lithic.plans import registry
 from lithic.plans.base import TABLES
 
 DIR = "/root/testdata/sf0.001"
-SLOW = {"reachability", "scc", "cyclic_nodes", "deferred_fks", "cycle_breakers", "dep_levels"}
 
 
 def norm(v):
@@ -27,7 +26,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLE_SQL) - SLOW) + ["scc", "dep_levels"])
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_matches_duckdb(spark, duck, name):
     df = registry.QUERIES[name](spark, DIR)
     got = sorted(repr([norm(r[c]) for c in sorted(df.columns)]) for r in df.collect())

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lithic.operators import folds, normalize, parse, rules
@@ -21,8 +22,13 @@ def test_history_to_baseline(spark, tmp_path):
     assert "CREATE TABLE t (id int, name text, price numeric);\nALTER TABLE t OWNER TO me;" in text.replace(";;", ";")
     assert "SELECT 2" in text and "SELECT 1" not in text and "gone" not in text
     assert rules.data_sql(log) == "INSERT INTO t VALUES (1);\n"
-    names = lambda level: {r.name for r in rules.ladder(level)}
+    registry = rules.Registry(rules.LADDER)
+    names = lambda level: {r.name for r in registry.chosen(level)}
     assert names("paranoid") <= names("conservative") <= names("standard") <= names("aggressive")
+    registry.disable("create_alter")
+    assert "create_alter" not in names("standard") and {r.name for r in registry.chosen("aggressive", category="types")} == {"enum"}
+    with pytest.raises(ValueError):
+        registry.disable("no such rule")
 
 
 def test_streamed_log_equals_batch(spark, tmp_path):

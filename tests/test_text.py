@@ -70,7 +70,7 @@ def test_sinks(tmp_path):
 
 
 def test_rollback_and_repairs():
-    assert extras.rollback_statement("CREATE UNIQUE INDEX CONCURRENTLY i ON t (a)") == "DROP INDEX IF EXISTS i;"
+    assert extras.rollback_statement("CREATE UNIQUE INDEX CONCURRENTLY i ON t (a)") == "DROP INDEX CONCURRENTLY IF EXISTS i;"
     assert extras.rollback_statement("ALTER TABLE t RENAME COLUMN a TO b") == "ALTER TABLE t RENAME COLUMN b TO a;"
     assert extras.rollback_statement("GRANT SELECT ON t TO a WITH GRANT OPTION;") == "REVOKE SELECT ON t FROM a;"
     assert extras.rollback_statement("DROP TABLE t") is None

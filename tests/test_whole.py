@@ -61,31 +61,3 @@ def test_line_differences_keep_whole_orders(spark):
         want = {("left", f"{r.o_orderkey}|{r.o_custkey}|{r.o_orderpriority}") for r in changed} | {("right", f"{r.o_orderkey}|{r.o_custkey}|CHANGED") for r in changed}
         assert rows(spark, "line_set_diff", d) == want
         assert rows(spark, "diff_topk", d) == set(sorted(want)[:25]) | {("~", f"omitted {len(want) - 25}")}
-
-
-def net_acl(log):
-    """(k, grantee) -> grant option, by the rules of the fold, entry by entry."""
-    held: dict = {}
-    for r in sorted(log, key=lambda r: r.pos):
-        key = r.k, r.grantee
-        if r.action == "GRANT":
-            held[key] = held.get(key, False) or r.option
-        elif not r.option:
-            held.pop(key, None)
-        elif key in held:
-            held[key] = False
-    return held
-
-
-def test_grant_script_covers_the_whole_log(spark):
-    for d in (DIR, LARGER):
-        current, wanted = (frame(spark, d, sql).collect() for sql in (fold_plans.CURRENT, fold_plans.ACL_LOG))
-        assert sorted((r.k, r.pos) for r in current) == sorted((r.k, r.pos) for r in wanted)
-        now, then, verbs = net_acl(current), net_acl(wanted), {}
-        for key in now.keys() | then.keys():
-            a, b = now.get(key), then.get(key)
-            if a != b:
-                verb = "REVOKE" if b is None else "GRANT WITH GRANT OPTION" if b else "GRANT" if a is None else "REVOKE GRANT OPTION FOR"
-                verbs.setdefault((key[0], verb), []).append(key[1])
-        assert len({v for _, v in verbs}) == 4
-        assert rows(spark, "grant_script", d) == {(k, v, ",".join(map(str, sorted(g)))) for (k, v), g in verbs.items()}
