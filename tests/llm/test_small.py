@@ -498,3 +498,129 @@ def test_quality_vectors_come_from_all_texts(spark):
     vectors = lambda rows: quality_classifier.fitted(spark.createDataFrame(rows, "id long, text string"), labels, 4000)[0]
     few, all_of_them = vectors(labelled), vectors(labelled + others)
     assert np.count_nonzero(np.abs(all_of_them).sum(1)) > np.count_nonzero(np.abs(few).sum(1))
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() over some hundred rows with nulls, repeats and copies: every stage as a plain function decides it, on the rows that the stage before it kept."""
+    import corpus_pipeline
+    from lithic.llm.common import table
+
+    r = random.Random(23)
+    fresh = lambda n: " ".join(f"q{r.randrange(10**6)}" for _ in range(n))
+    junk = lambda: " ".join(["spam", "$$$", "click"] * r.randrange(15, 25))
+    passage = fresh(60)
+    rows, labels = [], []
+    for k in range(240):
+        good = k % 3 > 0
+        rows.append((k, f"{fresh(r.randrange(40, 120))}" if good else junk()))
+        labels.append((k, int(good)))
+    base = [t for _, t in rows if t.startswith("q")]
+    rows += [(300 + k, base[k]) for k in range(6)] + [(310 + k, base[k].upper()) for k in range(3)] + [(320, base[10] + " tail"), (321, "head " + base[11]), (None, base[12]), (None, fresh(70)), (7, fresh(50)), (330, None), (331, "")]
+    rows += [(340 + k, f"{fresh(30)} {passage} {fresh(10)}") for k in range(4)] + [(None, f"{fresh(30)} {passage}")]
+    data = [(i, t, "en" if i is None or i % 2 else None, None if i == 5 else f"s{(i or 0) % 9}", None if t is None else len(t)) for i, t in rows]
+    spark.createDataFrame(data, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = str(tmp_path)
+    scored = quality_classifier.quality_classifier(table(spark, d, "documents"), table(spark, d, "labels"))
+    verdict = {}
+    for x in scored.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").collect():
+        verdict.setdefault((x.doc_id, x.text), set()).add(x.predicted)
+    kept = [x for x in corpus_pipeline.quality(spark, table(spark, d, "documents"), d).collect()]
+    junk_ids = {i for i, t in rows if t and t.startswith("spam")}
+    assert not junk_ids & {x.doc_id for x in kept} and len(kept) >= len(rows) - len(junk_ids) - 2
+    # exact: of equal texts the largest id; a row without an id only where no other has the text
+    groups = {}
+    for x in kept:
+        groups.setdefault(lower(x.text or ""), []).append((x.doc_id, x.text))
+    exact = []
+    for copies in groups.values():
+        ids = [i for i, _ in copies if i is not None]
+        exact += [(max(ids), t) for i, t in copies if i == max(ids)][:1] if ids else copies[:1]
+    # near: five-word Jaccard of 0.8, the smallest id of a group
+    sets = [five_words(t) for _, t in exact]
+    links = {(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    tree, near = least_reachable(len(sets), links), {}
+    for k, row in enumerate(exact):
+        near.setdefault(tree[k], []).append(row)
+    near = [min(g, key=lambda x: (x[0] is None, x[0] or 0)) for g in near.values()]
+    # substring: words under a window of 35 words that begins twice
+    seen = Counter(tuple(w[k : k + 35]) for _, t in near for w in [words(t or "")] for k in range(len(w) - 34))
+    want = Counter()
+    for i, t in near:
+        w = words(t or "")
+        gone = {j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
+        want[i] += len(w) - len(gone)
+    out = corpus_pipeline.run(spark, d).collect()
+    got_words, bins = Counter(), {}
+    for x in out:
+        got_words[x.doc_id] += x.n_words
+        bins.setdefault(x.bin_id, []).append(x)
+    assert got_words == want and len({x.doc_id for x in out}) == len({i for i, _ in near})
+    assert all(sum(x.n_words for x in b) <= 2048 and len({x.source for x in b}) == len(b) for b in bins.values())
+    assert not any(passage in (x.text or "") for x in corpus_pipeline.substring(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in near], SCHEMA), d).collect())
+
+
+def test_pipeline_over_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_quality_held_out_over_real_labels(spark):
+    """Held-out accuracy on the labelled rows that teach nothing."""
+    d = "/root/testdata/sf0.01"
+    out = quality_classifier.quality_classifier(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).where("held_out")
+    rows = out.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    assert len(rows) >= 50 and sum(r.predicted == r.quality for r in rows) >= 0.95 * len(rows)
+
+
+def test_quality_rules_llr_against_brute_force(docs):
+    """llr and kept from counts made in plain Python with the same hashes."""
+    spark, buckets = docs.sparkSession, 512
+    trusted = docs.where("doc_id > 16").select("doc_id")
+    out = quality_rules.quality_rules(docs, trusted, buckets=buckets).collect()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
+    every_word = sorted({w for r in rows for w in words(r.text)})
+    h = {w: x for w, x in zip(every_word, [r.h for r in spark.createDataFrame([(k, w.decode()) for k, w in enumerate(every_word)], "k long, w string").orderBy("k").select(F.xxhash64("w").alias("h")).collect()])}
+    pairs = sorted({p for r in rows for p in zip(words(r.text), words(r.text)[1:])})
+    both = spark.createDataFrame([(k, h[a], h[b]) for k, (a, b) in enumerate(pairs)], "k long, a long, b long").orderBy("k").select(F.xxhash64("a", "b").alias("h")).collect()
+    h2 = {p: x.h for p, x in zip(pairs, both)}
+    grams = lambda t: [h[w] % buckets for w in words(t)] + [h2[p] % buckets for p in zip(words(t), words(t)[1:])]
+    ids = {r.doc_id for r in trusted.collect()}
+    fit = {r.doc_id: r.f for r in trusted.distinct().select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(64)) < 32).alias("f")).collect()}
+    raw, target = Counter(), Counter()
+    for r in rows:
+        raw.update(grams(r.text))
+        if r.doc_id in ids and fit[r.doc_id]:
+            target.update(grams(r.text))
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    ratio = lambda b: math.log(0.5 + 0.5 * target[b] / n_target / ((raw[b] + 1) / (n_raw + buckets)))
+    score = lambda t: sum(map(ratio, grams(t))) / len(grams(t)) if grams(t) else 0.0
+    got_scores, want_scores = sorted((repr(r.doc_id), r.n_words, round(r.llr, 9)) for r in out), sorted((repr(r.doc_id), len(words(r.text)), round(score(r.text), 9)) for r in rows)
+    assert got_scores == want_scores
+    held = sorted(score(r.text) for r in rows if r.doc_id in ids and not fit[r.doc_id] and len(words(r.text)) >= 50)
+    least = (float(np.percentile(held, 0.2)) if held else 0.0) - 0.02
+    assert all(r.kept == (not r.base_failed and r.llr >= least) for r in out if abs(r.llr - least) > 1e-9)
+
+
+def test_repeated_rows_are_each_returned(spark):
+    page = [(1, "u", f"<article><p>{ARTICLE}</p></article>")] * 3 + [(None, None, None)] * 2
+    assert sorted(x.n_chars for x in html_text.html_main_text(spark.createDataFrame(page, "page_id long, url string, html string")).collect()) == [0, 0, len(ARTICLE), len(ARTICLE), len(ARTICLE)]
+    rows = [(k % 4, f"text {k % 4} again and again") for k in range(12)]
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    assert quality_classifier.quality_classifier(spark.createDataFrame(rows, "doc_id long, text string"), labels).count() == 12
+
+
+def test_very_long_texts(spark):
+    """200,000 words in one text: nothing is read only in part."""
+    r = random.Random(3)
+    long = " ".join(f"l{r.randrange(5000)}" for _ in range(200_000))
+    df = spark.createDataFrame([(1, long), (2, "short one")], "doc_id long, text string")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert {x.doc_id: x.n_pretokens for x in token_counts.token_counts(df, path).collect()} == {1: 200_000, 2: 2}
+    parts = token_counts.token_counts(spark.createDataFrame([(k, " ".join(long.split()[k * 50_000 : (k + 1) * 50_000])) for k in range(4)], "doc_id long, text string"), path)
+    assert token_counts.token_counts(df, path).where("doc_id = 1").first().n_tokens == sum(x.n_tokens for x in parts.collect())
+    vectors = quality_classifier.Vectors()
+    assert abs(vectors.pooled([long])[0] - np.mean([vectors.pooled([" ".join(long.split()[k * 8192 : (k + 1) * 8192])])[0] for k in range(24)], axis=0))[:64].max() < 0.05
