@@ -8,8 +8,8 @@ similarity J are missed with a probability of (1 - J**SAMPLE)**FAMILIES at most.
 
 Every candidate is confirmed by the shingle sets themselves. In rounds, each group of candidates has a pivot, and all other
 members that are not yet connected with it are compared with it, as rows of a join; a group whose members are all connected
-is done. What is open after ROUNDS rounds, groups of texts that share samples but are not similar, is compared in one
-task for each connected set of such groups.
+is done. When at most IN_TASKS texts are in open groups, or after ROUNDS rounds, what is open, texts that share samples but
+are not similar, is compared in one task for each connected set of such groups.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -27,15 +28,18 @@ from .common import settled
 from .components import components
 from .simhash import links, majority
 
-FAMILIES, SAMPLE, ROUNDS, CHUNK = 20, 5, 3, 1024
+FAMILIES, SAMPLE, CHUNK = 20, 5, 1024
+#: Rounds at most, and texts in open groups that need no further round.
+ROUNDS, IN_TASKS = 8, 4000
 _RNG = np.random.default_rng(42)
 FACTORS, SHIFTS = _RNG.integers(0, 1 << 31, FAMILIES * SAMPLE, np.uint32) * np.uint32(2) + np.uint32(1), _RNG.integers(0, 1 << 32, FAMILIES * SAMPLE, np.uint32)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """The distinct XXH64 hashes (seed 42), sorted, of the text's n-word shingles; a shorter text is one shingle."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
+def shingles(text: str | bytes | None, n: int) -> np.ndarray:
+    """The distinct XXH64 hashes (seed 42), sorted, of the text's n-word shingles; a shorter text is one shingle. Bytes are a compressed text."""
+    data = zstandard.ZstdDecompressor().decompress(text) if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
+    words = data.lower().split()
     if not words:
         return np.empty(0, np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
@@ -88,6 +92,13 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return out
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, text) with the text compressed: each is read in several exchanges."""
+    z = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        yield batch.set_column(1, "text", pa.array([z.compress((t or "").encode("utf-8", "replace")) for t in batch.column(1).to_pylist()], pa.binary()))
+
+
 def similar(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Of ``pairs`` (a, b), those whose texts (u, text) are similar enough."""
 
@@ -159,19 +170,21 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     close = settled(links(reps.groupBy("fp").agg(F.min("u").alias("rep")), 2, 8))
     some = groups.select("u").union(close.select("a")).union(close.select("b")).distinct()
     some = reps.join(some.withColumnRenamed("u", "w"), F.col("u") == F.col("w"), "left_semi").select("u", F.col("digest").alias("of"))
-    texts = settled(docs.select("digest", "text").join(some, F.col("digest") == F.col("of")).groupBy("u").agg(F.first("text").alias("text")))
-
-    sure, pairs = None, close.select("a", "b")
-    for k in range(ROUNDS):
-        roots = components(sure) if sure is not None else close.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-        open_ = settled(named(groups, roots))
-        pivot = F.col("low" if k == 0 else "high")
-        pairs = pairs.union(open_.where(F.col("root") != pivot["root"]).select(F.greatest("u", pivot["u"]), F.least("u", pivot["u"]))).distinct()
-        found = similar(pairs, texts, shingle, num, den)
-        sure = settled(found if sure is None else sure.union(found))
-        groups, pairs = open_.where(F.col("u") != pivot["u"]).select("key", "u"), pairs.limit(0)
-    left = settled(named(groups, components(sure)).select("key", "u"))
-    sure = settled(sure.union(confirmed_in_tasks(left, texts, shingle, num, den)))
+    texts = settled(docs.select("digest", "text").join(some, F.col("digest") == F.col("of")).groupBy("u").agg(F.first("text").alias("text")).mapInArrow(packed, "u long, text binary"))
+
+    # First every text is compared with one pivot only, the least of its groups': of large sets of copies that settles nearly all groups.
+    pivots = groups.groupBy("key").agg(F.min("u").alias("b")).withColumnRenamed("key", "of")
+    pairs = groups.join(pivots, F.col("key") == F.col("of")).groupBy(F.col("u").alias("a")).agg(F.min("b").alias("b")).where("a <> b")
+    sure = settled(similar(pairs.union(close.select("a", "b")).distinct(), texts, shingle, num, den))
+    for k in range(ROUNDS + 1):
+        open_ = settled(named(groups, components(sure)))
+        if k == ROUNDS or open_.select("u").distinct().count() <= IN_TASKS:
+            break
+        pivot = F.col("high" if k % 2 else "low")
+        pairs = open_.where(F.col("root") != pivot["root"]).select(F.greatest("u", pivot["u"]).alias("a"), F.least("u", pivot["u"]).alias("b")).distinct()
+        sure = settled(sure.union(similar(pairs, texts, shingle, num, den)))
+        groups = open_.where(F.col("u") != pivot["u"]).select("key", "u")
+    sure = settled(sure.union(confirmed_in_tasks(open_.select("key", "u"), texts, shingle, num, den)))
     roots = components(sure)
     named_ = reps.join(roots, F.col("u") == F.col("node"), "left").select("digest", "rep", F.coalesce("root", "u").alias("root"))
     least = named_.groupBy("root").agg(F.min("rep").alias("component_id")).withColumnRenamed("root", "r")

@@ -416,7 +416,11 @@ def least_reachable(n, links):
     return name
 
 
-def test_near_dedup_confirms_by_exact_jaccard(spark):
+@pytest.mark.parametrize(("rounds", "in_tasks"), [(8, 4000), (8, 0), (2, 0), (0, 0)])
+def test_near_dedup_confirms_by_exact_jaccard(spark, monkeypatch, rounds, in_tasks):
+    """Whatever is settled in rounds of joins, and what in tasks."""
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(near_dedup, "IN_TASKS", in_tasks)
     texts = near_copies()
     want = least_reachable(len(texts), exact_links(texts))
     df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)] + [(None, texts[1], 0), (0, "another text of the first id", 0), (None, "no id at all", 0)], "doc_id long, text string, digest int").repartition(3)
