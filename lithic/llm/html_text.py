@@ -349,8 +349,8 @@ def taught(pages: DataFrame, max_pages: int) -> np.ndarray | None:
             yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["x", "y"])
 
     rows = pages.where(F.xxhash64("html") <= last).groupBy(F.xxhash64("html").alias("k")).agg(F.first("html").alias("html")).select("html")
-    got = rows.mapInArrow(each, "x array<double>, y int").orderBy("y", "x").toPandas()
-    return fitted(np.array(got["x"].tolist()), got["y"].to_numpy()) if len(got) else None
+    got = sorted((r.y, r.x) for r in rows.mapInArrow(each, "x array<double>, y int").collect())  # at most max_pages * MAX_BLOCKS rows
+    return fitted(np.array([x for _, x in got]), np.array([y for y, _ in got])) if got else None
 
 
 def html_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_pages: int = MAX_PAGES) -> DataFrame:
