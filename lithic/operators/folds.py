@@ -151,8 +151,22 @@ def column_lives(columns: DataFrame) -> DataFrame:
     return ends.select("table", "column", "action", F.col("pos").alias("born"), F.lead("pos").over(w).alias("died")).where("action = 'ADD'").drop("action")
 
 
-def as_of(points: DataFrame, changes: DataFrame, key: str, value: str) -> DataFrame:
-    """ACL-7, JN-9. For each point (key, pos) the value of the latest change (key, pos, value) before it, by one ordered pass over both."""
+def as_of(points: DataFrame, changes: DataFrame, key: str, value: str, buckets: int = 64) -> DataFrame:
+    """ACL-7, JN-9. For each point (key, pos) the value of the latest change (key, pos, value) before it; changes without a value are none.
+
+    A key's rows are cut into ``buckets`` by place, so that a key with very many rows is as many tasks' work; each bucket looks
+    back in itself, and to the last change of the buckets before it, of which there is one row for each key and bucket.
+    """
     both = points.select(key, "pos", F.lit(1).alias("is_point"), F.lit(None).alias(value)).unionByName(changes.select(key, "pos", F.lit(0).alias("is_point"), F.col(value)))
-    w = Window.partitionBy(key).orderBy("pos", F.col("is_point").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.select(key, "pos", "is_point", F.last(value, ignorenulls=True).over(w).alias(value)).where("is_point = 1").drop("is_point")
+    ends = both.agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    low, high = F.broadcast(ends).select("low").scalar(), F.broadcast(ends).select("high").scalar()  # one row
+    both = both.withColumn("b", F.floor((F.col("pos") - low) * F.lit(float(buckets)) / (high - low + 1)).cast("int"))
+    own = Window.partitionBy(key, "b").orderBy("pos", F.col("is_point").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.select(key, "pos", "b", "is_point", F.last(value, ignorenulls=True).over(own).alias(value)).where("is_point = 1")
+    last = both.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k2"), "b").agg(F.max_by(value, "pos").alias("last"))
+    # A change counts for the buckets after its own, until the key's next bucket with a change.
+    lives = last.select("k2", F.col("b").alias("since"), F.lead("b").over(Window.partitionBy("k2").orderBy("b")).alias("until"), "last")
+    later = F.explode(F.sequence(F.col("since") + 1, F.coalesce("until", F.lit(buckets)))).alias("b2")
+    carried = lives.select("k2", later, "last")
+    joined = found.join(carried, F.col(key).eqNullSafe(F.col("k2")) & (F.col("b") == F.col("b2")), "left")
+    return joined.select(key, "pos", F.coalesce(value, "last").alias(value))
