@@ -30,7 +30,7 @@ from .simhash import links, majority
 
 FAMILIES, SAMPLE, CHUNK = 20, 5, 1024
 #: Rounds at most, and texts in open groups that need no further round.
-ROUNDS, IN_TASKS = 8, 4000
+ROUNDS, IN_TASKS = 4, 4000
 _RNG = np.random.default_rng(42)
 FACTORS, SHIFTS = _RNG.integers(0, 1 << 31, FAMILIES * SAMPLE, np.uint32) * np.uint32(2) + np.uint32(1), _RNG.integers(0, 1 << 32, FAMILIES * SAMPLE, np.uint32)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -120,10 +120,10 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int
 
 
 def named(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """``groups`` (key, u) with each member's root so far, for the groups that have several."""
-    known = groups.join(roots, F.col("u") == F.col("node"), "left").select("key", "u", F.coalesce("root", "u").alias("root"))
-    ends = known.groupBy("key").agg(F.min(F.struct("root", "u")).alias("low"), F.max(F.struct("root", "u")).alias("high")).where("low.root < high.root")
-    return known.join(ends.select(F.col("key").alias("of"), "low", "high"), F.col("key") == F.col("of")).drop("of")
+    """``groups`` (key, u, score) with each member's root so far, for the groups that have several, and the pivot: the member with the highest score."""
+    known = groups.join(roots, F.col("u") == F.col("node"), "left").select("key", "u", "score", F.coalesce("root", "u").alias("root"))
+    ends = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("score", "u", "root")).alias("pivot")).where("low < high")
+    return known.join(ends.select(F.col("key").alias("of"), "pivot"), F.col("key") == F.col("of")).drop("of")
 
 
 def confirmed_in_tasks(groups: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -172,19 +172,24 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     some = reps.join(some.withColumnRenamed("u", "w"), F.col("u") == F.col("w"), "left_semi").select("u", F.col("digest").alias("of"))
     texts = settled(docs.select("digest", "text").join(some, F.col("digest") == F.col("of")).groupBy("u").agg(F.first("text").alias("text")).mapInArrow(packed, "u long, text binary"))
 
-    # First every text is compared with one pivot only, the least of its groups': of large sets of copies that settles nearly all groups.
-    pivots = groups.groupBy("key").agg(F.min("u").alias("b")).withColumnRenamed("key", "of")
-    pairs = groups.join(pivots, F.col("key") == F.col("of")).groupBy(F.col("u").alias("a")).agg(F.min("b").alias("b")).where("a <> b")
+    # A member's score is how many texts it meets in its groups: what copies were made of meets more of them than a copy does.
+    size = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "of")
+    score = groups.join(size, F.col("key") == F.col("of")).groupBy(F.col("u").alias("w")).agg(F.sum("n").alias("score"))
+    groups = settled(groups.join(score, F.col("u") == F.col("w")).select("key", "u", "score"))
+    # First every text is compared with one pivot only, the highest of its groups': of large sets of copies that settles nearly all groups.
+    pivots = groups.groupBy("key").agg(F.max(F.struct("score", "u")).alias("pivot")).withColumnRenamed("key", "of")
+    pairs = groups.join(pivots, F.col("key") == F.col("of")).groupBy(F.col("u").alias("a")).agg(F.max("pivot").alias("pivot")).select("a", F.col("pivot.u").alias("b")).where("a <> b")
     sure = settled(similar(pairs.union(close.select("a", "b")).distinct(), texts, shingle, num, den))
     for k in range(ROUNDS + 1):
-        open_ = settled(named(groups, components(sure)))
+        roots = components(sure)
+        open_ = settled(named(groups, roots))
+        sure = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # as good as all links so far
         if k == ROUNDS or open_.select("u").distinct().count() <= IN_TASKS:
             break
-        pivot = F.col("high" if k % 2 else "low")
-        pairs = open_.where(F.col("root") != pivot["root"]).select(F.greatest("u", pivot["u"]).alias("a"), F.least("u", pivot["u"]).alias("b")).distinct()
-        sure = settled(sure.union(similar(pairs, texts, shingle, num, den)))
-        groups = open_.where(F.col("u") != pivot["u"]).select("key", "u")
-    sure = settled(sure.union(confirmed_in_tasks(open_.select("key", "u"), texts, shingle, num, den)))
+        pairs = open_.where(F.col("root") != F.col("pivot.root")).select(F.col("u").alias("a"), F.col("pivot.u").alias("b")).distinct()
+        sure = settled(sure.union(similar(pairs, texts, shingle, num, den)).distinct())
+        groups = open_.where(F.col("u") != F.col("pivot.u")).select("key", "u", "score")
+    sure = sure.union(confirmed_in_tasks(open_.select("key", "u"), texts, shingle, num, den))
     roots = components(sure)
     named_ = reps.join(roots, F.col("u") == F.col("node"), "left").select("digest", "rep", F.coalesce("root", "u").alias("root"))
     least = named_.groupBy("root").agg(F.min("rep").alias("component_id")).withColumnRenamed("root", "r")
