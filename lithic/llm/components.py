@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, tidied
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -22,8 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = settled(edges)
-    before, now = None, _signature(edges)
+    before, now, rounds = None, _signature(edges), 0
     while before != now and now[0]:
+        rounds += 1
+        if rounds % 3 == 0:
+            tidied(edges.sparkSession)  # a round has six exchanges
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import settled
+from .common import settled, tidied
 from .components import components
 from .simhash import links, majority
 
@@ -147,7 +147,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     keeps its row and never names a component, unless its component has no other: then component_id is null. Repeated rows are
     each returned. No rows: no rows. Other columns are ignored, whatever their names.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    spark, text = df.sparkSession, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +172,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     some = reps.join(some.withColumnRenamed("u", "w"), F.col("u") == F.col("w"), "left_semi").select("u", F.col("digest").alias("of"))
     texts = settled(docs.select("digest", "text").join(some, F.col("digest") == F.col("of")).groupBy("u").agg(F.first("text").alias("text")).mapInArrow(packed, "u long, text binary"))
 
+    tidied(spark)
     # A member's score is how many texts it meets in its groups: what copies were made of meets more of them than a copy does.
     size = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "of")
     score = groups.join(size, F.col("key") == F.col("of")).groupBy(F.col("u").alias("w")).agg(F.sum("n").alias("score"))
@@ -184,6 +185,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         roots = components(sure)
         open_ = settled(named(groups, roots))
         sure = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # as good as all links so far
+        tidied(spark)
         if k == ROUNDS or open_.select("u").distinct().count() <= IN_TASKS:
             break
         pairs = open_.where(F.col("root") != F.col("pivot.root")).select(F.col("u").alias("a"), F.col("pivot.u").alias("b")).distinct()
@@ -191,6 +193,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         groups = open_.where(F.col("u") != F.col("pivot.u")).select("key", "u", "score")
     sure = sure.union(confirmed_in_tasks(open_.select("key", "u"), texts, shingle, num, den))
     roots = components(sure)
+    tidied(spark)
     named_ = reps.join(roots, F.col("u") == F.col("node"), "left").select("digest", "rep", F.coalesce("root", "u").alias("root"))
     least = named_.groupBy("root").agg(F.min("rep").alias("component_id")).withColumnRenamed("root", "r")
     found = named_.join(least, F.col("root") == F.col("r")).select(F.col("digest").alias("of"), "component_id")
