@@ -144,8 +144,8 @@ def consolidate(log: DataFrame, level: str = "standard", rules: list[Rule] | Reg
     for r in (rules if isinstance(rules, Registry) else Registry(rules)).chosen(level):
         name, made = name.when(r.when(), F.lit(r.name)), made.when(r.when(), r.build())
     at = F.get("events", F.greatest(F.col("chosen"), F.lit(1)) - 1)["pos"]
-    out = facts.select("k", "category", "object_type", "schema", "object_name", name.alias("rule"), F.size("events").alias("n_before"), made.alias("made"), at.alias("pos"))
-    return out.where(F.size("made") > 0).select("k", "category", "object_type", "schema", "object_name", "rule", "n_before", F.size("made").alias("n_after"), F.array_join("made", ";\n").alias("sql"), "pos")
+    out = facts.select("k", "category", "object_type", "schema", "object_name", name.alias("rule"), F.size("events").cast("long").alias("n_before"), made.alias("made"), at.alias("pos"))
+    return out.where(F.size("made") > 0).select("k", "category", "object_type", "schema", "object_name", "rule", "n_before", F.size("made").cast("long").alias("n_after"), F.array_join("made", ";\n").alias("sql"), "pos")
 
 
 def _sound(results: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ s AS (SELECT *, regexp_replace(name, '_(enum|type|status)$', '') AS stem FROM e)
 P.frame("duplicate_enums", lambda files: evolution.similar_enums(evolution.enums(lifecycle.typed(parse.statement_log(files)))), (ENUMS,), f"WITH {E_ROWS} SELECT * FROM p")
 P.frame("merged_enums", lambda files: evolution.merged_enums(lifecycle.typed(parse.statement_log(files)), "aggressive"), (ENUMS,), f"WITH {E_ROWS} SELECT *, TRUE AS done FROM p")
 EXTENSIONS = "SELECT CASE n_nationkey WHEN 1 THEN 'postgis' WHEN 2 THEN 'pgcrypto' WHEN 3 THEN 'cube' ELSE lower(n_name) END AS extension FROM {nation}"
-P.frame("extension_order", extras.extension_order, (EXTENSIONS,), f"SELECT extension, CASE extension WHEN 'postgis' THEN 3 WHEN 'pgcrypto' THEN 8 WHEN 'cube' THEN 1 ELSE 1000 END AS place FROM ({EXTENSIONS})")
+P.frame("extension_order", extras.extension_order, (EXTENSIONS,), f"SELECT extension, CAST(CASE extension WHEN 'postgis' THEN 3 WHEN 'pgcrypto' THEN 8 WHEN 'cube' THEN 1 ELSE 1000 END AS BIGINT) AS place FROM ({EXTENSIONS})")
 P.frame("consolidation", lambda log: rules.consolidate(log).select("k", "rule", "n_before"), oracle="""
 WITH g AS (SELECT k, user_id, max(pos) AS gone_at FROM {log} WHERE op IN ('CREATE', 'DROP') AND object_type = 'TABLE' GROUP BY k, user_id HAVING arg_max(op, pos) = 'DROP'),
 l AS (SELECT l.* FROM {log} l LEFT JOIN g ON l.k = g.k WHERE NOT is_data AND (g.k IS NULL OR l.pos > gone_at)),

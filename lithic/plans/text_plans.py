@@ -70,7 +70,7 @@ SELECT publication, 'app.s_' || s AS "table", min(pos) AS pos FROM m GROUP BY AL
 SAYS = """SELECT s_suppkey AS id, CASE s_suppkey % 10 WHEN 0 THEN 'CREATE EXTENSION IF NOT EXISTS "uuid-ossp"' WHEN 1 THEN 'SELECT earth_distance(a, b)' WHEN 2 THEN 'SELECT crypt(a, b), auth.uid() FROM auth.users' WHEN 3 THEN 'SELECT first_name, cost_center FROM t'
   WHEN 4 THEN 'SELECT clerk_user_id(), auth.uid()' WHEN 5 THEN 'ALTER TABLE a OWNER TO b' WHEN 6 THEN 'ALTER TABLE a DROP CONSTRAINT c' WHEN 7 THEN 'ALTER TABLE a ADD COLUMN d varchar(191)' WHEN 8 THEN 'INSERT INTO _prisma_migrations VALUES (1)' ELSE 'SELECT st_area(g)' END AS sql FROM {supplier}"""
 P.frame("required_extensions", extras.required_extensions, (SAYS,), """
-WITH k AS (SELECT DISTINCT s_suppkey % 10 AS k FROM {supplier}) SELECT e.name AS extension, e.place FROM k JOIN (VALUES (0, 'uuid-ossp', 4), (1, 'earthdistance', 2), (1, 'cube', 1), (2, 'pgcrypto', 8), (9, 'postgis', 3)) e(k, name, place) ON k.k = e.k""")
+WITH k AS (SELECT DISTINCT s_suppkey % 10 AS k FROM {supplier}) SELECT e.name AS extension, CAST(e.place AS BIGINT) AS place FROM k JOIN (VALUES (0, 'uuid-ossp', 4), (1, 'earthdistance', 2), (1, 'cube', 1), (2, 'pgcrypto', 8), (9, 'postgis', 3)) e(k, name, place) ON k.k = e.k""")
 P.frame("auth_service", lambda s: s.select("id", extras.auth_service(F.col("sql")).alias("service")), (SAYS,), "SELECT s_suppkey AS id, CASE s_suppkey % 10 WHEN 4 THEN 'clerk' WHEN 2 THEN 'supabase' ELSE 'none' END AS service FROM {supplier}")
 P.frame("separate_alters", extras.separate_alters, (SAYS,), "SELECT s_suppkey AS id, CASE s_suppkey % 10 WHEN 5 THEN 'OWNER' ELSE 'CONSTRAINT' END AS reasons FROM {supplier} WHERE s_suppkey % 10 IN (5, 6)")
 P.frame("plugin_detection", plugins.detected, (SAYS,), """
