@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
-from .components import components
+from .components import Forest, components
 
 FANOUT, CHUNK = 16, 1 << 16
 
@@ -74,22 +74,6 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-class Forest:
-    """Connected indices, each tree known by its smallest."""
-
-    def __init__(self, n: int) -> None:
-        self.root = np.arange(n)
-
-    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            x, y = self.root[a], self.root[b]
-            if not (apart := x != y).any():
-                return
-            np.minimum.at(self.root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
-            while ((up := self.root[self.root]) != self.root).any():
-                self.root = up
-
-
 class GrayIndex:
     """The inner levels over codes sorted by (group, Gray rank). Level 0 are the codes; a node never spans two groups."""
 
@@ -211,6 +195,6 @@ def simhash_neardup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = settled(fingerprints(df, id_col, text_col, shingle))
     reps = rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"))
-    roots = components(links(reps, max_distance, blocks))
+    roots = components(settled(links(reps, max_distance, blocks)))
     found = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "rep").alias("component_id"))
     return rows.join(found, F.col("fp") == F.col("of"), "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
