@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import heapq
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.sources.checkpoints import settled
+from lithic.sources.checkpoints import keyed, settled
+
+#: Fixed value: up to so many edges are followed in memory by every task (16 MB of whole keys, sent by way of the driver); more go by rounds of joins.
+IN_MEMORY = 2**20
 
 
 def edge_set(edges: DataFrame) -> DataFrame:
@@ -16,12 +22,51 @@ def edge_set(edges: DataFrame) -> DataFrame:
 
 
 def reachability(edges: DataFrame) -> DataFrame:
-    """GR-3. All (src, dst) with a path. Each round joins paths with paths, so the rounds grow with the logarithm of the longest."""
+    """GR-3. All (src, dst) with a path. Sources are dealt out, and each is followed through the edges: pairs are made where they are handed on, and never exchanged."""
     paths = settled(edge_set(edges))
+    return _followed(paths) if paths.count() <= IN_MEMORY else _joined(paths)
+
+
+def _followed(edges: DataFrame) -> DataFrame:
+    """Reachability with all edges in every task; a task keeps one mark a node, and the pairs of one source."""
+    table = edges.toArrow()
+    names = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks], table["src"].type).combine_chunks().dictionary_encode()
+    codes, names, n = names.indices, names.dictionary, table.num_rows
+    sources = edges.select("src").distinct().repartition(4 * edges.sparkSession.sparkContext.defaultParallelism)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to: dict = {}
+        for a, b in zip(codes[:n].to_pylist(), codes[n:].to_pylist(), strict=True):
+            to.setdefault(a, []).append(b)
+        seen, code = [-1] * len(names), {v: k for k, v in enumerate(names.to_pylist())}
+        made = lambda src, dst: pa.record_batch([names.take(pa.array(src, pa.int64())), names.take(pa.array(dst, pa.int64()))], ["src", "dst"])
+        src, dst = [], []
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                s = code[value]
+                todo, first = [s], len(dst)
+                while todo:
+                    for y in to.get(todo.pop(), ()):
+                        if seen[y] != s:
+                            seen[y] = s
+                            dst.append(y)
+                            todo.append(y)
+                src += [s] * (len(dst) - first)
+                if len(dst) > 2**16:
+                    yield made(src, dst)
+                    src, dst = [], []
+        yield made(src, dst)
+
+    return sources.mapInArrow(each, edges.schema)
+
+
+def _joined(paths: DataFrame) -> DataFrame:
+    """Reachability by rounds: paths of up to n steps, and walks of n steps that carry them on, where n doubles. The rounds grow with the logarithm of the longest path, and each path meets only the walks of one length."""
+    walks, via = paths, lambda df: keyed(df.select(F.col("src").alias("via"), F.col("dst").alias("end")))
+    further = lambda df: df.join(via(walks), F.col("dst") == F.col("via")).select("src", F.col("end").alias("dst"))
     before, now = -1, paths.count()
     while before != now:
-        longer = paths.select("src", F.col("dst").alias("via")).join(paths.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
-        paths = settled(paths.union(longer).distinct())
+        paths, walks = settled(paths.union(further(paths)).distinct()), settled(further(walks).distinct())
         before, now = now, paths.count()
     return paths
 

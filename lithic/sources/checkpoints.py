@@ -17,3 +17,8 @@ def settled(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lithic-checkpoints-"))
     return df.checkpoint()
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """``df`` as the other side of a join by key, both sides sorted. The planner takes rows parsed from texts for no larger than the compressed files they come from, and would send millions of them to every task by way of the driver."""
+    return df.hint("merge")
