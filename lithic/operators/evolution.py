@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from lithic.functions import ddl
+from lithic.functions.shapes import shaped
 from lithic.functions.sqltext import identifier, plain, qualified, split_list
+from lithic.sources.checkpoints import keyed
 
 
 def column_events(log: DataFrame) -> DataFrame:
@@ -66,43 +68,46 @@ def net_rls(statements: list[str]) -> list[str]:
     return out
 
 
-def keys(log: DataFrame) -> DataFrame:
-    """JN-5. (kind, table, columns, ref_table, ref_columns, pos) of foreign keys, unique constraints, primary keys and unique indexes; columns in order, joined by commas."""
-
-    def of(text: str, table: str) -> tuple | None:
-        import re
+@shaped
+def statement_keys(sql: str) -> list[tuple[str, str, str, str, str]]:
+    """JN-5. (kind, table, columns, ref_table, ref_columns) of the keys that one statement makes; no table where it is the statement's own."""
+    import re
 
+    def of(text: str) -> tuple | None:
         if m := re.search(rf"\bFOREIGN KEY ?\(([^)]*)\) ?REFERENCES {ddl.QUALIFIED}(?: ?\(([^)]*)\))?", text, re.I):
-            return "FOREIGN", table, m[1], m[2], m[3] or ""
+            return "FOREIGN", "", m[1], m[2], m[3] or ""
         if m := re.search(r"\b(PRIMARY KEY|UNIQUE)(?: NULLS NOT DISTINCT)? ?\(([^)]*)\)", text, re.I):
-            return "PRIMARY" if m[1].upper() != "UNIQUE" else "UNIQUE", table, m[2], "", ""
+            return "PRIMARY" if m[1].upper() != "UNIQUE" else "UNIQUE", "", m[2], "", ""
         return None
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
+    found = []
+    if made := ddl.parse_create(sql):
+        for e in made.elements:
+            if e.kind == "constraint":
+                found.append(of(e.text))
+            elif e.kind == "column":
+                if m := re.search(rf"\bREFERENCES {ddl.QUALIFIED}(?: ?\(([^)]*)\))?", e.text, re.I):
+                    found.append(("FOREIGN", "", e.name, m[1], m[2] or ""))
+                if m := ddl.outside(e.text, r"\b(PRIMARY KEY|UNIQUE)\b"):
+                    found.append(("PRIMARY" if m[1].upper() != "UNIQUE" else "UNIQUE", "", e.name, "", ""))
+    elif m := re.match(rf"CREATE UNIQUE INDEX .*?\bON (?:ONLY )?{ddl.QUALIFIED}(?: USING \w+)? ?\(([^()]*)\)$", plain(sql), re.I):
+        schema, name = qualified(m[1])
+        found.append(("UNIQUE", f"{schema or 'public'}.{name}", m[2], "", ""))
+    else:
+        found += [of(a["text"]) for a in ddl.actions(sql)[1] if a["kind"] == "ADD_CONSTRAINT"]
+    names = lambda x: ",".join(identifier(c) for c in split_list(x))
+    full = lambda x: "{}.{}".format(*(p or "public" for p in qualified(x))) if x else ""
+    return [(kind, t, names(cols), full(ref), names(ref_cols)) for kind, t, cols, ref, ref_cols in filter(None, found)]
+
 
+def keys(log: DataFrame) -> DataFrame:
+    """JN-5. (kind, table, columns, ref_table, ref_columns, pos) of foreign keys, unique constraints, primary keys and unique indexes; columns in order, joined by commas."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for pos, table, sql in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                found = []
-                if made := ddl.parse_create(sql):
-                    for e in made.elements:
-                        if e.kind == "constraint":
-                            found.append(of(e.text, table))
-                        elif e.kind == "column":
-                            if m := re.search(rf"\bREFERENCES {ddl.QUALIFIED}(?: ?\(([^)]*)\))?", e.text, re.I):
-                                found.append(("FOREIGN", table, e.name, m[1], m[2] or ""))
-                            if m := ddl.outside(e.text, r"\b(PRIMARY KEY|UNIQUE)\b"):
-                                found.append(("PRIMARY" if m[1].upper() != "UNIQUE" else "UNIQUE", table, e.name, "", ""))
-                elif m := re.match(rf"CREATE UNIQUE INDEX .*?\bON (?:ONLY )?{ddl.QUALIFIED}(?: USING \w+)? ?\(([^()]*)\)$", plain(sql), re.I):
-                    schema, name = qualified(m[1])
-                    found.append(("UNIQUE", f"{schema or 'public'}.{name}", m[2], "", ""))
-                else:
-                    found += [of(a["text"], table) for a in ddl.actions(sql)[1] if a["kind"] == "ADD_CONSTRAINT"]
-                for kind, t, cols, ref, ref_cols in filter(None, found):
-                    names = lambda x: ",".join(identifier(c) for c in split_list(x))
-                    schema, name = qualified(ref) if ref else ("", "")
-                    rows.append((kind, t, names(cols), f"{schema or 'public'}.{name}" if ref else "", names(ref_cols), pos))
+                rows += [(kind, t or table, *names, pos) for kind, t, *names in statement_keys(sql)]
             kinds = (*[pa.string()] * 5, pa.int64())
             yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["kind", "table", "columns", "ref_table", "ref_columns", "pos"])
 
@@ -119,14 +124,14 @@ def unique_targets(all_keys: DataFrame) -> DataFrame:
     fks = all_keys.where("kind = 'FOREIGN'").select("table", "columns", "ref_table", "ref_columns").distinct()
     unique = all_keys.where("kind <> 'FOREIGN'").select(F.col("table").alias("u"), ordered(F.col("columns")).alias("uc"), "kind").distinct()
     fits = (F.col("ref_table") == F.col("u")) & F.when(F.col("ref_columns") == "", F.col("kind") == "PRIMARY").otherwise(ordered(F.col("ref_columns")) == F.col("uc"))
-    return fks.join(unique, fits, "left").groupBy("table", "columns", "ref_table", "ref_columns").agg(F.count("u").alias("targets"))
+    return fks.join(keyed(unique), fits, "left").groupBy("table", "columns", "ref_table", "ref_columns").agg(F.count("u").alias("targets"))
 
 
 def enums(log: DataFrame) -> DataFrame:
     """AGG-10, TYP-6. (k, schema, name, pos, labels) of the enums that exist in the end, their labels in order of creation."""
     made = log.where("op = 'CREATE' AND object_type = 'ENUM'").select("k", "schema", "name", "pos", F.regexp_extract_all("sql", F.lit(r"'((?:[^']|'')*)'"), 1).alias("labels"))
     ends = log.where("object_type IN ('ENUM', 'TYPE') AND op IN ('CREATE', 'DROP')").groupBy(F.col("k").alias("e")).agg(F.max("pos").alias("end"))
-    return made.join(ends, (F.col("k") == F.col("e")) & (F.col("pos") == F.col("end"))).select("k", "schema", "name", "pos", "labels")
+    return made.join(keyed(ends), (F.col("k") == F.col("e")) & (F.col("pos") == F.col("end"))).select("k", "schema", "name", "pos", "labels")
 
 
 def enum_alters(log: DataFrame) -> DataFrame:

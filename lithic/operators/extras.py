@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithic.functions.ddl import actions
+from lithic.functions.shapes import shaped
 from lithic.functions.sqltext import classify, plain
 
 # What points to an extension, what an extension needs, and the order of extensions in a result.
@@ -152,6 +153,7 @@ def transaction_groups(log: DataFrame) -> DataFrame:
     return log.groupBy("k").agg(F.count(F.lit(1)).alias("n"), (F.count_if("no_txn") + F.max((~F.col("no_txn")).cast("long"))).alias("transactions")).where("n > 2")
 
 
+@shaped
 def rollback_statement(sql: str) -> str | None:
     """ANC-9. What takes a statement back, where that can be told from its text."""
     flat = plain(sql)

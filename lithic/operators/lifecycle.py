@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithic.sources.checkpoints import keyed
+
 #: Fixed value: risk levels from low to high.
 RISKS = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 
@@ -147,7 +149,7 @@ def net_permissions(given: DataFrame) -> DataFrame:
     """AGG-8. Of permissions(): what is granted and not taken back later: (k, grantee, privilege, pos). CREATE and DROP take back all before them."""
     reset = given.where(F.col("op").isin("CREATE", "DROP")).groupBy("k").agg(F.max("pos").alias("reset"))
     last = given.where(F.col("op").isin("GRANT", "REVOKE")).groupBy("k", "grantee", "privilege").agg(F.max("pos").alias("pos"), F.max_by("op", "pos").alias("op"))
-    return last.join(reset, "k", "left").where(at("GRANT") & (F.col("reset").isNull() | (F.col("pos") > F.col("reset")))).select("k", "grantee", "privilege", "pos")
+    return last.join(keyed(reset), "k", "left").where(at("GRANT") & (F.col("reset").isNull() | (F.col("pos") > F.col("reset")))).select("k", "grantee", "privilege", "pos")
 
 
 def history_positions(log: DataFrame) -> DataFrame:
@@ -210,7 +212,7 @@ def validation_metrics(runs: DataFrame) -> DataFrame:
 def compacted(log: DataFrame, threshold: int = 100) -> DataFrame:
     """AGG-14. The log with histories of more than ``threshold`` statements cut to their first and last, as under memory pressure. Lossy: nothing here asks for it."""
     ends = log.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    return log.join(ends, "k").where((F.col("n") <= threshold) | F.col("pos").isin(F.col("first"), F.col("last"))).select(log.columns)
+    return log.join(keyed(ends), "k").where((F.col("n") <= threshold) | F.col("pos").isin(F.col("first"), F.col("last"))).select(log.columns)
 
 
 def ddl_cycles(log: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithic.functions.shapes import shaped
 from lithic.functions.sqltext import classify, singles, split_statements, static_ddl, uses
 
 from .lint import duration_class, lock_level, no_transaction, version_gate
@@ -19,6 +20,18 @@ SCHEMA = (
 ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
 
+@shaped
+def statements(content: str) -> list[tuple]:
+    """A text's statements in the order of SCHEMA from stmt_idx on, with all that stands before one in place of its offset."""
+    fields = [f.split()[0] for f in SCHEMA.split(", ")[6:]]
+    out = []
+    for k, s in enumerate(split_statements(content)):
+        for part, one in enumerate(singles(s["sql"])):
+            row = {**s, "sql": one, **classify(one), "uses": uses(one)}
+            out.append((k, part, s["line"], content[: s["offset"]], *(row[f] for f in fields)))
+    return out
+
+
 def statement_log(files: DataFrame) -> DataFrame:
     """PRJ-1..18 over (seq, filename, content): the log with locks, transaction needs and pragmas as a metadata struct.
 
@@ -29,12 +42,16 @@ def statement_log(files: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for seq, filename, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for k, s in enumerate(split_statements(content or "")):
-                    for part, one in enumerate(singles(s["sql"])):
-                        rows.append({"seq": seq, "filename": filename, "stmt_idx": k, "part": part, **s, "sql": one, **classify(one), "uses": uses(one)})
-            yield pa.record_batch([pa.array([r[n] for r in rows], ARROW[t]) for n, t in names], [n for n, _ in names])
+            rows, places = [], []
+            for k, content in enumerate(batch.column(2).to_pylist()):
+                found = statements(content or "")
+                rows += found
+                places += [k] * len(found)
+            columns = list(zip(*rows, strict=True)) or [()] * (len(names) - 2)
+            columns[3] = [len(before) for before in columns[3]]
+            at = pa.array(places, pa.int64())
+            made = [pa.array(c, ARROW[t]) for c, (_, t) in zip(columns, names[2:], strict=True)]
+            yield pa.record_batch([batch.column(0).take(at).cast(pa.int64()), batch.column(1).take(at).cast(pa.string()), *made], [n for n, _ in names])
 
     log = files.select("seq", "filename", "content").mapInArrow(each, SCHEMA)
     upper = F.upper("sql")

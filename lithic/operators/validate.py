@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithic.functions import ddl
+from lithic.functions.shapes import shaped
 from lithic.functions.sqltext import plain, tokens
 from lithic.sources import catalog
+from lithic.sources.checkpoints import keyed
 
 from . import dependencies, diff, evolution, lint
 
@@ -43,9 +45,10 @@ def modernise(log: DataFrame, transforms: tuple[str, ...] = ("volatility", "usin
     """ANC-3. (k, pos, sql) of the statements that modernised() changes, by an Arrow-batched map."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new_text = shaped(lambda s: modernised(s, transforms))
         for batch in batches:
             old = batch.column(2).to_pylist()
-            new = [modernised(s, transforms) for s in old]
+            new = [new_text(s) for s in old]
             keep = pa.array([a != b for a, b in zip(old, new, strict=True)], pa.bool_())
             yield batch.set_column(2, "sql", pa.array(new, pa.string())).filter(keep)
 
@@ -64,15 +67,15 @@ def structure(log: DataFrame) -> DataFrame:
     keys = evolution.keys(log)
     made = log.where("op = 'CREATE' AND object_type = 'TABLE'").select("k", F.concat("schema", F.lit("."), "name").alias("full")).distinct()
     primary = keys.where("kind = 'PRIMARY'").select(F.col("table").alias("full")).distinct()
-    no_key = made.join(primary, "full", "left_anti").select("k", F.lit("NO_PRIMARY_KEY").alias("finding"))
+    no_key = made.join(keyed(primary), "full", "left_anti").select("k", F.lit("NO_PRIMARY_KEY").alias("finding"))
     first = lambda c: F.split(c, ",")[0]
     on = F.get("dependencies", F.lit(0))
     indexed = log.where("op = 'CREATE' AND object_type = 'INDEX'").select(
         F.when(F.contains(on, F.lit(".")), on).otherwise(F.concat(F.lit("public."), on)).alias("full"), F.lower(F.regexp_extract("sql", r'(?is)\bON\s+[^(]*\(\s*"?([\w$]+)', 1)).alias("c")
     )
     indexed = indexed.union(keys.where("kind <> 'FOREIGN'").select("table", first(F.col("columns")))).distinct()
-    bare = keys.where("kind = 'FOREIGN'").select(F.col("table").alias("full"), first(F.col("columns")).alias("c")).distinct().join(indexed, ["full", "c"], "left_anti").select("full").distinct()
-    no_index = bare.join(made, "full").select("k", F.lit("FOREIGN_KEY_WITHOUT_INDEX"))
+    bare = keys.where("kind = 'FOREIGN'").select(F.col("table").alias("full"), first(F.col("columns")).alias("c")).distinct().join(keyed(indexed), ["full", "c"], "left_anti").select("full").distinct()
+    no_index = bare.join(keyed(made), "full").select("k", F.lit("FOREIGN_KEY_WITHOUT_INDEX"))
     n = F.col("name")
     named = log.where("op = 'CREATE' AND object_type <> 'VERBATIM'").select("k", F.explode(F.array_compact(F.array(F.when(F.octet_length(n) > 63, "NAME_TOO_LONG"), F.when(~n.rlike(r"^[a-z_][a-z0-9_$]*$") & (n != ""), "NAME_NEEDS_QUOTES")))))
     lost = log.select("k", F.explode(F.array_compact(F.array(F.when(F.col("sql").rlike(r"(?i)\bCREATE\s+(TEMP|TEMPORARY)\b"), "TEMPORARY"), F.when(F.col("sql").rlike(r"(?i)\bUNLOGGED\b"), "UNLOGGED"), F.when(F.col("object_type") == "DO_BLOCK", "DO_BLOCK")))))

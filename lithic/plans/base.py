@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lithic.sources.checkpoints import settled
+
 from . import histories
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -30,6 +32,11 @@ def frame(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     return spark.sql(for_spark(source if " " in source else f"SELECT * FROM {source}", sf_dir))
 
 
+def once(build: Callable[[DataFrame], DataFrame], *columns: str) -> Callable[[DataFrame], DataFrame]:
+    """``build`` over those columns of a log, written first: what reads a log several times has its texts parsed once."""
+    return lambda log: build(settled(log.select(*columns)))
+
+
 class Plans:
     def __init__(self) -> None:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.operators import evolution, folds, lifecycle, normalize, parse, validate
+from lithic.operators import evolution, folds, lifecycle, normalize, validate
+from lithic.sources.checkpoints import settled
 
-from .base import Plans
+from .base import Plans, once
+from .histories import dealt, parsed
 
 P = Plans()
 
@@ -17,7 +19,7 @@ ENUM_TEXT = """SELECT p_partkey AS seq, 'part' AS filename, concat(CASE WHEN p_p
 
 
 def enum_labels(files: DataFrame) -> DataFrame:
-    log = lifecycle.typed(parse.statement_log(files))
+    log = settled(parsed(files).select("k", "object_type", "op", "pos", "schema", "name", "sql"))
     made = evolution.enums(log).select("k", "labels", F.col("pos").alias("since"))
     alters = evolution.enum_alters(log).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "label", "anchor"))).alias("a"))
     known = alters.join(made, "k", "left").select("k", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), F.filter("a", lambda x: x["pos"] > F.coalesce(F.col("since"), F.lit(-1))).alias("a"))
@@ -28,7 +30,7 @@ P.frame("enum_fold", enum_labels, (ENUM_TEXT,), """
 WITH e AS (SELECT 'app.e_' || lower(replace(p_brand, '#', '_')) || '::TYPE' AS k, 'l' || (p_size % 20) AS label, p_partkey AS pos, p_partkey % 50 = 0 AS anew FROM {part}),
 s AS (SELECT k, max(pos) FILTER (anew) AS since FROM e GROUP BY k), f AS (SELECT e.k, label, min(pos) AS pos, since FROM e JOIN s ON e.k = s.k WHERE since IS NULL OR pos >= since GROUP BY e.k, label, since)
 SELECT k, CASE WHEN max(since) IS NULL THEN '' ELSE 'base,' END || string_agg(label, ',' ORDER BY pos) AS labels FROM f GROUP BY k""")
-P.frame("column_lifecycle", lambda log: folds.column_fold(evolution.column_events(log)), oracle="""
+P.frame("column_lifecycle", lambda log: folds.column_fold(settled(evolution.column_events(log))), oracle="""
 WITH a AS (SELECT * FROM {columns}), names AS (SELECT DISTINCT "table", "column" FROM a WHERE "column" <> ''),
 c AS (SELECT * FROM a WHERE action IN ('ADD', 'DROP', 'TYPE', 'DEFAULT', 'NOT_NULL') UNION ALL SELECT a."table", n."column", pos, 'DROP', '' FROM a JOIN names n ON a."table" = n."table" WHERE action = 'GONE'),
 l AS (SELECT *, coalesce(sum(CASE WHEN action = 'DROP' THEN 1 ELSE 0 END) OVER (PARTITION BY "table", "column" ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM c),
@@ -43,6 +45,10 @@ SELECT l.k, coalesce(arg_max(o.op, o.pos) = 'CREATE', FALSE) AS should_exist, co
 FROM (SELECT DISTINCT k FROM {log}) l LEFT JOIN o ON l.k = o.k GROUP BY l.k""")
 
 
+#: What permissions are read from.
+GIVEN = ("k", "pos", "op", "object_type", "sql", "grantees", "privileges")
+
+
 def entries(log: DataFrame) -> DataFrame:
     """Grants and revokes as acl_replay reads them."""
     return lifecycle.permissions(log).where("grantee IS NOT NULL").select("k", "pos", "grantee", F.col("op").alias("action"), "option")
@@ -61,17 +67,17 @@ OTHER = "(SELECT k, pos, CASE WHEN event_id % 5 = 0 THEN 'q' || substr(grantee,
 NET = """(SELECT k, grantee, last_opt IS NOT NULL AND last_opt > coalesce(last_revoke, -1) AS grant_option FROM (
   SELECT k, grantee, max(pos) FILTER (action = 'GRANT') AS last_grant, max(pos) FILTER (action = 'GRANT' AND option) AS last_opt, max(pos) FILTER (action = 'REVOKE') AS last_revoke FROM ACL GROUP BY k, grantee)
   WHERE last_grant > coalesce(last_revoke, -1))"""
-P.frame("acl_net_state", lambda log: folds.acl_replay(entries(log)), oracle=f"SELECT * FROM {NET.replace('ACL', ACL_LOG)}")
-P.frame("grant_script", lambda log: folds.grant_script(folds.acl_replay(other_entries(log)), folds.acl_replay(entries(log))), oracle=f"""
+P.frame("acl_net_state", once(lambda log: folds.acl_replay(entries(log)), *GIVEN), oracle=f"SELECT * FROM {NET.replace('ACL', ACL_LOG)}")
+P.frame("grant_script", once(lambda log: folds.grant_script(folds.acl_replay(other_entries(log)), folds.acl_replay(entries(log))), *GIVEN), oracle=f"""
 WITH c AS (SELECT * FROM {NET.replace('ACL', OTHER)}), w AS (SELECT * FROM {NET.replace('ACL', ACL_LOG)}),
 o AS (SELECT k, grantee, CASE WHEN w.grant_option IS NULL THEN 'REVOKE' WHEN c.grant_option IS NULL THEN CASE WHEN w.grant_option THEN 'GRANT WITH GRANT OPTION' ELSE 'GRANT' END
   WHEN w.grant_option AND NOT c.grant_option THEN 'GRANT WITH GRANT OPTION' WHEN NOT w.grant_option AND c.grant_option THEN 'REVOKE GRANT OPTION FOR' END AS verb FROM c FULL JOIN w USING (k, grantee))
 SELECT k, verb, string_agg(grantee, ',' ORDER BY grantee) AS grantees FROM o WHERE verb IS NOT NULL GROUP BY k, verb""")
 LIVES = "(SELECT k, schema, pos AS born, died FROM (SELECT k, schema, op, pos, lead(pos) OVER (PARTITION BY k ORDER BY pos) AS died FROM {log} WHERE op IN ('CREATE', 'DROP') AND object_type = 'TABLE') l WHERE op = 'CREATE')"
 tables = lambda log: log.where("object_type = 'TABLE'")
-P.frame("bulk_grant_interval", lambda log: folds.bulk_grants(folds.lifetimes(tables(log)).withColumn("schema", F.split("k", r"\.")[0]), log.where("object_type = 'SCHEMA' AND op = 'GRANT'").select("schema", "pos")), oracle=f"""
+P.frame("bulk_grant_interval", once(lambda log: folds.bulk_grants(folds.lifetimes(tables(log)).withColumn("schema", F.split("k", r"\.")[0]), log.where("object_type = 'SCHEMA' AND op = 'GRANT'").select("schema", "pos")), "k", "object_type", "op", "schema", "pos"), oracle=f"""
 SELECT l.k, g.pos FROM {LIVES} l JOIN (SELECT schema, pos FROM {{log}} WHERE object_type = 'SCHEMA') g ON l.schema = g.schema AND l.born < g.pos AND (l.died IS NULL OR l.died > g.pos)""")
-P.frame("default_privilege_asof", lambda log: folds.as_of(log.where("op = 'CREATE'").select("schema", "pos"), log.where("op = 'ALTER'").select("schema", "pos", "duration"), "schema", "duration"), oracle="""
+P.frame("default_privilege_asof", once(lambda log: folds.as_of(log.where("op = 'CREATE'").select("schema", "pos"), log.where("op = 'ALTER'").select("schema", "pos", "duration"), "schema", "duration"), "op", "schema", "pos", "duration"), oracle="""
 SELECT c.schema, c.pos, a.duration FROM (SELECT schema, pos FROM {log} WHERE op = 'CREATE') c ASOF LEFT JOIN (SELECT schema, pos, duration FROM {log} WHERE op = 'ALTER') a ON c.schema = a.schema AND c.pos > a.pos""")
 #: SET ROLE stands before some of the day's statements, RESET ROLE before others.
 ROLE_TEXT = """SELECT event_id AS seq, CAST(CAST(ts AS DATE) AS STRING) AS filename, concat(CASE WHEN event_type = 'signup' THEN concat('SET ROLE r_', user_id % 7, '; ') WHEN event_type = 'error' AND user_id % 2 = 0 THEN 'RESET ROLE; ' ELSE '' END,
@@ -79,7 +85,7 @@ ROLE_TEXT = """SELECT event_id AS seq, CAST(CAST(ts AS DATE) AS STRING) AS filen
 
 
 def grantors(files: DataFrame) -> DataFrame:
-    log = lifecycle.typed(parse.statement_log(files))
+    log = settled(parsed(files).select("file", "pos", "op", "sql"))
     role = F.regexp_extract("sql", r'(?i)^\s*SET\s+(?:LOCAL\s+|SESSION\s+)?(?:ROLE|SESSION\s+AUTHORIZATION)\s+"?([\w$]+)', 1)
     switches = log.where(F.col("sql").rlike(r"(?i)^\s*(SET\s+(LOCAL\s+|SESSION\s+)?(ROLE|SESSION\s+AUTHORIZATION)|RESET\s+(ROLE|SESSION\s+AUTHORIZATION))\b"))
     return folds.role_at(log.where("op = 'GRANT'"), switches.select("file", "pos", F.when(~F.lower(role).isin("", "none", "default"), role).alias("role")))
@@ -95,7 +101,7 @@ def revokes(log: DataFrame) -> DataFrame:
     return rows.select(F.split("k", "::")[0].alias("table"), "grantee", "privilege", (F.col("pos") * 1000).alias("pos"))
 
 
-P.frame("column_revoke_cascade", lambda log: folds.column_revokes(revokes(log), folds.column_lives(evolution.column_events(log))), oracle="""
+P.frame("column_revoke_cascade", once(lambda log: folds.column_revokes(revokes(log), folds.column_lives(settled(evolution.column_events(log)))), *GIVEN, "schema", "name"), oracle="""
 WITH a AS (SELECT * FROM {columns}), names AS (SELECT DISTINCT "table", "column" FROM a WHERE "column" <> ''),
 c AS (SELECT "table", "column", pos, action FROM a WHERE action IN ('ADD', 'DROP') UNION ALL SELECT a."table", n."column", pos, 'DROP' FROM a JOIN names n ON a."table" = n."table" WHERE action = 'GONE'),
 l AS (SELECT "table", "column", action, pos AS born, lead(pos) OVER (PARTITION BY "table", "column" ORDER BY pos) AS died FROM c),
@@ -108,10 +114,10 @@ def owners(log: DataFrame) -> DataFrame:
     return given.groupBy("k").agg(F.min_by("new", "pos").alias("old"), F.max_by("new", "pos").alias("new"))
 
 
-P.frame("owner_merge", lambda log: folds.owner_merged(folds.acl_replay(entries(log)), owners(log)), oracle=f"""
+P.frame("owner_merge", once(lambda log: folds.owner_merged(folds.acl_replay(entries(log)), owners(log)), *GIVEN), oracle=f"""
 WITH o AS (SELECT k, arg_min('r_' || (v % 7), pos) AS old, arg_max('r_' || (v % 7), pos) AS new FROM {{log}} WHERE op = 'ALTER' AND object_type = 'FUNCTION' GROUP BY k)
 SELECT n.k, CASE WHEN grantee = old THEN new ELSE grantee END AS grantee, bool_or(grant_option) AS grant_option, count(*) AS n FROM {NET.replace('ACL', ACL_LOG)} n LEFT JOIN o ON n.k = o.k GROUP BY 1, 2""")
-P.frame("initial_acl", lambda log: folds.initial_acl(log.where("op = 'CREATE'").select("k", "object_type", "schema", "pos"), log.where("op = 'GRANT' AND object_type = 'FUNCTION'").select("object_type", "schema", F.explode("grantees").alias("grantee"), F.lit("EXECUTE").alias("privilege"), "pos")), oracle="""
+P.frame("initial_acl", once(lambda log: folds.initial_acl(log.where("op = 'CREATE'").select("k", "object_type", "schema", "pos"), log.where("op = 'GRANT' AND object_type = 'FUNCTION'").select("object_type", "schema", F.explode("grantees").alias("grantee"), F.lit("EXECUTE").alias("privilege"), "pos")), "k", "object_type", "op", "schema", "pos", "grantees"), oracle="""
 WITH d AS (SELECT schema, grantee, min(pos) AS since FROM {log} WHERE op = 'GRANT' AND object_type = 'FUNCTION' GROUP BY ALL)
 SELECT k, pos, d.grantee, 'EXECUTE' AS privilege FROM {log} l JOIN d ON l.schema = d.schema AND pos > since WHERE op = 'CREATE' AND object_type = 'FUNCTION'""")
 
@@ -119,15 +125,15 @@ SELECT k, pos, d.grantee, 'EXECUTE' AS privilege FROM {log} l JOIN d ON l.schema
 RENAMES = """SELECT concat('n', c_nationkey) AS database, c_custkey * 8 + s.n AS seq, 0 AS stmt_idx, CASE s.n WHEN 0 THEN concat('CREATE TABLE t_', c_custkey, ' (id int, name text)') WHEN 1 THEN concat('CREATE VIEW v_', c_custkey, ' AS SELECT name FROM t_', c_custkey, ' WHERE name <> ''name''')
   WHEN 2 THEN concat('ALTER TABLE t_', c_custkey, ' RENAME COLUMN name TO full_name') WHEN 3 THEN concat('ALTER TABLE t_', c_custkey, ' RENAME TO c_', c_custkey) WHEN 4 THEN CASE WHEN c_custkey % 3 = 0 THEN concat('ALTER TABLE c_', c_custkey, ' SET SCHEMA app') ELSE 'SELECT 1' END
   ELSE concat('INSERT INTO ', CASE WHEN c_custkey % 3 = 0 THEN 'app.' ELSE '' END, 'c_', c_custkey, ' (full_name) SELECT x.name FROM t_x x') END AS sql FROM {customer}, (SELECT explode(array(0, 1, 2, 3, 4, 5)) AS n) s"""
-P.frame("normalised_history", normalize.normalised_log, (RENAMES,), """
+P.frame("normalised_history", lambda log: normalize.normalised_log(dealt(log)), (RENAMES,), """
 WITH c AS (SELECT c_custkey AS k, 'n' || c_nationkey AS database, CASE WHEN c_custkey % 3 = 0 THEN 'app.c_' ELSE 'c_' END || c_custkey AS t, c_custkey % 3 = 0 AS moved FROM {customer})
 SELECT database, k * 8 + n AS seq, 0 AS stmt_idx, CASE n WHEN 0 THEN 'CREATE TABLE ' || t || ' (id int, full_name text)' WHEN 1 THEN 'CREATE VIEW v_' || k || ' AS SELECT full_name AS name FROM ' || t || ' WHERE full_name <> ''name''' WHEN 2 THEN '' WHEN 3 THEN ''
   WHEN 4 THEN CASE WHEN moved THEN '' ELSE 'SELECT 1' END ELSE 'INSERT INTO ' || t || ' (full_name) SELECT x.name FROM t_x x' END AS sql FROM c, (SELECT unnest(range(6)) AS n)""")
 P.frame("modernised_statements", validate.modernise, oracle="""
 SELECT k, pos, CASE WHEN object_type = 'FUNCTION' THEN 'CREATE ' || CASE WHEN v % 2 = 1 THEN 'OR REPLACE ' ELSE '' END || 'FUNCTION ' || schema || '.f_' || user_id || '(a int, b text DEFAULT ''x;'') RETURNS int LANGUAGE sql VOLATILE AS $f$ SELECT ' || v || '; $f$'
   ELSE 'ALTER TABLE ' || schema || '.t_' || user_id || ' ALTER COLUMN ' || col || ' TYPE varchar(' || v || ') USING ' || col || '::varchar(' || v || ')' END AS sql FROM {log} WHERE object_type = 'FUNCTION' AND op = 'CREATE' OR action = 'TYPE'""")
-P.frame("structure_findings", validate.structure, ("{graph_log}",), """
+P.frame("structure_findings", once(validate.structure, "k", "pos", "op", "object_type", "schema", "name", "dependencies", "sql"), ("{graph_log}",), """
 SELECT 'app.o_' || o_orderkey || '::TABLE' AS k, unnest(['NO_PRIMARY_KEY', 'FOREIGN_KEY_WITHOUT_INDEX']) AS finding FROM {orders}""")
-P.frame("postflight_findings", lambda log: validate.after(log.where("object_type = 'TABLE'")), oracle="SELECT k, 'DROPS' AS finding FROM {log} WHERE object_type = 'TABLE' AND op = 'DROP'")
+P.frame("postflight_findings", once(lambda log: validate.after(log.where("object_type = 'TABLE'")), "k", "object_type", "sql"), oracle="SELECT k, 'DROPS' AS finding FROM {log} WHERE object_type = 'TABLE' AND op = 'DROP'")
 
 QUERIES, ORACLE_SQL = P.queries, P.oracle

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.operators import lifecycle, parse
-from lithic.sources.checkpoints import settled
 
 _V, _T, _F = "CAST(floor(value) AS BIGINT)", "concat('s', user_id % 10, '.t_', user_id)", "concat('s', user_id % 10, '.f_', user_id)"
 #: The statement that an event stands for.
@@ -63,30 +62,34 @@ GRAPH_TEXT = {
 }
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to all tasks: the driver's tables are single files."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
+
+
 def files(spark: SparkSession, sf_dir: str, table: str, text: str, seq: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return rows.select(F.expr(seq).cast("long").alias("seq"), F.expr(name).alias("filename"), F.expr(text).alias("content"))
+    return dealt(spark.read.parquet(f"{sf_dir}/{table}.parquet")).select(F.expr(seq).cast("long").alias("seq"), F.expr(name).alias("filename"), F.expr(text).alias("content"))
 
 
-def parsed(spark: SparkSession, texts: DataFrame) -> DataFrame:
-    """The typed log of a history, parsed once by all tasks: the driver's tables are single files, and operators read a log several times."""
-    return settled(lifecycle.typed(parse.statement_log(texts.repartition(max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions())))))
+def parsed(texts: DataFrame) -> DataFrame:
+    """The typed log of a history (seq, filename, content), parsed by all tasks."""
+    return lifecycle.typed(parse.statement_log(dealt(texts)))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed log of the events' history."""
-    return parsed(spark, files(spark, sf_dir, "events", EVENT_TEXT, "event_id", "CAST(CAST(ts AS DATE) AS STRING)"))
+    return lifecycle.typed(parse.statement_log(files(spark, sf_dir, "events", EVENT_TEXT, "event_id", "CAST(CAST(ts AS DATE) AS STRING)")))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed(spark, files(spark, sf_dir, "orders", ORDER_TEXT, "o_orderkey", "o_orderpriority"))
+    return lifecycle.typed(parse.statement_log(files(spark, sf_dir, "orders", ORDER_TEXT, "o_orderkey", "o_orderpriority")))
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .base import for_spark
 
     text = " UNION ALL ".join(f"({t})" for t in GRAPH_TEXT.values())
-    return parsed(spark, spark.sql(for_spark(text, sf_dir)))
+    return parsed(spark.sql(for_spark(text, sf_dir)))
 
 
 SOURCES = {"{log}": events, "{order_log}": orders, "{graph_log}": graph}

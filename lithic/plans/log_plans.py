@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lithic.operators import dependencies, diff, evolution, lifecycle, planner
+from lithic.sources.checkpoints import settled
 
-from .base import Plans
+from .base import Plans, once
 
 P = Plans()
 
@@ -42,7 +43,7 @@ P.frame("highest_risk", lifecycle.highest_risk, oracle="""
 SELECT k, CASE max(r) WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' ELSE 'CRITICAL' END AS risk, max(r) AS risk_rank
 FROM (SELECT k, CAST(list_position(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], risk) AS BIGINT) AS r FROM {log}) GROUP BY k""")
 P.frame("create_conflicts", lifecycle.create_conflicts, oracle="SELECT k, count(*) FILTER (op = 'CREATE') > 1 AS conflict, bool_or(is_data) AS has_data FROM {log} GROUP BY k")
-P.frame("net_permissions", lambda log: lifecycle.net_permissions(lifecycle.permissions(log)), oracle="""
+P.frame("net_permissions", once(lambda log: lifecycle.net_permissions(lifecycle.permissions(log)), "k", "pos", "op", "sql", "grantees", "privileges"), oracle="""
 WITH l AS (SELECT k, grantee, CASE object_type WHEN 'FUNCTION' THEN 'EXECUTE' ELSE 'SELECT' END AS privilege, max(pos) AS pos, arg_max(op, pos) AS op FROM {log} WHERE op IN ('GRANT', 'REVOKE') GROUP BY ALL),
 r AS (SELECT k, max(pos) AS reset FROM {log} WHERE op IN ('CREATE', 'DROP') GROUP BY k)
 SELECT l.k, grantee, privilege, pos FROM l LEFT JOIN r ON l.k = r.k WHERE op = 'GRANT' AND (reset IS NULL OR pos > reset)""")
@@ -63,8 +64,8 @@ SELECT risk AS severity, object_type AS category, count(DISTINCT (op, k)) AS n F
 P.frame("validation_metrics", lambda runs: lifecycle.validation_metrics(runs), ("SELECT o_orderpriority AS file, o_totalprice AS seconds, o_orderstatus <> 'P' AS ok FROM {orders}",), """
 SELECT o_orderpriority AS file, count(*) AS total, count(*) FILTER (o_orderstatus <> 'P') AS succeeded, round(avg(o_totalprice), 6) AS mean, max(o_totalprice) AS longest,
   round(100.0 * count(*) FILTER (o_orderstatus <> 'P') / count(*), 6) AS success_rate FROM {orders} GROUP BY 1""")
-P.frame("savings_summary", lifecycle.savings_summary, oracle=None)
-P.frame("history_compaction", lambda log: lifecycle.compacted(log, 20).select("k", "pos"), oracle="""
+P.frame("savings_summary", once(lifecycle.savings_summary, "k", "pos", "op", "file", "is_data"), oracle=None)
+P.frame("history_compaction", once(lambda log: lifecycle.compacted(log, 20), "k", "pos"), oracle="""
 SELECT k, pos FROM {log} QUALIFY count(*) OVER (PARTITION BY k) <= 20 OR pos = min(pos) OVER (PARTITION BY k) OR pos = max(pos) OVER (PARTITION BY k)""")
 P.frame("ddl_cycles", lifecycle.ddl_cycles, oracle="""
 WITH c AS (SELECT k, count(*) FILTER (op = 'CREATE') AS c, count(*) FILTER (op = 'DROP') AS d, count(*) FILTER (op = 'ALTER') AS a, count(*) FILTER (op IN ('GRANT', 'REVOKE')) AS g FROM {log} GROUP BY k),
@@ -84,7 +85,7 @@ P.frame("tx_warnings", planner.batch_warnings, oracle=BATCHES + """,
 s AS (SELECT file, batch, count(*) AS n, bool_or(ae) AS ae, bool_or(duration = 'SLOW') AS slow, count(DISTINCT k) FILTER (op = 'ALTER' AND object_type = 'TABLE') AS altered, count(*) FILTER (no_txn) AS concurrent FROM b GROUP BY file, batch)
 SELECT file, batch, unnest(list_filter([CASE WHEN n > 50 THEN 'MANY_STATEMENTS' END, CASE WHEN slow THEN 'SLOW' END, CASE WHEN ae THEN 'ACCESS_EXCLUSIVE' END, CASE WHEN altered > 1 THEN 'SEVERAL_TABLES' END,
   CASE WHEN concurrent > 5 THEN 'MANY_CONCURRENT' END], lambda x: x IS NOT NULL)) AS warning FROM s""")
-P.frame("pending_constraints", lambda log: dependencies.pending_constraints(dependencies.constraint_events(log)), ("{order_log}",), """
+P.frame("pending_constraints", lambda log: dependencies.pending_constraints(settled(dependencies.constraint_events(log))), ("{order_log}",), """
 WITH e AS (SELECT 'public.c_' || o_custkey || '::TABLE' AS k, 'k_' || (o_orderkey % 3) AS name, o_orderkey * 1024 AS pos, o_orderstatus AS s FROM {orders}),
 g AS (SELECT k, max(pos) AS gone FROM e WHERE s NOT IN ('O', 'F') GROUP BY k), l AS (SELECT k, name, max(pos) AS pos, arg_max(s, pos) AS s FROM e WHERE s IN ('O', 'F') GROUP BY k, name)
 SELECT l.k, name, pos FROM l LEFT JOIN g ON l.k = g.k WHERE s = 'O' AND (gone IS NULL OR gone < pos)""")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.functions import pgtypes
-from lithic.operators import extras, lifecycle, lint, parse, plugins
+from lithic.operators import extras, lint, parse, plugins
 
 from .base import Plans
+from .histories import dealt, parsed
 
 P = Plans()
 
@@ -63,7 +64,7 @@ SELECT * FROM (VALUES ('INT4', 'integer', 4, 0), ('numeric(10,2)', 'numeric', -1
 
 #: Every line item adds its supplier's and its part's table to its order's publication, many of them twice.
 PUBLICATIONS = "SELECT l_orderkey * 8 + l_linenumber AS seq, 'lineitem' AS filename, concat('ALTER PUBLICATION p_', l_orderkey % 50, ' ADD TABLE app.s_', l_suppkey, ', part_', l_partkey % 97) AS content FROM {lineitem}"
-P.frame("publication_dedup", lambda files: extras.publication_members(lifecycle.typed(parse.statement_log(files))), (PUBLICATIONS,), """
+P.frame("publication_dedup", lambda files: extras.publication_members(parsed(files)), (PUBLICATIONS,), """
 WITH m AS (SELECT 'p_' || (l_orderkey % 50) AS publication, (l_orderkey * 8 + l_linenumber) * 1024 AS pos, l_suppkey AS s, l_partkey % 97 AS p FROM {lineitem})
 SELECT publication, 'app.s_' || s AS "table", min(pos) AS pos FROM m GROUP BY ALL UNION ALL SELECT publication, 'public.part_' || p, min(pos) FROM m GROUP BY ALL""")
 #: What suppliers say of platforms, extensions and ALTERs.
@@ -92,7 +93,7 @@ WITH w AS (SELECT cycle, src, dst, 100 + CASE WHEN dst LIKE 'foreign%' OR dst_ty
 SELECT cycle, src, dst, weight FROM w QUALIFY row_number() OVER (PARTITION BY cycle ORDER BY weight, src, dst) = 1""")
 P.frame("transaction_groups", extras.transaction_groups, oracle="""
 SELECT k, count(*) AS n, CAST(count(*) FILTER (no_txn) + max(CASE WHEN no_txn THEN 0 ELSE 1 END) AS BIGINT) AS transactions FROM {log} GROUP BY k HAVING count(*) > 2""")
-P.frame("parse_errors", lambda s: parse.errors(parse.statement_log(s.select(F.col("id").alias("seq"), F.lit("supplier").alias("filename"), F.col("sql").alias("content")))), (SAYS,), """
+P.frame("parse_errors", lambda s: parse.errors(parse.statement_log(dealt(s).select(F.col("id").alias("seq"), F.lit("supplier").alias("filename"), F.col("sql").alias("content")))), (SAYS,), """
 SELECT s_suppkey AS seq, 0 AS stmt_idx, 1 AS line, 'INFO' AS severity, 'QUERY' AS category, 'leave queries out of a history' AS suggestion FROM {supplier} WHERE s_suppkey % 10 IN (1, 2, 3, 4, 9)""")
 
 QUERIES, ORACLE_SQL = P.queries, P.oracle
