@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from lithic.functions import ddl
 from lithic.functions.scopes import Column, Entity, Relation, Statement, quoted
+from lithic.functions.shapes import shaped
 from lithic.functions.sqltext import IF, NAME, QUALIFIED, balanced, identifier, plain, qualified, signature, singles, split_list, split_statements, tokens
 
 RELATION = "TABLE|FOREIGN TABLE|VIEW|MATERIALIZED VIEW|INDEX|SEQUENCE"
@@ -32,11 +33,49 @@ def family(kind: str) -> str:
     return "type" if kind in ("TYPE", "DOMAIN") else "schema" if kind == "SCHEMA" else "routine" if kind in ("FUNCTION", "PROCEDURE", "ROUTINE") else "relation"
 
 
+class Names(dict):
+    """(family, schema, name) -> entity, with the places of entities, and names and routines by themselves, each in the order in which they came."""
+
+    def __init__(self) -> None:
+        self.place: dict[int, tuple] = {}
+        self.like: dict[tuple, dict[tuple, None]] = {}
+
+    @staticmethod
+    def likes(key: tuple[str, str, str]) -> list[tuple]:
+        kind, schema, name = key
+        return [(kind,), (kind, name), *([(kind, schema, name.split("(")[0])] if kind == "routine" else [])]
+
+    def __setitem__(self, key: tuple[str, str, str], e: Entity) -> None:
+        if key in self:
+            self.place.pop(id(self[key]), None)
+        super().__setitem__(key, e)
+        self.place[id(e)] = key
+        for x in self.likes(key):
+            self.like.setdefault(x, {})[key] = None
+
+    def __delitem__(self, key: tuple[str, str, str]) -> None:
+        self.pop(key)
+
+    def pop(self, key: tuple[str, str, str], default: Entity | None = None) -> Entity | None:
+        if key not in self:
+            return default
+        e = super().pop(key)
+        if self.place.get(id(e)) == key:
+            del self.place[id(e)]
+        for x in self.likes(key):
+            del self.like[x][key]
+        return e
+
+    def all(self, *like: str) -> list[Entity]:
+        """Those of a family, of a family and name, or the routines of a schema and name."""
+        return [self[key] for key in self.like.get(like, ())]
+
+
 class Namespace:
     """NM-2. What names mean now: (family, schema, name) -> entity, with a search path."""
 
     def __init__(self) -> None:
-        self.now: dict[tuple[str, str, str], Entity] = {}
+        self.now = Names()
         self.was: dict[int, tuple[str, str]] = {}
         self.columns: dict[int, dict[str, Column]] = {}
         self.path = ["public"]
@@ -62,12 +101,9 @@ class Namespace:
         return e if e is not None and e.made else None
 
     def routine(self, schema: str, name: str) -> Entity | None:
-        e = next((e for (k, s, n), e in self.now.items() if k == "routine" and n.split("(")[0] == name and s == (schema or self.path[0])), None) if name in self.routines() else None
+        e = next(iter(self.now.all("routine", schema or self.path[0], name)), None)
         return e if e is not None and e.made else None
 
-    def routines(self) -> set[str]:
-        return {n.split("(")[0] for k, _, n in self.now if k == "routine"}
-
     def schema_then(self, e: Entity, name: str) -> str:
         """The schema in which the search path finds a bare name now: where the entity lies elsewhere in the end, its schema is written."""
         return next((s for s in self.path if (e.kind, s, name) in self.now), self.path[0])
@@ -167,7 +203,7 @@ def _label(flat: str) -> str:
 def _rename(space: Namespace, kind: str, e: Entity | None, new: str, making: bool, arguments: str) -> str:
     if e is None:
         return ""
-    key = next(x for x, y in space.now.items() if y is e)
+    key = space.now.place[id(e)]
     del space.now[key]
     if kind == "schema":
         space.now["schema", "", new] = e
@@ -255,7 +291,7 @@ class Rewriter:
                     s.relation(s.dotted(n, len(s)))
                 return
             if s.is_name(n) and n < on:
-                e = self.space.get("relation", "", identifier(s.text(n))) or next((e for (k_, _, nm), e in self.space.now.items() if k_ == "relation" and nm == identifier(s.text(n))), None)
+                e = self.space.get("relation", "", identifier(s.text(n))) or next(iter(self.space.now.all("relation", identifier(s.text(n)))), None)
                 if e is not None and e.made and e.name != identifier(s.text(n)):
                     s.put(n, quoted(e.name))
             start = on + 2 if s.word(on + 1) == "only" else on + 1
@@ -362,7 +398,7 @@ class Rewriter:
             if s.text(i) in (",", "("):
                 break
             if s.is_name(i):
-                e = next((x for (f, _, _), x in self.space.now.items() if f == "type" and x.made and identifier(s.text(i)) in (x.name,)), None) or self.space.type("", identifier(s.text(i)))
+                e = next((x for x in self.space.now.all("type") if x.made and identifier(s.text(i)) in (x.name,)), None) or self.space.type("", identifier(s.text(i)))
                 inner = s.text(n)[1:-1].replace("''", "'")
                 if e is not None and inner in e.columns:
                     s.put(n, "'" + e.columns[inner].name.replace("'", "''") + "'")
@@ -444,10 +480,15 @@ def _closing(text: str, at: int) -> int:
     return at + 1 + len(balanced(text, at))
 
 
+@shaped
+def _flat(sql: str) -> list[str]:
+    return [plain(x) for x in singles(sql)]
+
+
 def normalise(statements: list[str]) -> list[str]:
     """NM-1. The statements in final names; empty where nothing is left to do. A statement on a list of objects is followed object by object."""
     entities: dict = {}
-    flat = [[plain(x) for x in singles(s)] for s in statements]
+    flat = [_flat(s) for s in statements]
     for making in (True, False):
         space, out = Namespace(), []
         for k, s in enumerate(statements):
