@@ -7,11 +7,13 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lithic.functions.shapes import shaped
 from lithic.functions.sqltext import bare, split_statements, tokens
+from lithic.sources.checkpoints import keyed
 
 #: The rules' codes, and for each what the statement (upper case, single spaces) must and must not match.
 RULES = {
@@ -95,22 +97,44 @@ def duration_class(sql: Column, object_type: Column, operation: Column) -> Colum
     return F.when(slow, "SLOW").when(operation.isin("INSERT", "UPDATE", "DELETE", "COPY") | sql.rlike(r"\bADD CONSTRAINT\b") & ~sql.rlike(r"\bNOT VALID\b"), "MEDIUM").otherwise("FAST")
 
 
-def violations(statements: DataFrame, rules: list[str] | None = None) -> DataFrame:
-    """LNT-1..8, 10, 11. (id, code) for every rule that a statement (id, sql) breaks. Strings and comments count for nothing."""
+def broken(statements: DataFrame, rules: list[str] | None = None) -> DataFrame:
+    """Statements (id, sql) with the codes of the rules that each breaks. Strings and comments count for nothing."""
     flat = F.upper(F.trim(F.regexp_replace(F.regexp_replace("sql", r"(?s)'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", "''"), r"\s+", " ")))
     hit = lambda code: F.col("flat").rlike(RULES[code][0]) & (~F.col("outer").rlike(RULES[code][1]) if RULES[code][1] else F.lit(True))
     found = F.array_compact(F.array(*[F.when(hit(c), F.lit(c)) for c in rules or RULES]))
     # What must not be found is looked for outside brackets: a subquery's WHERE is not the statement's.
     outer = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.col("flat"), lambda s, _: F.regexp_replace(s, r"\([^()]*\)", " "))
-    return statements.select("id", flat.alias("flat")).select("id", "flat", outer.alias("outer")).select("id", F.explode(found).alias("code"))
+    return statements.select("id", "sql", flat.alias("flat")).select("id", "sql", "flat", outer.alias("outer")).select("id", "sql", found.alias("codes"))
 
 
-def suppressed(found: DataFrame, directives: DataFrame) -> DataFrame:
-    """FLT-7, LNT-12. Violations (file, line, code) that no directive (file, low, high, code) silences, and every directive that silences none, as a violation at its first line."""
-    d = directives.select(F.col("file").alias("d_file"), "low", "high", F.col("code").alias("d_code"))
-    silences = (F.col("file") == F.col("d_file")) & (F.col("code") == F.col("d_code")) & F.col("line").between(F.col("low"), F.col("high"))
-    unused = d.join(found, silences, "left_anti").select(F.col("d_file").alias("file"), F.col("low").alias("line"), F.lit(UNUSED).alias("code"))
-    return found.join(d, silences, "left_anti").select("file", "line", "code").union(unused)
+def violations(statements: DataFrame, rules: list[str] | None = None) -> DataFrame:
+    """LNT-1..8, 10, 11. (id, code) for every rule that a statement (id, sql) breaks."""
+    return broken(statements, rules).select("id", F.explode("codes").alias("code"))
+
+
+def suppressed(found: DataFrame, directives: DataFrame, buckets: int = 64) -> DataFrame:
+    """FLT-7, LNT-12. Violations (file, line, code) that no directive (file, low, high, code) silences, and every directive that silences none, as a violation at its first line.
+
+    No pairs are made. Each file and code is cut into ``buckets`` by place, so that one with very many lines is as many tasks' work; of the other buckets, each gets one row.
+    """
+    # A line is silenced if the furthest end of the directives that begin at or before it reaches it; a directive silences something if the next violation from its first line on lies within it.
+    kinds = ["file", "code"]
+    v = found.select(*kinds, F.col("line").alias("at"), F.lit(None).cast(directives.schema["high"].dataType).alias("high"), F.lit(1).alias("is_line"))
+    both = v.union(directives.select(*kinds, "low", "high", F.lit(0)))
+    known = F.expr("file IS NOT NULL AND code IS NOT NULL AND at IS NOT NULL")
+    ends = both.agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    low, high = F.broadcast(ends).select("low").scalar(), F.broadcast(ends).select("high").scalar()  # one row
+    cut = both.where(known).withColumn("b", F.floor((F.col("at") - low) * F.lit(float(buckets)) / (high - low + 1)).cast("int"))
+    line = F.when(F.col("is_line") == 1, F.col("at"))
+    before, after = Window.partitionBy(*kinds, "b").orderBy("at", "is_line"), Window.partitionBy(*kinds, "b").orderBy(F.col("at").desc(), F.col("is_line").desc())
+    own = cut.select("*", F.max("high").over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("reach"), F.min(line).over(after.rowsBetween(Window.unboundedPreceding, 0)).alias("next"))
+    sums = cut.groupBy(*kinds, "b").agg(F.max("high").alias("h"), F.min(line).alias("l"))
+    others = lambda *order: Window.partitionBy(*kinds).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*kinds, "b", F.max("h").over(others("b")).alias("h"), F.min("l").over(others(F.col("b").desc())).alias("l"))
+    seen = own.join(keyed(carried), [*kinds, "b"])
+    hit = F.when(F.col("is_line") == 1, F.greatest("reach", "h") >= F.col("at")).otherwise(F.least("next", "l") <= F.col("high"))
+    left = seen.where(~F.coalesce(hit, F.lit(False))).select("file", "at", "code", "is_line").union(both.where(~known).select("file", "at", "code", "is_line"))
+    return left.select("file", F.col("at").alias("line"), F.when(F.col("is_line") == 1, F.col("code")).otherwise(UNUSED).alias("code"))
 
 
 # The rules that can be mended by replacing text: a pattern, and what stands in its place.
@@ -138,15 +162,23 @@ def fixes(sql: str, code: str) -> list[tuple[int, int, str]]:
 
 
 def mended(statements: DataFrame) -> DataFrame:
-    """LNT-8, 10, 11, SRT-6. (id, sql) of the statements that a fix changes, all fixes applied from the highest offset down; an Arrow-batched map over the violations."""
+    """LNT-8, 10, 11, SRT-6. (id, sql) of the statements that a fix changes, all fixes applied from the highest offset down; an Arrow-batched map over the violations.
+
+    A statement keeps its text while its rules are tried: nothing is joined, so that an id need not be its statement's alone.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_codes: dict = {}
         for batch in batches:
-            new = [apply_fixes(s, [f for c in codes for f in fixes(s, c)]) for s, codes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            new = []
+            for s, codes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                codes = tuple(codes)
+                if codes not in by_codes:
+                    by_codes[codes] = shaped(lambda s, codes=codes: apply_fixes(s, [f for c in codes for f in fixes(s, c)]))
+                new.append(by_codes[codes](s))
             yield pa.record_batch([batch.column(0), pa.array(new, pa.string())], ["id", "sql"])
 
-    broken = violations(statements, list(FIXES)).groupBy("id").agg(F.sort_array(F.collect_set("code")).alias("codes"))
-    return statements.select("id", "sql").join(broken, "id").mapInArrow(each, StructType([statements.schema["id"], StructField("sql", StringType())]))
+    return broken(statements, list(FIXES)).where(F.size("codes") > 0).select("id", "sql", F.sort_array("codes")).mapInArrow(each, StructType([statements.schema["id"], StructField("sql", StringType())]))
 
 
 def enabled(base: list[str], enable: list[str] = (), disable: list[str] = ()) -> list[str]:
