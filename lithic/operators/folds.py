@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithic.sources.checkpoints import keyed
+
 
 def enum_fold(labels: Column, alters: Column) -> Column:
     """AGG-10. An enum's labels after ``alters``, an ordered array of struct(kind, label, anchor).
@@ -41,7 +43,7 @@ def column_fold(log: DataFrame) -> DataFrame:
     or readded; a DROP ends all before it. Others are passed over.
     """
     known = log.where(F.col("column") != "").select("table", "column").distinct()
-    gone = log.where(F.col("action") == "GONE").select("table", "pos").join(known, "table").select("table", "column", "pos", F.lit("DROP").alias("action"), F.lit("").alias("value"))
+    gone = log.where(F.col("action") == "GONE").select("table", "pos").join(keyed(known), "table").select("table", "column", "pos", F.lit("DROP").alias("action"), F.lit("").alias("value"))
     log = log.where(F.col("action").isin("ADD", "DROP", "TYPE", "DEFAULT", "NOT_NULL", "NULLABLE")).select("table", "column", "pos", "action", "value").union(gone)
     w = Window.partitionBy("table", "column").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     lives = log.select("*", F.coalesce(F.sum((F.col("action") == "DROP").cast("int")).over(w), F.lit(0)).alias("life"))
@@ -100,7 +102,7 @@ def grant_script(current: DataFrame, wanted: DataFrame) -> DataFrame:
         F.when(F.col("want").isNull(), "REVOKE").when(F.col("have").isNull(), F.when(F.col("want"), "GRANT WITH GRANT OPTION").otherwise("GRANT"))
         .when(F.col("want") & ~F.col("have"), "GRANT WITH GRANT OPTION").when(~F.col("want") & F.col("have"), "REVOKE GRANT OPTION FOR")
     )
-    ops = c.join(w, ["k", "grantee"], "full_outer").select("k", "grantee", verb.alias("verb")).where("verb IS NOT NULL")
+    ops = c.join(keyed(w), ["k", "grantee"], "full_outer").select("k", "grantee", verb.alias("verb")).where("verb IS NOT NULL")
     return ops.groupBy("k", "verb").agg(F.array_join(F.transform(F.sort_array(F.collect_set("grantee")), lambda g: g.cast("string")), ",").alias("grantees"))
 
 
@@ -110,11 +112,21 @@ def lifetimes(log: DataFrame) -> DataFrame:
     return log.where(F.col("op").isin("CREATE", "DROP")).select("k", "op", F.col("pos").alias("born"), F.lead("pos").over(w).alias("died")).where("op = 'CREATE'").drop("op")
 
 
-def bulk_grants(lives: DataFrame, grants: DataFrame) -> DataFrame:
-    """ACL-6. A grant on all objects of a schema (schema, pos) reaches those that exist at its place (schema, k, born, died)."""
-    g = grants.select(F.col("schema").alias("g_schema"), "pos")
-    alive = (F.col("schema") == F.col("g_schema")) & (F.col("born") < F.col("pos")) & (F.col("died").isNull() | (F.col("died") > F.col("pos")))
-    return lives.join(g, alive).select("k", "pos")
+def bulk_grants(lives: DataFrame, grants: DataFrame, buckets: int = 64) -> DataFrame:
+    """ACL-6. A grant on all objects of a schema (schema, pos) reaches those that exist at its place (schema, k, born, died).
+
+    A schema's grants are cut into ``buckets`` by place, and a life meets those of the buckets that it spans: a schema is as many
+    tasks' work, and nearly all that meet belong together. The result itself has a row for each grant and object.
+    """
+    g = grants.select(F.col("schema").alias("g_schema"), "pos").where("pos IS NOT NULL")
+    ends = g.agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    low, high = F.broadcast(ends).select("low").scalar(), F.broadcast(ends).select("high").scalar()  # one row
+    place = lambda c: F.floor((c - low) * F.lit(float(buckets)) / (high - low + 1)).cast("int")
+    g = g.withColumn("g_b", place(F.col("pos")))
+    first, last = F.greatest(place(F.col("born")), F.lit(0)), F.least(place(F.coalesce("died", high)), F.lit(buckets - 1))
+    spread = lives.select("schema", "k", "born", "died", F.explode(F.when(first <= last, F.sequence(first, last))).alias("b"))
+    alive = (F.col("schema") == F.col("g_schema")) & (F.col("b") == F.col("g_b")) & (F.col("born") < F.col("pos")) & (F.col("died").isNull() | (F.col("died") > F.col("pos")))
+    return spread.join(keyed(g), alive).select("k", "pos")
 
 
 def role_at(log: DataFrame, switches: DataFrame, within: str = "file") -> DataFrame:
@@ -127,12 +139,12 @@ def column_revokes(revokes: DataFrame, columns: DataFrame) -> DataFrame:
     """ACL-3. A table's REVOKE (table, grantee, privilege, pos) takes the privilege on its columns too, of those (table, column, born, died) that exist then."""
     c = columns.select(F.col("table").alias("t"), "column", "born", "died")
     alive = (F.col("table") == F.col("t")) & (F.col("born") < F.col("pos")) & (F.col("died").isNull() | (F.col("died") > F.col("pos")))
-    return revokes.join(c, alive).select("table", "column", "grantee", "privilege", "pos")
+    return revokes.join(keyed(c), alive).select("table", "column", "grantee", "privilege", "pos")
 
 
 def owner_merged(entries: DataFrame, owners: DataFrame) -> DataFrame:
     """ACL-4, SET-3. ACL entries (k, grantee, grant_option) after a change of owner (k, old, new): the old owner's are the new one's, equal ones are one."""
-    moved = entries.join(owners, "k", "left").select("k", F.when(F.col("grantee") == F.col("old"), F.col("new")).otherwise(F.col("grantee")).alias("grantee"), "grant_option")
+    moved = entries.join(keyed(owners), "k", "left").select("k", F.when(F.col("grantee") == F.col("old"), F.col("new")).otherwise(F.col("grantee")).alias("grantee"), "grant_option")
     return moved.groupBy("k", "grantee").agg(F.bool_or("grant_option").alias("grant_option"), F.count(F.lit(1)).alias("n"))
 
 
@@ -145,7 +157,7 @@ def initial_acl(created: DataFrame, defaults: DataFrame) -> DataFrame:
 def column_lives(columns: DataFrame) -> DataFrame:
     """(table, column, born, died) from column events (table, column, pos, action): every ADD until the next DROP of the column or its table."""
     known = columns.where(F.col("column") != "").select("table", "column").distinct()
-    gone = columns.where(F.col("action") == "GONE").select("table", "pos").join(known, "table").select("table", "column", "pos", F.lit("DROP").alias("action"))
+    gone = columns.where(F.col("action") == "GONE").select("table", "pos").join(keyed(known), "table").select("table", "column", "pos", F.lit("DROP").alias("action"))
     ends = columns.where(F.col("action").isin("ADD", "DROP")).select("table", "column", "pos", "action").union(gone)
     w = Window.partitionBy("table", "column").orderBy("pos")
     return ends.select("table", "column", "action", F.col("pos").alias("born"), F.lead("pos").over(w).alias("died")).where("action = 'ADD'").drop("action")
