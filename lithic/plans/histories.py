@@ -63,8 +63,8 @@ GRAPH_TEXT = {
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """Rows dealt out to all tasks: the driver's tables are single files."""
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
+    """Rows dealt out to all cores, in three rounds of tasks or more: the driver's tables are single files."""
+    return rows.repartition(max(3 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
 
 
 def files(spark: SparkSession, sf_dir: str, table: str, text: str, seq: str, name: str) -> DataFrame:
